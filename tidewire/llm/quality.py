@@ -59,6 +59,17 @@ def document_vectors(texts: list[str | None]) -> np.ndarray:
     return raw
 
 
+def vectors(text: Column) -> Column:
+    """document_vectors of a text column."""
+
+    @F.pandas_udf("array<double>")
+    def of(texts: pd.Series) -> pd.Series:
+        values = texts.tolist()
+        return pd.Series([row for at in range(0, len(values), 500) for row in document_vectors(values[at : at + 500]).tolist()], dtype=object)
+
+    return of(text)
+
+
 @dataclass(frozen=True)
 class QuadraticDiscriminant:
     """Per class: mean, inverse Cholesky factor of the shrunk covariance, and log weight."""
@@ -90,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                x, y = document_vectors(part["text"].tolist()), part["label"].to_numpy()
+                x, y = np.stack(part["vector"].tolist()), part["label"].to_numpy()
                 for k in (0, 1):
                     own = x[y == k]
                     sums[k, 0] += len(own)
@@ -99,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pd.DataFrame({"class": np.repeat([0, 1], size), "entry": np.tile(np.arange(size), 2), "value": sums.ravel()})
 
     marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked, "id").select("text", "label")
+    # vectors, not texts, go to the labels
+    rows = docs.select(F.col(id_col).alias("id"), vectors(F.col(text_col)).alias("vector")).join(marked, "id").select("vector", "label")
     summed = rows.mapInPandas(moments, "class int, entry int, value double").groupBy("class", "entry").agg(F.sum("value").alias("value"))
     sums = np.zeros((2, size))
     for row in summed.collect():  # 2 * (1 + d + d * d) rows
