@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-FEATURES = 1 << 16
 UNIT = 4
 #: Window sizes in words; a passage is sought in windows of the next size.
 SIZES = (16, 32, 64, 128)
@@ -26,10 +24,6 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(SPACES).split()
 
 
-def feature(word: bytes) -> int:
-    return zlib.crc32(word) % FEATURES
-
-
 def answer_of(text: str) -> list[bytes]:
     """The words of an item's answer: what follows its last question mark, else its last sentence."""
     tail = text.rsplit("?", 1)[1] if "?" in text else re.split(r"(?<=[.!])\s+", text.strip())[-1]
@@ -52,71 +46,63 @@ def common_subsequence(masks: dict[bytes, int], n: int, words: list[bytes]) -> i
     return n - v.bit_count()
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """(how many of the texts have each feature, number of texts), counted over all rows of column ``text``."""
+def document_frequencies(texts: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    """(how many of the texts have each word, number of texts), counted over all rows of column ``text``."""
+    size, known = len(vocabulary), frozenset(vocabulary)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, known = np.zeros(FEATURES + 1, dtype=np.int64), _Known()
+        seen = np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
             for text in batch["text"].tolist():
-                ids = {*map(known.__getitem__, set(words_of(text or "")))}
-                seen[np.fromiter(ids, dtype=np.int64, count=len(ids))] += 1
-                seen[FEATURES] += 1
+                seen[[vocabulary[w] for w in known.intersection(words_of(text or ""))]] += 1
+                seen[size] += 1
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"f": at, "n": seen[at]})
 
-    summed = texts.select("text").mapInPandas(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()  # FEATURES + 1 rows
-    out = np.zeros(FEATURES + 1, dtype=np.int64)
+    summed = texts.select("text").mapInPandas(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()  # a row for each word of the block
+    out = np.zeros(size + 1, dtype=np.int64)
     out[summed["f"].to_numpy(dtype=np.int64)] = summed["n"].to_numpy(dtype=np.int64)
-    return out[:FEATURES], int(out[FEATURES])
-
+    return out[:size], int(out[size])
 
-class _Known(dict):
-    """Features of words, kept up to a bound."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = f = feature(word)
-        return f
-
-
-def _rows(texts: list[str], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(features, unit TF-IDF weights) of every passage of every text."""
+def _rows(texts: list[str], vocabulary: dict[bytes, int], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, unit TF-IDF weights) of every passage of every text."""
     for text in texts:
         words = words_of(text or "")
         for passage in passages_of(words) if words else []:
-            ids, n = np.unique([feature(w) for w in passage], return_counts=True)
+            ids, n = np.unique([vocabulary[w] for w in passage], return_counts=True)
             weight = n * idf[ids]
             if length := np.linalg.norm(weight):
                 yield ids, weight / length
 
 
-def randomised_svd(texts: DataFrame, idf: np.ndarray, rank: int, rounds: int, seed: int) -> np.ndarray:
-    """Orthonormal basis (FEATURES x rank) of the leading right singular vectors of the passages' TF-IDF matrix A.
+def randomised_svd(texts: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, rank: int, rounds: int, seed: int) -> np.ndarray:
+    """Orthonormal basis (words x rank) of the leading right singular vectors of the passages' TF-IDF matrix A.
 
-    Tasks sum their passages' part of A'(A Q); parts are summed by feature in a shuffle, and the driver
-    orthonormalises FEATURES x rank numbers, a fixed size. A last pass gives the singular values' order.
+    Tasks sum their passages' part of A'(A Q); parts are summed by word in a shuffle, and the driver
+    orthonormalises words x rank numbers, as many as the block's vocabulary has. A last pass gives the singular values' order.
     """
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, rank)))[0]
+    size = len(vocabulary)
+    rank = min(rank, size)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, rank)))[0]
 
     def times(q: np.ndarray) -> np.ndarray:
         q32 = q.astype(np.float32)
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((FEATURES, rank))
-            used = np.zeros(FEATURES, dtype=bool)
+            total = np.zeros((size, rank))
+            used = np.zeros(size, dtype=bool)
             for batch in batches:
-                for ids, weight in _rows(batch["text"].tolist(), idf):
+                for ids, weight in _rows(batch["text"].tolist(), vocabulary, idf):
                     total[ids] += weight[:, None] * (weight @ q32[ids])
                     used[ids] = True
             at = np.flatnonzero(used)
             yield pd.DataFrame({"f": at, "v": total[at].tolist()})
 
-        # a feature has one row a task at most
+        # a word has one row a task at most
         parts = texts.select("text").mapInPandas(part, "f long, v array<double>").groupBy("f")
         summed = parts.agg(*[F.sum(F.get("v", i)).alias(f"v{i}") for i in range(rank)]).toPandas()
-        out = np.zeros((FEATURES, rank))
+        out = np.zeros((size, rank))
         out[summed["f"].to_numpy(dtype=np.int64)] = summed.drop(columns="f").to_numpy()
         return out
 
@@ -160,24 +146,22 @@ def _holds(words: list[bytes], part: tuple) -> bool:
 class Index:
     """Passages of a block of items in the latent space, and the search for them in texts."""
 
-    def __init__(self, items: list[tuple[object, str]], idf: np.ndarray, basis: np.ndarray, cosine: float, similarity: float, paraphrase: float, min_words: int):
-        self.cosine, self.similarity, self.paraphrase = cosine, similarity, paraphrase
-        made = [x for x in _passages(items) if x[0].words >= min_words]
+    def __init__(self, items: list[tuple[object, str]], vocabulary: dict[bytes, int], idf: np.ndarray, basis: np.ndarray, cosine: float, cover: float, similarity: float, paraphrase: float, min_words: int):
+        self.cosine, self.cover, self.similarity, self.paraphrase = cosine, cover, similarity, paraphrase
+        self.vocabulary = vocabulary
         # a word's load: its idf times its latent coordinates; words of no item load nothing
-        used = sorted({feature(w) for _, part in made for w in part})
-        self.place = np.full(FEATURES, len(used), dtype=np.int32)
-        self.place[used] = np.arange(len(used))
-        self.loads = np.vstack([idf[used, None] * basis[used], np.zeros((1, basis.shape[1]))]).astype(np.float32)
+        self.loads = np.vstack([idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
+        made = [x for x in _passages(items) if x[0].words >= min_words]
         self.by_size = []
         for size in SIZES:
             own = [(p, part) for p, part in made if p.size == size]
             if own:
-                x = np.stack([self.loads[self.place[[feature(w) for w in part]]].sum(axis=0) for _, part in own])
-                self.by_size.append((size, [p for p, _ in own], (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32).T))
+                x = np.stack([self.loads[[vocabulary[w] for w in part]].sum(axis=0) for _, part in own])
+                length = np.maximum(np.linalg.norm(x, axis=1), 1e-9)
+                self.by_size.append((size, [p for p, _ in own], (x / length[:, None]).T.copy(), (cover * length).astype(np.float32)))
 
     def search(self, texts: list[str | None]) -> list[list[tuple]]:
         """Leaks (item, similarity, cosine, answer) of each text."""
-        known = _Places(self.place)
         out: list[list[tuple]] = [[] for _ in texts]
         group: list[tuple[int, list[bytes]]] = []
         held = 0
@@ -187,36 +171,38 @@ class Index:
                 group.append((i, words))
                 held += len(words)
             if held > 100_000:
-                self._group(group, known, out)
+                self._group(group, out)
                 group, held = [], 0
         if group:
-            self._group(group, known, out)
+            self._group(group, out)
         return out
 
-    def _group(self, group: list[tuple[int, list[bytes]]], known: "_Places", out: list[list[tuple]]) -> None:
+    def _group(self, group: list[tuple[int, list[bytes]]], out: list[list[tuple]]) -> None:
         grid = SIZES[-1] // 4  # every text begins on the coarsest grid
         lengths = np.array([len(w) for _, w in group])
         begin = np.concatenate(([0], np.cumsum(-(-lengths // grid) * grid)))
         flat = np.full(begin[-1], len(self.loads) - 1, dtype=np.int32)
+        place, other = self.vocabulary.get, len(self.loads) - 1
         for (_, words), b in zip(group, begin):
-            flat[b : b + len(words)] = np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
+            flat[b : b + len(words)] = [place(w, other) for w in words]
         units = np.concatenate([self.loads[flat[a : a + 65536]].reshape(-1, UNIT, self.loads.shape[1]).sum(axis=1) for a in range(0, len(flat), 65536)])
         sums = np.zeros((len(units) + 1, units.shape[1]))
         np.cumsum(units, axis=0, dtype=np.float64, out=sums[1:])
         owner = np.repeat(np.arange(len(group)), np.diff(begin))[:: UNIT]
         stop = begin[1:][owner] // UNIT
-        for size, passages, items in self.by_size:
+        for size, passages, items, least in self.by_size:
             step = size // 4 // UNIT
             starts = np.arange(0, len(units), step)
             inside = starts < (begin[owner[starts]] + lengths[owner[starts]] + UNIT - 1) // UNIT
             starts = starts[inside]
             x = (sums[np.minimum(starts + size // UNIT, stop[starts])] - sums[starts]).astype(np.float32)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            needs = np.maximum(self.cosine * np.linalg.norm(x, axis=1), 1e-12)
             for a in range(0, len(x), 8192):
                 near = x[a : a + 8192] @ items
-                rows, cols = np.nonzero(near >= self.cosine)
+                rows, cols = np.nonzero((near >= needs[a : a + 8192, None]) & (near >= least))
                 if len(rows):
-                    self._verify(group, owner[starts[a + rows]], starts[a + rows] * UNIT - begin[owner[starts[a + rows]]], cols, near[rows, cols], size, passages, out)
+                    at = starts[a + rows]
+                    self._verify(group, owner[at], at * UNIT - begin[owner[at]], cols, self.cosine * near[rows, cols] / needs[a + rows], size, passages, out)
 
     def _verify(self, group, docs, at, cols, cosines, size, passages, out) -> None:
         order = np.lexsort((-cosines, cols, docs))
@@ -238,19 +224,6 @@ class Index:
                     done = (d, c)
 
 
-class _Places(dict):
-    """Rows of loads for words, kept up to a bound."""
-
-    def __init__(self, place: np.ndarray):
-        self.place = place
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = p = int(self.place[feature(word)])
-        return p
-
-
 def _search(shared, item_type: str):
     @F.pandas_udf(f"array<struct<item:{item_type},similarity:double,cosine:double,answer:boolean>>")
     def leaks(texts: pd.Series) -> pd.Series:
@@ -260,30 +233,40 @@ def _search(shared, item_type: str):
 
 
 def leak_columns(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", docs_text: str = "text", rank: int = 64, rounds: int = 2, cosine: float = 0.5, similarity: float = 0.8, paraphrase: float = 0.6, min_words: int = 5, block: int = 5000, seed: int = 5
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", docs_text: str = "text", rank: int = 64, rounds: int = 2, cosine: float = 0.5, cover: float = 0.5, similarity: float = 0.8, paraphrase: float = 0.6, min_words: int = 5, block: int = 5000, seed: int = 5
 ) -> Column:
     """A column for ``docs``: array of (item, similarity, cosine, answer), the items that the text leaks.
 
-    IDF counts all rows of ``docs`` and ``benchmark``. The latent space is a randomised SVD of the
-    TF-IDF matrix of all benchmark passages, in Spark jobs. Windows of every text are candidates for an
-    item where their latent cosine is at least ``cosine``; then the longest common subsequence of
-    words must cover ``similarity`` of the passage, or ``paraphrase`` of it with the item's answer (what
-    follows its last question mark, or its last sentence) said word for word. Items are broadcast
-    in blocks of about ``block`` rows, each searched in all texts. Items of fewer than ``min_words``
-    words, and null ones, are never leaked; null texts leak nothing.
+    Items come in blocks of about ``block`` rows; each block's words, index and latent space are
+    broadcast, so their size is bounded by the block, and each block is searched in all texts. IDF
+    counts all rows of ``docs`` and of the block. The latent space is a randomised SVD of the TF-IDF
+    matrix of all passages of the block, in Spark jobs. Windows of every text are candidates for a
+    passage where their latent cosine is at least ``cosine`` and their part along the passage is at
+    least ``cover`` of its length; then the longest common subsequence of words must cover
+    ``similarity`` of the passage, or ``paraphrase`` of it with the item's answer (what follows its last
+    question mark, or its last sentence) said word for word. Items of fewer than ``min_words`` words,
+    and null ones, are never leaked; null texts leak nothing.
     """
+    spark = docs.sparkSession
     items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("text is not null")
     item_type = benchmark.schema[id_col].dataType.simpleString()
-    n_df, n = document_frequencies(docs.select(F.col(docs_text).alias("text")).union(items.select("text")))
-    idf = np.log((1 + n) / (1 + n_df))
-    basis = randomised_svd(items, idf, rank, rounds, seed)
+    texts = docs.select(F.col(docs_text).alias("text"))
     blocks = max(1, -(-items.count() // block))
     found = []
     for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()  # about ``block`` rows
-        index = Index([(r["item"], r["text"]) for r in own], idf, basis, cosine, similarity, paraphrase, min_words)
-        found.append(_search(docs.sparkSession.sparkContext.broadcast(index), item_type)(F.col(docs_text)))
-    return F.concat(*found) if len(found) > 1 else found[0]
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+        own = [(r["item"], r["text"]) for r in part.collect()]  # about ``block`` rows
+        vocabulary = {w: i for i, w in enumerate(sorted({w for _, text in own for w in words_of(text)}))}
+        if not vocabulary:
+            continue
+        n_df, n = document_frequencies(texts.union(part.select("text")), vocabulary)
+        idf = np.log((1 + n) / (1 + n_df))
+        basis = randomised_svd(part, vocabulary, idf, rank, rounds, seed)
+        index = Index(own, vocabulary, idf, basis, cosine, cover, similarity, paraphrase, min_words)
+        found.append(_search(spark.sparkContext.broadcast(index), item_type)(F.col(docs_text)))
+    if not found:
+        return F.array().cast(f"array<struct<item:{item_type},similarity:double,cosine:double,answer:boolean>>")
+    return F.concat(*found)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **options) -> DataFrame:
