@@ -70,7 +70,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = scratch.keep(per_hash.where("n > 1 and texts = 1").select("hash", "first"), "repeated")
     places = found.select("id", "k", "hash").join(repeated, "hash").where("not (struct(id, k) <=> first)")
     goes = scratch.keep(places.select("id", "k", "hash"), "goes")
-    goes = goes.groupBy("id").agg(F.collect_set(F.struct("k", "hash")).alias("_goes"))
+    # it grows with the input: a merge join at every size
+    goes = goes.groupBy("id").agg(F.collect_set(F.struct("k", "hash")).alias("_goes")).hint("merge")
 
     @F.pandas_udf("struct<text:string,n_lines:long,n_removed_lines:long>")
     def rebuilt(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
