@@ -64,8 +64,9 @@ def _spans(kind: str) -> Column:
 
 
 def _mentions() -> Column:
-    """Words with a digit as (inst, left, around, start, end, seed): what they say, the lexical
-    patterns around them, where they stand, and whether a base span covers part of them."""
+    """Words with a digit as (inst, left, around, start, end, seed): what they say (all of the base
+    span that they are part of, if any), the lexical patterns around them, where they stand, and
+    whether they are part of a base span."""
 
     def mention(word: Column, i: Column) -> Column:
         gap, after = F.get("token_g", i), F.get("token_g", i + 1)
@@ -77,13 +78,14 @@ def _mentions() -> Column:
         core = F.regexp_extract(word, r"^[^A-Za-z0-9+]*+(.*?)[^A-Za-z0-9]*$", 1)
         start = F.get("token_s", i) + F.length(F.regexp_extract(word, r"^[^A-Za-z0-9+]*+", 0))
         end = start + F.length(core)
+        over = F.get(F.filter("all_spans", lambda s: (s["start"] < end) & (s["end"] > start)), 0)
         return F.struct(
-            F.lower(core).alias("inst"),
+            F.lower(F.when(over.isNull(), core).otherwise(F.substring("text", over["start"] + 1, over["end"] - over["start"]))).alias("inst"),
             left.alias("left"),
             F.concat_ws(" ", near, F.lit("_"), F.when(right != "", right).otherwise("<end>")).alias("around"),
             start.alias("start"),
             end.alias("end"),
-            F.exists("all_spans", lambda s: (s["start"] < end) & (s["end"] > start)).alias("seed"),
+            over.isNotNull().alias("seed"),
         )
 
     return F.transform("token_m", mention)
