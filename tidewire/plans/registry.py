@@ -5,3 +5,18 @@ from __future__ import annotations
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "ranked_queue"
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, and the SQL that gives the same rows."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+from tidewire.plans import feeds, newsroom, records, texts  # noqa: E402, F401
