@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import hits
-
 #: What each maintenance agent's log lines hold, in order.
 AGENTS = {
     "redacao": ("redacao", "preview", "materia", "fonte", "contaminada", "fallback", "openai", "score", "bloqueante"),
@@ -19,16 +17,19 @@ AGENTS = {
 }
 
 
-def first_greatest(counts: dict[str, Column], default: str) -> Column:
-    """The name of the greatest count, the first on ties, or ``default`` where all are 0."""
-    top = F.greatest(*counts.values()) if len(counts) > 1 else next(iter(counts.values()))
-    named = F.coalesce(*[F.when(c == top, name) for name, c in counts.items()])
-    return F.when(top > 0, named).otherwise(default)
+def count_hits(text: Column, terms: tuple[str, ...]) -> Column:
+    """How many of the terms the text holds."""
+    total = F.lit(0)
+    for term in terms:
+        total = total + F.contains(text, F.lit(term)).cast("int")
+    return total
 
 
 def by_dictionary(text: Column, dictionary: dict[str, tuple[str, ...]], default: str) -> Column:
-    """The class with most of its terms in the text."""
-    return first_greatest({name: F.size(hits(text, terms)) for name, terms in dictionary.items()}, default)
+    """Struct (n, name) of the class with most of its terms in the text, the first on ties; ``default`` where none has any."""
+    counted = [F.struct(count_hits(text, terms).alias("n"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, terms) in enumerate(dictionary.items())]
+    none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("place"), F.lit(default).alias("name"))
+    return F.array_max(F.array(none, *counted))
 
 
 def term_score(text: Column, weights: dict[str, int], cap: int) -> Column:

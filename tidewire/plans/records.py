@@ -133,7 +133,7 @@ def log_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines by the agent whose patterns they hold most of, the first on ties."""
     extra = F.when(F.col("event_id") % 3 == 0, " rss 429").when(F.col("event_id") % 5 == 0, " imagem fila").otherwise("")
     line = F.lower(F.concat("event_type", F.lit(" "), "props", extra))
-    rows = read_table(spark, sf_dir, "events").select(classify.by_dictionary(line, classify.AGENTS, "regressao").alias("agent"))
+    rows = read_table(spark, sf_dir, "events").select(classify.by_dictionary(line, classify.AGENTS, "regressao")["name"].alias("agent"))
     return rows.groupBy("agent").agg(F.count("*").alias("n"))
 
 

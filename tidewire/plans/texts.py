@@ -69,10 +69,9 @@ _MOST = f"greatest({', '.join(CHANNELS)})"
 SELECT doc_id, CASE WHEN {_MOST} = 0 THEN 'other' {' '.join(f"WHEN {n} = {_MOST} THEN '{n}'" for n in CHANNELS)} END AS channel, CASE WHEN {_MOST} >= 4 THEN 'high' WHEN {_MOST} >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM c""")
 def channel_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel with most dictionary terms, the first on ties, and its confidence."""
-    low = F.lower("text")
-    most = F.greatest(*[F.size(text.hits(low, terms)) for terms in CHANNELS.values()])
-    sure = F.when(most >= 4, "high").when(most >= 2, "medium").otherwise("low")
-    return read_table(spark, sf_dir, "documents").select("doc_id", classify.by_dictionary(low, CHANNELS, "other").alias("channel"), sure.alias("confidence"))
+    best = classify.by_dictionary(F.lower("text"), CHANNELS, "other")
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", best.alias("b"))
+    return rows.select("doc_id", F.col("b.name").alias("channel"), F.when(F.col("b.n") >= 4, "high").when(F.col("b.n") >= 2, "medium").otherwise("low").alias("confidence"))
 
 
 @query(r"""WITH p AS (SELECT doc_id, (CASE WHEN length(text) < 500 THEN 20 ELSE 0 END + CASE WHEN length(split_part(text, chr(10), 1)) > 80 THEN 15 ELSE 0 END + CASE WHEN contains(text, '—') THEN 4 ELSE 0 END
