@@ -58,3 +58,30 @@ def looks_like_article(url: Column) -> Column:
     bad = F.arrays_overlap(F.slice(parts, 1, 3), F.array(*map(F.lit, BAD)))
     fits = web & (host(url) != "") & (F.size(parts) > 0) & ~asset & ~bad & (path(url).rlike(DATED) | named | long)
     return F.coalesce(fits, F.lit(False))
+
+
+def source_kind(url: Column) -> Column:
+    """Kind of a source by its address: blank, sitemap, feed, mobile, else html; null is blank."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    kinds = F.when(F.trim(low) == "", "blank").when(low.rlike("[.]xml|sitemap"), "sitemap").when(low.rlike("feed|rss|atom"), "feed")
+    return kinds.when(low.rlike("://m[.]"), "mobile").otherwise("html")
+
+
+def variants(url: Column) -> Column:
+    """Alternates in the order of trial: as it is, desktop host, bare host, accelerated and print page."""
+    base = F.regexp_replace(F.regexp_extract(url, r"^[^?#]*", 0), "/+$", "")
+    forms = (base, F.regexp_replace(base, r"://m\.", "://www."), F.regexp_replace(base, r"://(www\.|m\.)", "://"), F.concat(base, F.lit("/amp")), F.concat(base, F.lit("?print=1")))
+    return F.array(*forms)
+
+
+def secure(url: Column, prefixes: str = "utm_|fbclid|gclid|ref|src|mc_") -> Column:
+    """Secure scheme, lower-cased host, no fragment and no parameter whose name starts with one of the prefixes."""
+    kept = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).rlike(f"^({prefixes})"))
+    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    return F.concat(F.lit("https://"), F.lower(F.regexp_extract(url, r"://([^/?#]*)", 1)), path(url), tail)
+
+
+def slug_title(path: Column) -> Column:
+    """The last part of a path with separators as spaces, its first letter a capital."""
+    said = F.regexp_replace(F.regexp_extract(F.regexp_replace(path, "/+$", ""), "[^/]*$", 0), "[-_.]+", " ")
+    return F.concat(F.upper(F.substring(said, 1, 1)), F.substring(said, 2, 1 << 30))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What each maintenance agent's log lines hold, in order.
@@ -47,3 +47,20 @@ def gate(*steps: tuple[Column, str], passed: str = "ok") -> Column:
 
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+
+
+def top_terms(df: DataFrame, key: str, text: str, n: int, least: int = 4) -> DataFrame:
+    """(key, term, weight, rank): the ``n`` terms of greatest TF-IDF weight of each row, terms of ``least`` letters or more.
+
+    Term counts are summed before they are shuffled, and words are joined by their document
+    frequency, a table that Spark broadcasts only where its size allows it. Keys are expected to be
+    unique: rows of one key count as one text. Null and empty texts have no terms.
+    """
+    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " ")), " "), lambda w: F.length(w) >= least)
+    counts = df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    total = df.count()
+    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.round(F.col("tf") * F.log((1 + F.lit(total)) / (1 + F.col("df"))), 6)
+    weighed = counts.join(frequency, "term").select(key, "term", weight.alias("weight"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), "term"))
+    return weighed.withColumn("rank", rank).where(F.col("rank") <= n)

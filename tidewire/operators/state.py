@@ -48,3 +48,35 @@ def adaptive_thresholds(df: DataFrame, key: str, order: list[str], accepted: Col
             yield batch.drop(columns="accepted").assign(threshold=out)
 
     return rows.mapInPandas(fold, schema)
+
+
+def adaptive_intervals(df: DataFrame, key: str, order: list[str], found: Column, start: int = 1800, low: int = 300, high: int = 3600) -> DataFrame:
+    """(key, order columns, seconds): each key's waiting time after each cycle, in order: a fifth longer (to ``high``) where
+    none of the last three cycles found anything, 15 per cent shorter (to ``low``) where two or more did; whole seconds.
+
+    Rows are folded as they stream by in order; the first two cycles of a key change nothing. A null find counts as none.
+    """
+    rows = df.select(key, *order, F.coalesce(found, F.lit(False)).alias("found")).repartition(key).sortWithinPartitions(key, *order)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "found") + ", seconds int"
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, now, last = object(), start, []
+        for batch in batches:
+            out = []
+            for k, ok in zip(batch[key].tolist(), batch["found"].tolist()):
+                if k != held:
+                    held, now, last = k, start, []
+                last = [*last[-2:], bool(ok)]
+                if len(last) == 3:
+                    now = min(int(now * 1.2), high) if not any(last) else max(int(now * 0.85), low) if sum(last) >= 2 else now
+                out.append(now)
+            yield batch.drop(columns="found").assign(seconds=out)
+
+    return rows.mapInPandas(fold, schema)
+
+
+def cooling(df: DataFrame, key: str, ts: str, order: list[str], failed: Column, seconds: int = 600) -> DataFrame:
+    """Adds ``waits``: the row comes less than ``seconds`` after an earlier failure of its key."""
+    before = Window.partitionBy(key).orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(failed, F.col(ts))).over(before)
+    return df.withColumn("waits", F.coalesce(F.timestamp_diff("SECOND", last, F.col(ts)) < seconds, F.lit(False)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +25,11 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows written to the folder in spark.checkpoint.dir, which cuts the lineage; a folder of our own where that is unset, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
