@@ -55,6 +55,14 @@ def test_chat_round_trip(make):
     assert once.count("### assistant:") == 1
 
 
+def test_long_conversation(spark):
+    turns = spark.range(6000).selectExpr("1L conv_id", "id turn", "if(id % 3 = 0, 'assistant', 'user') role", "concat('said # ', id) text")
+    made = chat_format.format_conversations(turns)
+    back, learned = made.select(chat_format.read_back(F.col("formatted")), chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))).first()
+    assert [tuple(t) for t in back] == [("user" if i % 3 else "assistant", f"said # {i}") for i in range(6000)]
+    assert learned == "".join(f"said # {i}" for i in range(0, 6000, 3))
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
@@ -74,6 +82,7 @@ def base(text):
 PII_TEXTS = [
     None, "", "a@b.c_d@e.f x@y", "é 😀 me@mail.example.com, 1.2.3.4.5.6.7.8 300.1.1.1 000255.0.0.01", "4111 1111-1111 1111 and 4111111111111112",
     "+1 (017) 555-7713 rethsh +1 +49.30.12", "1" * 5000, "a" * 50_000 + "@x.y", "x@" + "a." * 20_000 + "b", "+1" + "(" * 3000,
+    " ".join(f"w 10.2.{i % 300}.7 x{i}" for i in range(3000)), "a" * 200_000 + " b 12345 1" + "(" * 100_000 + "2",
 ]
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import in_blocks, let, starts_of
+
 HEAD, END = "### ", "</turn>\n"
 #: What stands for the characters that control strings are made of; the backslash comes first.
 ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
@@ -70,14 +72,10 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
             )
         ),
     )
-    made = made.withColumn("sizes", F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END)))
-    spans = F.transform(
-        "pieces",
-        lambda p, i: F.struct(
-            p["learn"].alias("learn"),
-            (F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, x: a + x) + F.length(p["head"])).alias("start"),
-            F.length(p["body"]).alias("length"),
-        ),
+    sizes = F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END))
+    spans = let(
+        starts_of(sizes),
+        lambda at: F.transform("pieces", lambda p, i: F.struct(p["learn"].alias("learn"), (F.get(at, i) + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length"))),
     )
     return made.select(
         F.col("conv").alias(conv_col),
@@ -88,17 +86,22 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted text as array of (role, text): the exact reverse of the template."""
-    blocks = F.filter(F.split(formatted, HEAD), lambda b: b != "")
-    turns = F.transform(
-        blocks,
-        lambda b: F.transform(
-            F.slice(F.split(F.regexp_extract(b, r"(?s)^[^:]*:\n(.*)$", 1), END), 1, F.size(F.split(b, END)) - 1),
-            lambda said: F.struct(unescape(F.regexp_extract(b, r"^[^:]*", 0), ROLE_ESCAPES).alias("role"), unescape(said).alias("text")),
-        ),
-    )
-    return F.flatten(turns)
+
+    def block_turns(b: Column) -> Column:
+        body = F.split(F.regexp_extract(b, r"(?s)^[^:]*+:\n(.*)$", 1), END)
+        role = unescape(F.regexp_extract(b, r"^[^:]*+", 0), ROLE_ESCAPES)
+        return let(role, lambda said_by: let(body, lambda said: F.transform(F.slice(said, 1, F.size(said) - 1), lambda t: F.struct(said_by.alias("role"), unescape(t).alias("text")))))
+
+    return F.flatten(F.transform(F.filter(F.split(formatted, HEAD), lambda b: b != ""), block_turns))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+    """All text under the loss mask, unescaped, with nothing between. The text is cut for blocks of spans, then for each span."""
+
+    def cut(text: Column, own: Column) -> Column:
+        first, last = F.get(own, 0), F.get(own, F.size(own) - 1)
+        part = F.substring(text, first["start"] + 1, last["start"] + last["length"] - first["start"])
+        return let(part, lambda said: F.array_join(F.transform(own, lambda s: unescape(F.substring(said, s["start"] - first["start"] + 1, s["length"]))), ""))
+
+    learned = let(formatted, lambda text: F.array_join(F.transform(in_blocks(spans), lambda own: cut(text, own)), ""))
+    return F.when(F.size(spans) > 0, learned).otherwise("")

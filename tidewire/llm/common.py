@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +73,28 @@ def text_of(column: str = "text") -> Column:
 def text_key(column: Column) -> Column:
     """128-bit key of a text: rows with equal texts have equal keys."""
     return F.md5(column)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body and its lambdas name it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def in_blocks(items: Column, size: int = 128) -> Column:
+    """An array as an array of arrays of ``size`` items; the last may be shorter."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / size).cast("int") - 1), lambda b: F.slice(items, b * size + 1, F.lit(size)))
+
+
+def starts_of(sizes: Column) -> Column:
+    """Sum of the items before each item of an array of ints, summed in blocks: long arrays take little more than linear time."""
+
+    def total(own: Column) -> Column:
+        return F.aggregate(own, F.lit(0), lambda a, x: a + x)
+
+    def summed(blocks: Column) -> Column:
+        sums = F.transform(blocks, total)
+        before = let(sums, lambda t: F.transform(t, lambda _, b: total(F.slice(t, 1, b))))
+        return let(before, lambda at: F.flatten(F.transform(blocks, lambda own, b: F.transform(own, lambda _, i: F.get(at, b) + total(F.slice(own, 1, i))))))
+
+    none = F.array().cast("array<int>")
+    return let(sizes, lambda s: F.when(F.size(s) > 0, let(in_blocks(s), summed)).otherwise(none))

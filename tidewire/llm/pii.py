@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import Scratch, text_key
+from tidewire.llm.common import Scratch, in_blocks, let, starts_of, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Possessive quantifiers and the look-behinds find the same matches as the plain
@@ -49,46 +49,69 @@ def _cut(df: DataFrame, name: str, pattern: str, needs: str) -> DataFrame:
     there = F.rlike("text", F.lit(needs))
     df = df.withColumn(f"{name}_m", F.when(there, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     df = df.withColumn(f"{name}_g", F.when(F.size(f"{name}_m") > 0, F.split("text", pattern, -1)))
-    df = df.withColumn("_n", F.transform(f"{name}_m", lambda m, i: F.length(m) + F.length(F.get(f"{name}_g", i))))
-    starts = F.transform(f"{name}_m", lambda m, i: F.aggregate(F.slice("_n", 1, i), F.lit(0), lambda a, x: a + x) + F.length(F.get(f"{name}_g", i)))
-    return df.withColumn(f"{name}_s", starts).drop("_n")
+    sizes = F.transform(f"{name}_m", lambda m, i: F.length(m) + F.length(F.get(f"{name}_g", i)))
+    starts = let(starts_of(sizes), lambda at: F.transform(f"{name}_m", lambda m, i: F.get(at, i) + F.length(F.get(f"{name}_g", i))))
+    return df.withColumn(f"{name}_s", starts)
 
 
 def _spans(kind: str) -> Column:
-    """Valid matches of a kind as array of (start, end)."""
+    """Valid matches of a kind as array of (start, end, said)."""
     found = F.transform(
         f"{kind}_m",
-        lambda m, i: F.struct(F.get(f"{kind}_s", i).alias("start"), (F.get(f"{kind}_s", i) + F.length(m)).alias("end"), _valid(kind, m).alias("ok")),
+        lambda m, i: F.struct(F.get(f"{kind}_s", i).alias("start"), (F.get(f"{kind}_s", i) + F.length(m)).alias("end"), m.alias("said"), _valid(kind, m).alias("ok")),
     )
-    return F.transform(F.filter(found, lambda x: x["ok"]), lambda x: F.struct(x["start"], x["end"]))
+    return F.transform(F.filter(found, lambda x: x["ok"]), lambda x: F.struct(x["start"], x["end"], x["said"]))
+
+
+def _span_blocks(spans: Column) -> Column:
+    """Spans in order, in blocks of (low, high, own), so that a look-up passes over whole blocks."""
+    ordered = F.array_sort(spans)
+    blocks = F.transform(in_blocks(ordered), lambda own: F.struct(F.get(own, 0)["start"].alias("low"), F.array_max(F.transform(own, lambda s: s["end"])).alias("high"), own.alias("own")))
+    return F.when(F.size(spans) > 0, blocks).otherwise(F.array())
 
 
 def _mentions() -> Column:
     """Words with a digit as (inst, left, around, start, end, seed): what they say (all of the base
     span that they are part of, if any), the lexical patterns around them, where they stand, and
-    whether they are part of a base span."""
+    whether they are part of a base span. The patterns try each word of a gap once, from its start.
+    Arrays that lambdas look into are bound with ``let``: a column named once in a lambda could be
+    merged into it, and would be worked out for every word."""
 
-    def mention(word: Column, i: Column) -> Column:
-        gap, after = F.get("token_g", i), F.get("token_g", i + 1)
-        near = F.lower(F.regexp_extract(gap, r"(\S+)\s*$", 1))
-        far = F.lower(F.regexp_extract(gap, r"(\S+)\s+\S+\s*$", 1))
-        # a gap of less than two words goes on in the word with a digit before it
-        left = F.concat_ws(" ", F.when(far != "", far).when(i > 0, "<id>").otherwise("<start>"), F.when(near != "", near).otherwise("<id>"))
-        right = F.lower(F.regexp_extract(after, r"^\s*(\S+)", 1))
-        core = F.regexp_extract(word, r"^[^A-Za-z0-9+]*+(.*?)[^A-Za-z0-9]*$", 1)
-        start = F.get("token_s", i) + F.length(F.regexp_extract(word, r"^[^A-Za-z0-9+]*+", 0))
-        end = start + F.length(core)
-        over = F.get(F.filter("all_spans", lambda s: (s["start"] < end) & (s["end"] > start)), 0)
+    def parts(gaps: Column, starts: Column, word: Column, i: Column) -> Column:
+        gap, after = F.get(gaps, i), F.get(gaps, i + 1)
         return F.struct(
-            F.lower(F.when(over.isNull(), core).otherwise(F.substring("text", over["start"] + 1, over["end"] - over["start"]))).alias("inst"),
-            left.alias("left"),
-            F.concat_ws(" ", near, F.lit("_"), F.when(right != "", right).otherwise("<end>")).alias("around"),
-            start.alias("start"),
-            end.alias("end"),
-            over.isNotNull().alias("seed"),
+            F.lower(F.regexp_extract(gap, r"(?<!\S)(\S++)\s*+\z", 1)).alias("near"),
+            F.lower(F.regexp_extract(gap, r"(?<!\S)(\S++)\s++\S++\s*+\z", 1)).alias("far"),
+            F.lower(F.regexp_extract(after, r"^\s*+(\S++)", 1)).alias("right"),
+            F.regexp_replace(word, r"^[^A-Za-z0-9+]++|(?<=[A-Za-z0-9])[^A-Za-z0-9]++\z", "").alias("core"),
+            (F.get(starts, i) + F.length(F.regexp_extract(word, r"^[^A-Za-z0-9+]*+", 0))).alias("start"),
+            (i > 0).alias("later"),
+        )
+
+    def over(blocks: Column, start: Column, end: Column) -> Column:
+        """The first base span that shares a character with start to end, or null."""
+        near = F.filter(blocks, lambda b: (b["low"] < end) & (b["high"] > start))
+        return F.get(F.flatten(F.transform(near, lambda b: F.filter(b["own"], lambda s: (s["start"] < end) & (s["end"] > start)))), 0)
+
+    def mention(blocks: Column, w: Column) -> Column:
+        end = w["start"] + F.length(w["core"])
+        # a gap of less than two words goes on in the word with a digit before it
+        left = F.concat_ws(" ", F.when(w["far"] != "", w["far"]).when(w["later"], "<id>").otherwise("<start>"), F.when(w["near"] != "", w["near"]).otherwise("<id>"))
+        around = F.concat_ws(" ", w["near"], F.lit("_"), F.when(w["right"] != "", w["right"]).otherwise("<end>"))
+        return let(
+            over(blocks, w["start"], end),
+            lambda base: F.struct(
+                F.lower(F.coalesce(base["said"], w["core"])).alias("inst"),
+                left.alias("left"),
+                around.alias("around"),
+                w["start"].alias("start"),
+                end.alias("end"),
+                base.isNotNull().alias("seed"),
+            ),
         )
 
-    return F.transform("token_m", mention)
+    words = let(F.col("token_g"), lambda gaps: let(F.col("token_s"), lambda starts: F.transform("token_m", lambda word, i: parts(gaps, starts, word, i))))
+    return let(F.col("span_blocks"), lambda blocks: F.transform(words, lambda w: mention(blocks, w)))
 
 
 def find_pii(
@@ -119,8 +142,9 @@ def find_pii(
     cut = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     for kind in KINDS:
         cut = _cut(cut, kind, PATTERNS[kind], NEEDS[kind]).withColumn(kind, _spans(kind)).drop(f"{kind}_m", f"{kind}_g", f"{kind}_s")
-    cut = _cut(cut, "token", TOKEN, "[0-9]").withColumn("all_spans", F.concat(*KINDS))
-    base = scratch.keep(cut.select("id", text_key(F.col("text")).alias("key"), *KINDS, _mentions().alias("mentions")), "base")
+    cut = _cut(cut, "token", TOKEN, "[0-9]").withColumn("span_blocks", _span_blocks(F.concat(*KINDS)))
+    places = [F.transform(k, lambda s: F.struct(s["start"], s["end"])).alias(k) for k in KINDS]
+    base = scratch.keep(cut.select("id", text_key(F.col("text")).alias("key"), *places, _mentions().alias("mentions")), "base")
 
     mentions = base.where(F.size("mentions") > 0).select("key", F.inline("mentions"))
     pairs = mentions.select("key", "inst", "start", "end", "seed", F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("A "), "around"))).alias("pattern"))
