@@ -82,7 +82,7 @@ def base(text):
 PII_TEXTS = [
     None, "", "a@b.c_d@e.f x@y", "é 😀 me@mail.example.com, 1.2.3.4.5.6.7.8 300.1.1.1 000255.0.0.01", "4111 1111-1111 1111 and 4111111111111112",
     "+1 (017) 555-7713 rethsh +1 +49.30.12", "1" * 5000, "a" * 50_000 + "@x.y", "x@" + "a." * 20_000 + "b", "+1" + "(" * 3000,
-    " ".join(f"w 10.2.{i % 300}.7 x{i}" for i in range(3000)), "a" * 200_000 + " b 12345 1" + "(" * 100_000 + "2",
+    " ".join(f"w 10.2.{i % 300}.7 x{i}" for i in range(3000)), ";" * 200_000 + " b 12345 1" + "(" * 100_000 + "2",
 ]
 
 
