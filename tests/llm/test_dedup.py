@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewire.llm import embedding_dedup, line_dedup, queries, simhash, suffix_dedup
 from tidewire.llm.common import Scratch
 from tidewire.llm.components import connected_components
@@ -108,6 +109,47 @@ def test_lines(spark, make, sf):
         assert r["kept_sha256"] == hashlib.sha256(want[r["doc_id"]].encode()).hexdigest()
 
 
+def test_short_passages_of_many_words_go(spark, make):
+    rng = random.Random(9)
+    rows, plants = [], []
+    for n in range(1, 7):  # passages of 1 to 6 lines, 51 to 66 words
+        plants.append([" ".join(f"p{n}w{rng.randrange(10**6)}" for _ in range(51 // n + 1)) for _ in range(n)])
+    plants.append([*plants[0][:1], "", " ".join(f"z{i}" for i in range(60))])  # lines without words between
+    for i in range(60):
+        own = [f"own {i} {j} {rng.random()}" for j in range(rng.randrange(2, 9))]
+        at = rng.randrange(len(own) + 1)
+        rows.append((i, "\n".join(own[:at] + plants[i % 7] + own[at:])))
+    rows += [(60, None), (61, plants[0][0]), (None, "x\n" + plants[3][0] + "\ny")]
+    short = "fifty words " * 25
+    rows += [(62, f"a\n{short}\nb"), (63, f"c\n{short}\nd")]  # one line of just 50 words
+    docs = make(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, passage_words=50).collect()}
+    assert got[60] is None and got[61] == "" and short in got[63] and got[None] == rows[62][1]
+    for i, text in rows[:60]:
+        own = [x for x in text.split("\n") if x.startswith("own")]
+        assert [x for x in got[i].split("\n") if x.startswith("own")] == own
+        if i >= 7:
+            assert got[i] == "\n".join(own)
+    assert all(x in "\n".join(got[i] for i in range(7)) for p in plants for x in p)
+    # the pipeline's stage does so
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"]
+    done = {r["doc_id"]: r["text"] for r in stage(spark, docs.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1)}), "").collect()}
+    assert done == got
+
+
+def test_line_passages_cover_every_run():
+    rng = random.Random(10)
+    for _ in range(300):
+        lines = [" ".join("w" * rng.choice((0, 1, 2, 5, 9))) for _ in range(rng.randrange(1, 12))]
+        found = line_dedup.line_passages(lines, 8)
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                words = sum(len(x.split()) for x in lines[a:b])
+                inside = {i for x, y in found if a <= x and y <= b for i in range(x, y)}
+                assert (words > 8) == bool(inside)
+                assert words <= 8 or {i for i in range(a, b) if lines[i]} <= inside
+
+
 def test_boundaries_resist_shifts():
     lines = [f"line {i}" for i in range(200)]
     cut = lambda x: {"\n".join(x[a:b]) for a, b in line_dedup.line_chunks("\n".join(x), 2, 3)}

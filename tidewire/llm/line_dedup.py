@@ -37,41 +37,101 @@ def line_chunks(text: str, window: int, divisor: int) -> list[tuple[int, int]]:
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 3, min_lines: int = 2) -> DataFrame:
+def line_passages(lines: list[str], over: int) -> set[tuple[int, int]]:
+    """(first line, end line) of the shortest runs of more than ``over`` words that begin, or that end, at each line with words.
+
+    They depend on their own lines alone. Every run of more than ``over`` words, from a line with
+    words to a line with words, is covered by those that lie in it, however short it is: the last
+    of the ones that end with it begins no later than one that begins there.
+    """
+    sizes = [len(x.split()) for x in lines]
+    at = [i for i, n in enumerate(sizes) if n]
+    out, i, j, held = set(), 0, 0, 0
+    for j, b in enumerate(at):  # the shortest that ends here
+        held += sizes[b]
+        while held - sizes[at[i]] > over:
+            held -= sizes[at[i]]
+            i += 1
+        if held > over:
+            out.add((at[i], b + 1))
+    j, held = 0, 0
+    for a in at:  # the shortest that begins here
+        while j < len(at) and held <= over:
+            held += sizes[at[j]]
+            j += 1
+        if held <= over:
+            break
+        out.add((a, at[j - 1] + 1))
+        held -= sizes[a]
+    return out
+
+
+def _digests(lines: list[str]) -> list[bytes]:
+    return [hashlib.md5(x.encode("utf-8", "surrogatepass")).digest() for x in lines]
+
+
+def _of_run(digests: list[bytes], a: int, b: int) -> bytes:
+    return hashlib.md5(b"".join(digests[a:b])).digest()
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 3, min_lines: int = 2, passage_words: int | None = None) -> DataFrame:
     """The columns of ``docs``, ``text`` without repeated chunks, and n_lines, n_removed_lines.
 
-    Chunks of ``min_lines`` lines or more that say the same stay where the smallest (id, place) is,
-    and go elsewhere, also within one document. Chunks are grouped by hash and by their bytes, so
-    equal hashes of different bytes never count as a repeat. Where a text is left without lines it
-    is empty. Null text stays null and has no lines; empty texts and texts of one line have no
-    chunk. Null ids sort first. Rows that share an id and a first chunk keep it each. Columns named
-    like the added ones are replaced. No rows give no rows.
+    Chunks of ``min_lines`` lines or more that say the same stay where the smallest (id, first line)
+    is, and go elsewhere, also within one document. With ``passage_words``, so do all runs of whole
+    lines of more than that many words, wherever chunks end and however few lines they have, and
+    lines without words between two lines that go. Every line that goes stands at a smaller place,
+    so no line goes everywhere. Runs are found by hash, and the bytes of all that repeat are
+    compared, so equal hashes of different bytes never count as a repeat. Where a text is left
+    without lines it is empty. Null text stays null and has no lines; empty texts and texts of one
+    line have no chunk. Null ids sort first. Rows that share an id and a first run at one place keep
+    it each. Columns named like the added ones are replaced. No rows give no rows.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<at:array<int>,n:array<int>,hash:array<binary>>")
+    def runs(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts.tolist():
+            lines = text.split("\n")
+            found = {(a, b) for a, b in line_chunks(text, window, divisor) if b - a >= min_lines} if len(lines) > 1 else set()
+            if passage_words is not None:
+                found |= line_passages(lines, passage_words)
+            digests = _digests(lines) if found else []
+            rows.append(([a for a, _ in found], [b - a for a, b in found], [_of_run(digests, a, b) for a, b in found]))
+        return pd.DataFrame(rows, columns=["at", "n", "hash"])
+
+    def said(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["id"].tolist(), batch["text"].tolist(), strict=True):
+            for text, places in zip(batch["text"].tolist(), batch["places"].tolist(), strict=True):
                 lines = text.split("\n")
-                for k, (a, b) in enumerate(line_chunks(text, window, divisor)):
-                    if b - a >= min_lines:
-                        said = "\n".join(lines[a:b])
-                        rows.append((key, k, hashlib.md5(said.encode("utf-8", "surrogatepass")).digest(), said))
-            out = pd.DataFrame(rows, columns=["id", "k", "hash", "said"])
-            yield out.astype({"id": "Int64"}) if batch["id"].dtype.kind == "f" else out
-
-    found = own.where(F.instr("text", "\n") > 0).mapInPandas(chunks, f"id {id_type}, k int, hash binary, said string")
-    # byte comparison: rows are grouped by hash and by what they say, so a hash with one group has one text
-    same = found.groupBy("hash", "said").agg(F.min(F.struct("id", "k")).alias("first"), F.count("*").alias("n"))
-    per_hash = same.groupBy("hash").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("texts"))
-    repeated = scratch.keep(per_hash.where("n > 1 and texts = 1").select("hash", "first"), "repeated")
-    places = found.select("id", "k", "hash").join(repeated, "hash").where("not (struct(id, k) <=> first)")
-    goes = scratch.keep(places.select("id", "k", "hash"), "goes")
+                digests = _digests(lines)
+                for x in places:
+                    if _of_run(digests, x["at"], x["at"] + x["n"]) == bytes(x["hash"]):
+                        rows.append((bytes(x["hash"]), "\n".join(lines[x["at"] : x["at"] + x["n"]])))
+                        held += len(rows[-1][1])
+                        if held > 1_000_000:
+                            yield pd.DataFrame(rows, columns=["hash", "said"])
+                            rows, held = [], 0
+        yield pd.DataFrame(rows, columns=["hash", "said"])
+
+    kept = own.where("text is not null" if passage_words is not None else F.instr("text", "\n") > 0)
+    found = kept.select("id", runs("text").alias("r")).select("id", F.inline(F.arrays_zip("r.at", "r.n", "r.hash")))
+    found = scratch.keep(found.toDF("id", "at", "n", "hash"), "found")
+    per_hash = found.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("times"))
+    repeated = scratch.keep(per_hash.where("times > 1").select("hash", "first"), "repeated")
+    places = scratch.keep(found.join(repeated, "hash"), "places")
+    scratch.drop("found", "repeated")
+    # byte comparison: a hash of different texts is no repeat
+    sought = places.groupBy("id").agg(F.collect_set(F.struct("at", "n", "hash")).alias("places")).withColumnRenamed("id", "_key").hint("merge")
+    texts = kept.join(sought, F.col("id").eqNullSafe(F.col("_key"))).select("text", "places").mapInPandas(said, "hash binary, said string").distinct()
+    mixed = scratch.keep(texts.groupBy("hash").count().where("count > 1").select("hash"), "mixed")
+    goes = scratch.keep(places.where("not (struct(id, at) <=> first)").join(mixed, "hash", "left_anti").select("id", "at", "n", "hash"), "goes")
+    scratch.drop("places")
     # it grows with the input: a merge join at every size
-    goes = goes.groupBy("id").agg(F.collect_set(F.struct("k", "hash")).alias("_goes")).hint("merge")
+    goes = goes.groupBy("id").agg(F.collect_set(F.struct("at", "n", "hash")).alias("_goes")).hint("merge")
 
     @F.pandas_udf("struct<text:string,n_lines:long,n_removed_lines:long>")
     def rebuilt(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
@@ -84,14 +144,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if own is None or not len(own):
                 rows.append((text, len(lines), 0))
                 continue
-            out, n = {(x["k"], bytes(x["hash"])) for x in own}, 0
-            stay: list[str] = []
-            for k, (a, b) in enumerate(line_chunks(text, window, divisor)):
-                if (k, hashlib.md5("\n".join(lines[a:b]).encode("utf-8", "surrogatepass")).digest()) in out:
-                    n += b - a
-                else:
-                    stay += lines[a:b]
-            rows.append(("\n".join(stay), len(lines), n))
+            out, digests = bytearray(len(lines)), _digests(lines)
+            for x in own:
+                a, b = x["at"], x["at"] + x["n"]
+                # rows that share the id can hold other lines here
+                if b <= len(lines) and _of_run(digests, a, b) == bytes(x["hash"]):
+                    out[a:b] = b"\1" * (b - a)
+            if passage_words is not None:
+                worded = [i for i, x in enumerate(lines) if x.strip()]
+                for a, b in zip(worded, worded[1:]):
+                    if out[a] and out[b]:
+                        out[a:b] = b"\1" * (b - a)
+            rows.append(("\n".join(x for x, go in zip(lines, out) if not go), len(lines), sum(out)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed_lines"])
 
     others = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
