@@ -1,4 +1,4 @@
-"""SimHash near-dedup: fingerprints, deletion-variant signatures and connected components."""
+"""SimHash near-dedup (fingerprints, deletion-variant signatures, connected components), and near copies by the shingles they share."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import Scratch
+from tidewire.llm.common import Scratch, text_key
 from tidewire.llm.components import connected_components
 
 #: Runs of equal signatures up to this size are compared pair by pair; longer ones by growing classes.
@@ -164,11 +164,113 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def shingles(text: str, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles of a text; a text of fewer words has one, a wordless text none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    n = max(1, len(words) - width + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), seed) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def _minima(grams: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """The least value of each hash function over the shingles, in blocks."""
+    out = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for a in range(0, len(grams), 1024):
+        np.minimum(out, (factors[:, None] * grams[None, a : a + 1024] + shifts[:, None]).min(axis=1), out=out)
+    return out
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 6, seed: int = 42) -> DataFrame:
+    """(id, text_key, root): one row a row of ``docs``; texts of one root are linked by pairs whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Texts of equal sets are one node. Candidates share one of ``bands`` keys of ``rows`` minima each
+    (a pair at 0.8 shares none with a chance of 0.0001); every candidate pair between classes is
+    compared by all its shingles, unless its sketch of all minima puts it far below ``similarity``.
+    A key's nodes are first compared with two drawn from them, so that a large group of near copies is
+    one class before pairs are made, then across the classes that are left; no group is capped.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    draw = np.random.default_rng(seed)
+    factors = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shifts = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+
+    @F.pandas_udf("struct<node:binary,keys:array<long>,sketch:binary>")
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts.tolist():
+            grams = shingles(text or "", width, seed)
+            node = xxhash.xxh3_128_digest(grams.tobytes())
+            if not len(grams):
+                out.append((node, [], b""))
+                continue
+            least = _minima(grams, factors, shifts)
+            keys = [xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)]
+            out.append((node, np.array(keys, dtype=np.uint64).view(np.int64).tolist(), (least >> np.uint64(20)).astype(np.uint8).tobytes()))
+        return pd.DataFrame(out, columns=["node", "keys", "sketch"])
+
+    @F.pandas_udf("binary")
+    def grams_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t or "", width, seed).tobytes() for t in texts.tolist()])
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([float(np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8))) for x, y in zip(a, b)], dtype=float)
+
+    @F.pandas_udf("double")
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / (len(x) + len(y) - both))
+        return pd.Series(out, dtype=float)
+
+    text = F.col(text_col)
+    made = docs.select(F.col(id_col).alias("id"), text_key(text).alias("text_key"), sketched(text).alias("s"))
+    marked = scratch.keep(made.select("id", "text_key", "s.node", "s.keys", "s.sketch"), "marked")
+    keyed = marked.select("node", F.explode("keys").alias("key")).distinct()
+    several = keyed.groupBy("key").count().where("count > 1").select("key")
+    shared = scratch.keep(keyed.join(several, "key"), "shared")
+    need = marked.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min("text_key").alias("text_key"), F.any_value("sketch").alias("sketch"))
+    said = docs.select(text_key(text).alias("text_key"), text.alias("said")).join(need, "text_key").dropDuplicates(["text_key"])
+    held = scratch.keep(said.select("node", "sketch", grams_of("said").alias("grams")), "held")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (a, b) that are similar."""
+
+        def beside(df: DataFrame, column: str) -> DataFrame:
+            for end in ("a", "b"):
+                df = df.join(held.select(F.col("node").alias(end), F.col(column).alias(f"{column}_{end}")), end)
+            return df
+
+        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        close = scratch.keep(beside(ordered, "sketch").where(alike("sketch_a", "sketch_b") >= similarity - 0.2).select("a", "b"), f"close-{name}")
+        return scratch.keep(beside(close, "grams").where(jaccard("grams_a", "grams_b") >= similarity).select("a", "b"), f"links-{name}")
+
+    members, links = shared.withColumn("root", F.col("node")), None
+    for step in ("first", "second", "rest"):
+        if step == "rest":
+            others = members.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
+            pairs = members.join(others, "key").where("root < root_b").select(F.col("node").alias("a"), "b")
+        else:
+            drawn = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(step), "node")).alias("d"))
+            pairs = members.join(drawn, "key").where("root != d.root").select(F.col("node").alias("a"), F.col("d.node").alias("b"))
+        found = linked(pairs, step)
+        links = found if links is None else links.union(found)
+        classes = connected_components(scratch, links, f"cc-{step}")
+        if step != "rest":
+            named = shared.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
+            open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+            members = scratch.keep(named.join(open_, "key"), f"members-{step}")
+    return marked.join(classes, "node", "left").select("id", "text_key", F.coalesce("component", "node").alias("root"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their class (see near_duplicates), all columns kept.
+    """The rows of ``docs`` whose id is the smallest of their class (see similar_texts), all columns kept.
 
     Rows that repeat an id and a text stay once. Rows with a null id stay where their class has no other.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([id_col, text_col])
+    found = similar_texts(docs, id_col, text_col, **options)
+    least = found.groupBy("root").agg(F.min("id").alias("_stay")).select("_stay").distinct()
+    return docs.join(least, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([id_col, text_col])
