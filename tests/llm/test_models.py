@@ -101,6 +101,19 @@ def test_leaks(spark, make, sf):
     assert latent_search.find_leaks(make([], "doc_id long, text string"), make(items, "item_id long, text string")).count() == 0
 
 
+def test_leaks_among_words_of_the_benchmark(make):
+    rng = np.random.default_rng(9)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 2000, 20))) for i in range(40)] + [(99, "zebra")]
+    loose = " ".join(w for i, w in enumerate(items[7][1].split()) if i % 6 != 3)
+    around = "zebra " * 40
+    docs = [(1, f"{around}{items[3][1]} {around}"), (2, f"{around}{loose} {around}"), (3, around)] + [(i, f"other words {i}") for i in range(10, 60)]
+    docs, bench = make(docs, "doc_id long, text string"), make(items, "item_id long, text string")
+    found = latent_search.find_leaks(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 3), (2, 7)}
+    assert all(0 < r["cosine"] < 0.5 for r in found)  # a test of the whole window would lose them
+    assert latent_search.find_leaks(docs, bench, cosine=0.5).count() == 0
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(8)
     for _ in range(200):

@@ -196,13 +196,13 @@ class Index:
             inside = starts < (begin[owner[starts]] + lengths[owner[starts]] + UNIT - 1) // UNIT
             starts = starts[inside]
             x = (sums[np.minimum(starts + size // UNIT, stop[starts])] - sums[starts]).astype(np.float32)
-            needs = np.maximum(self.cosine * np.linalg.norm(x, axis=1), 1e-12)
+            length = np.maximum(np.linalg.norm(x, axis=1), 1e-12)
             for a in range(0, len(x), 8192):
                 near = x[a : a + 8192] @ items
-                rows, cols = np.nonzero((near >= needs[a : a + 8192, None]) & (near >= least))
+                rows, cols = np.nonzero((near >= self.cosine * length[a : a + 8192, None]) & (near >= least))
                 if len(rows):
                     at = starts[a + rows]
-                    self._verify(group, owner[at], at * UNIT - begin[owner[at]], cols, self.cosine * near[rows, cols] / needs[a + rows], size, passages, out)
+                    self._verify(group, owner[at], at * UNIT - begin[owner[at]], cols, near[rows, cols] / length[a + rows], size, passages, out)
 
     def _verify(self, group, docs, at, cols, cosines, size, passages, out) -> None:
         order = np.lexsort((-cosines, cols, docs))
@@ -233,7 +233,7 @@ def _search(shared, item_type: str):
 
 
 def leak_columns(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", docs_text: str = "text", rank: int = 64, rounds: int = 2, cosine: float = 0.5, cover: float = 0.5, similarity: float = 0.8, paraphrase: float = 0.6, min_words: int = 5, block: int = 5000, seed: int = 5
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", docs_text: str = "text", rank: int = 64, rounds: int = 2, cosine: float = 0.0, cover: float = 0.4, similarity: float = 0.8, paraphrase: float = 0.6, min_words: int = 5, block: int = 5000, seed: int = 5
 ) -> Column:
     """A column for ``docs``: array of (item, similarity, cosine, answer), the items that the text leaks.
 
@@ -241,8 +241,8 @@ def leak_columns(
     broadcast, so their size is bounded by the block, and each block is searched in all texts. IDF
     counts all rows of ``docs`` and of the block. The latent space is a randomised SVD of the TF-IDF
     matrix of all passages of the block, in Spark jobs. Windows of every text are candidates for a
-    passage where their latent cosine is at least ``cosine`` and their part along the passage is at
-    least ``cover`` of its length; then the longest common subsequence of words must cover
+    passage where their part along the passage is at least ``cover`` of its length, and their latent
+    cosine is at least ``cosine`` (words around a passage lower it, so it is no test by default); then the longest common subsequence of words must cover
     ``similarity`` of the passage, or ``paraphrase`` of it with the item's answer (what follows its last
     question mark, or its last sentence) said word for word. Items of fewer than ``min_words`` words,
     and null ones, are never leaked; null texts leak nothing.
