@@ -52,8 +52,27 @@ def removed(texts, match):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_repeated_bytes(make, hot):
+def told(texts, words):
+    """Number of maximal runs of words covered by strings of ``words`` words that another row has; only first places in a text count."""
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", b) for b in texts]
+    at = collections.defaultdict(set)
+    for k, (b, w) in enumerate(zip(texts, split)):
+        for i in range(len(w) - words + 1):
+            at[tuple(w[i : i + words])].add((k, b))
+    out = []
+    for b, w in zip(texts, split):
+        runs, end, seen = 0, 0, set()
+        for i in range(len(w) - words + 1):
+            gram = tuple(w[i : i + words])
+            if len(at[gram]) > 1 and gram not in seen:
+                runs, end = runs + (i >= end), i + words
+            seen.add(gram)
+        out.append(runs)
+    return out
+
+
+@pytest.mark.parametrize("hot,bits", [(20_000, 64), (2, 64), (20_000, 7), (2, 5)])
+def test_repeated_bytes(make, hot, bits):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(2, 7)))
     prose = lambda n: " ".join(word() for _ in range(n))
@@ -61,14 +80,42 @@ def test_repeated_bytes(make, hot):
     texts = [None, "", "short", "ab " * 200, prose(40) + "ab " * 90]
     for i in range(40):
         parts = [prose(rng.randrange(5, 40)) for _ in range(3)]
-        parts.insert(1, rng.choice(shared)[rng.randrange(9) :])
-        texts.append(" ".join(parts))
-    texts += [texts[7], texts[7], texts[9][:-1] + "x", texts[11] + texts[11]]
+        parts.insert(1, rng.choice(shared)[rng.randrange(9) :].replace(" ", rng.choice((" ", "\n", "  "))))
+        texts.append(rng.choice((" ", "\n")).join(parts))
+    texts += [texts[7], texts[7], texts[9][:-1] + "x", texts[11] + texts[11], "one two " * 3, "one two " * 3]
     docs = make([(i if i != 8 else None, t) for i, t in enumerate(texts)] + [(3, texts[3])], "doc_id long, text string")
-    got = suffix_dedup.dedup_bytes(docs, match=60, prefix=20, batches=3, hot=hot)
-    want = removed([(t or "").encode() for t in [*texts, texts[3]]], 60)
-    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got.collect()) == sorted(want)
-    assert suffix_dedup.dedup_bytes(docs.where("false")).count() == 0
+    got = suffix_dedup.dedup_bytes(docs, match=60, prefix=20, words=10, words_prefix=3, batches=3, hot=hot, hash_bits=bits).collect()
+    raw = [(t or "").encode() for t in [*texts, texts[3]]]
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == sorted(removed(raw, 60))
+    want = {b: n for b, n in zip(raw, told(raw, 10))}
+    assert sum(want.values()) > 20
+    names = {i if i != 8 else None: b for i, b in enumerate(raw[:-1])}
+    assert {r["doc_id"]: len(r["passages"]) for r in got} == {i: want[b] for i, b in names.items()}
+    if bits == 64:
+        assert suffix_dedup.dedup_bytes(docs.where("false")).count() == 0
+
+
+def test_suffix_family_goes_on(spark, tmp_path):
+    texts = [(bytes([i]), "".join(random.Random(i // 2).choices("abc ", k=900))) for i in range(10)]
+    batch = lambda k: spark.createDataFrame(texts[2 * k : 2 * k + 2], "doc binary, text string")
+    family = suffix_dedup.SuffixFamily(spark, str(tmp_path))
+    assert family.add(spark.createDataFrame(texts[::2], "doc binary, text string")).count() == 0
+    for k in range(1, 4):
+        family = suffix_dedup.SuffixFamily(spark, str(tmp_path))  # as a later run finds it
+        assert family.add(batch(k).where(F.col("doc") == texts[2 * k + 1][0])).count() > 0
+        assert sorted(family.levels) == [i for i in range(3) if (k + 1) >> i & 1]
+    for _, level in family.levels.values():
+        rows = [(r["head"], r["key"]) for r in level.orderBy("head", "key").collect()]
+        assert rows == sorted(rows)
+
+
+def test_repeats_across_long_texts(spark, make):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefgh") for _ in range(1_200_000))
+    cut = (1 << 20) - 200  # a repeat over the place where long texts are cut
+    docs = make([(1, long), (2, "x" * 50 + long[cut : cut + 500] + "y")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.dedup_bytes(docs).collect()}
+    assert got == {1: (500, 1, (long[:cut] + long[cut + 500 :]).encode()), 2: (500, 1, b"x" * 50 + b"y")}
 
 
 def test_repeated_bytes_of_the_table(spark, sf):

@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset and Spark runs in one process, as in tests, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -39,10 +41,10 @@ class Scratch:
     ``drop`` deletes a table that no later step reads.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, root: str | None = None):
         bounded_batches(spark)
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = root or f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -57,12 +59,23 @@ class Scratch:
             self.spark.conf.set(CLEAN_UP, before) if before is not None else self.spark.conf.unset(CLEAN_UP)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
+    def _at(self, path: str):
+        made = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return made, made.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        """Tables that are whole: their writer has marked them."""
+        root, files = self._at(self.root)
+        found = [x.getPath().getName() for x in files.listStatus(root)] if files.exists(root) else []
+        return sorted(x for x in found if files.exists(self._at(f"{self.path(x)}/_SUCCESS")[0]))
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            path, files = self._at(self.path(name))
+            files.delete(path, True)
 
 
 def text_of(column: str = "text") -> Column:
