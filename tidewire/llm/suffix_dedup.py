@@ -60,6 +60,9 @@ def word_values(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A hash for each word, of its bytes alone."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
+    if len(raw) <= SPAN:
+        sums = _sums(BYTES[raw])
+        return _mixed((sums[ends] - sums[starts]) * DOWN[starts]) | np.uint64(1)
     sizes = ends - starts
     at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     inside = np.arange(sizes.sum()) - np.repeat(at, sizes)
@@ -102,11 +105,12 @@ def local_repeats(values: np.ndarray, suffixes: tuple[np.ndarray, ...], match: i
     Strings of a text that look alike by hash are compared symbol by symbol.
     """
     place, key, first, last = suffixes
+    in_order = np.sort(key)
+    if not (in_order[1:] == in_order[:-1]).any():
+        return np.ones(len(key), dtype=bool), []
     _, back, n = np.unique(key, return_inverse=True, return_counts=True)
     keep, ranges = np.ones(len(key), dtype=bool), []
     own = np.flatnonzero(n[back] > 1)
-    if not len(own):
-        return keep, ranges
     size = (last - first + 1)[own]
     who = np.repeat(own, size)
     start = np.repeat(first[own] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
@@ -211,12 +215,13 @@ class SuffixFamily:
 
     ``add`` indexes a batch: its array is sorted, merge-scanned against the arrays of all levels for
     keys that both have, and put in level 0; while a level has two arrays, they merge into one of
-    the next. Arrays are in order of the first eight bytes of their suffixes, then of the key, a
-    hash of the whole prefix; suffixes that agree on it, the only ones that can be part of a long
-    match, are neighbours. The folder keeps the levels, so a family on the same folder goes on
+    the next, run by run. An array is a set of runs, dealt by text, each in order of the first eight
+    bytes of its suffixes, then of the key, a hash of the whole prefix; suffixes that agree on it,
+    the only ones that can be part of a long match, are neighbours. The folder keeps the levels, so a family on the same folder goes on
     with what is there.
     """
 
+    ORDER = ("head", "key", "doc", "place")
     SCHEMA = "head long, key long, worded boolean, doc binary, place long, back int, least int, local boolean"
 
     def __init__(self, spark: SparkSession, folder: str, match: int = 400, prefix: int = 128, words: int = 51, words_prefix: int = 12):
@@ -240,8 +245,9 @@ class SuffixFamily:
         match, prefix, n_words, words_prefix = self.match, self.prefix, self.words, self.words_prefix
 
         def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = set()
             for batch in batches:
-                docs, out, seen = batch.column(0), [], set()
+                docs, out = batch.column(0), []
 
                 def rows(i: int, found: tuple[np.ndarray, ...], keep: np.ndarray, heads: np.ndarray, worded: bool) -> None:
                     p, key, first, last = (x[keep] for x in found)
@@ -281,31 +287,37 @@ class SuffixFamily:
                     head, key, worded, *others = map(pa.array, columns)
                     yield pa.RecordBatch.from_arrays([head, key, worded, docs.take(pa.array(i)), *others], ["head", "key", "worded", "doc", "place", "back", "least", "local"])
 
-        return texts.select("doc", "text").mapInArrow(suffixes, self.SCHEMA).distinct()
+        # by doc: no passage that many texts share is one task's; copies of a text meet and one is left
+        return texts.select("doc", "text").mapInArrow(suffixes, self.SCHEMA).repartition("doc").dropDuplicates().sortWithinPartitions(*self.ORDER)
 
-    @staticmethod
-    def _sorted(array: DataFrame) -> DataFrame:
-        return array.repartitionByRange("head", "key").sortWithinPartitions("head", "key", "doc", "place")
+    def _merged(self, arrays: list[DataFrame]) -> DataFrame:
+        """One array of several: runs that lie side by side become one, without a shuffle."""
+        out = arrays[0]
+        for other in arrays[1:]:
+            out = out.union(other)
+        return out.coalesce(max(a.rdd.getNumPartitions() for a in arrays)).sortWithinPartitions(*self.ORDER)
 
     def add(self, texts: DataFrame) -> DataFrame:
         """Indexes a batch (doc, text); returns the keys that it has twice or shares with an earlier batch."""
         self.added += 1
         name, level = f"array-{self.added}-0", 0
         merges = level in self.levels
-        array = self.scratch.keep(self._sorted(self._array(texts)), f"new-{self.added}" if merges else name)
+        array = self.scratch.keep(self._array(texts), f"new-{self.added}" if merges else name)
         new, old = array.where("not local"), self.entries()
-        hits = new.groupBy("key").count().where("count > 1").select("key")
+        hits = new.groupBy("key").agg(F.count("*").alias("n"))
         if old is not None:  # both sides in order of the key: a merge scan
-            hits = hits.union(new.select("key").distinct().hint("merge").join(old.where("not local").select("key").distinct(), "key"))
-        hits = self.scratch.keep(hits.distinct(), f"hits-{self.added}")
-        taken = [f"new-{self.added}"]
+            hits = hits.hint("merge").join(old.where("not local").select("key").distinct().withColumn("old", F.lit(True)), "key", "left").where("n > 1 or old")
+        else:
+            hits = hits.where("n > 1")
+        hits = self.scratch.keep(hits.select("key"), f"hits-{self.added}")
+        taken, arrays = [f"new-{self.added}"], [array]
         while level in self.levels:  # two arrays of one size make one of the next level
             other, table = self.levels.pop(level)
-            array, level = array.union(table), level + 1
+            arrays, level = [*arrays, table], level + 1
             taken.append(other)
         if merges:
             name = f"array-{self.added}-{level}"
-            array = self.scratch.keep(self._sorted(array), name)
+            array = self.scratch.keep(self._merged(arrays), name)
             self.scratch.drop(*taken)
         self.levels[level] = (name, array)
         return hits
@@ -467,17 +479,20 @@ def _merged(spans: list[tuple[int, int]], touching: bool) -> list[list[int]]:
     return out
 
 
-def remove_spans(text: Column, spans: Column) -> Column:
-    """Struct (kept binary, n_removed, n_spans, passages) of a text without the union of its spans of bytes; passages is the union of its spans of words."""
+def remove_spans(text: Column, spans: Column, several: Column, words: int) -> Column:
+    """Struct (kept binary, n_removed, n_spans, passages) of a text without the union of its spans of bytes; passages is
+    the union of its spans of words, or all words of a text of ``words`` words or more that ``several`` rows have."""
 
     @F.pandas_udf("struct<kept:binary,n_removed:long,n_spans:long,passages:array<struct<first:long,end:long>>>")
-    def cut(texts: pd.Series, all_spans: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, all_spans: pd.Series, copies: pd.Series) -> pd.DataFrame:
         rows = []
-        for value, own in zip(texts.tolist(), all_spans.tolist(), strict=True):
+        for value, own, copied in zip(texts.tolist(), all_spans.tolist(), copies.tolist(), strict=True):
             raw = value.encode("utf-8", "surrogatepass")
             spans_ = [(s["start"], s["end"], s["worded"]) for s in own] if own is not None else []
             merged = _merged([(a, b) for a, b, worded in spans_ if not worded], True)
             passages = _merged([(a, b) for a, b, worded in spans_ if worded], False)
+            if copied:
+                passages = [(0, n)] if (n := len(raw.split())) >= words else []
             kept, at = [], 0
             for a, b in merged:
                 kept.append(raw[at:a])
@@ -486,7 +501,7 @@ def remove_spans(text: Column, spans: Column) -> Column:
             rows.append((b"".join(kept), sum(b - a for a, b in merged), len(merged), [{"first": a, "end": b} for a, b in passages]))
         return pd.DataFrame(rows, columns=["kept", "n_removed", "n_spans", "passages"])
 
-    return cut(text, spans)
+    return cut(text, spans, several)
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = 400, prefix: int = 128, words: int = 51, **options) -> DataFrame:
@@ -505,13 +520,12 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "byte-dedup")
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("doc", F.unhex(F.md5("text")))
     size = F.octet_length("text").cast("long")
-    n_words = F.length(F.trim(F.regexp_replace(F.regexp_replace("text", r"[^\x20\x09-\x0D]++", "w"), r"[\x20\x09-\x0D]++", ""))).cast("long")
     # ids and hashes, no texts: one row of each text of several rows is indexed for the others
     copied = own.where(size >= min(match, 2 * words - 1)).groupBy("doc").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max(size).alias("size")).where("n > 1")
     copied = scratch.keep(copied, "copied")
     spans = repeated_spans(own, copied, match, prefix, words=words, **options)
     spans = spans.union(copied.where(F.col("size") >= match).select("doc", F.lit(False), F.lit(0).cast("long"), "size"))
     merged = scratch.keep(spans.groupBy("doc").agg(F.collect_list(F.struct("worded", "start", "end")).alias("spans")), "spans")
-    done = own.join(merged, "doc", "left").join(copied.select("doc", F.lit(True).alias("several")), "doc", "left").withColumn("cut", remove_spans(F.col("text"), F.col("spans")))
-    whole = F.when(F.col("several"), F.when(n_words >= words, F.array(F.struct(F.lit(0).cast("long").alias("first"), n_words.alias("end")))))
-    return done.select(F.col("id").alias(id_col), size.alias("n_bytes"), "cut.kept", "cut.n_removed", "cut.n_spans", F.coalesce(whole, F.col("cut.passages")).alias("passages"))
+    done = own.join(merged, "doc", "left").join(copied.select("doc", F.lit(True).alias("several")), "doc", "left")
+    done = done.withColumn("cut", remove_spans(F.col("text"), F.col("spans"), F.coalesce("several", F.lit(False)), words))
+    return done.select(F.col("id").alias(id_col), size.alias("n_bytes"), "cut.kept", "cut.n_removed", "cut.n_spans", "cut.passages")
