@@ -41,6 +41,7 @@ def test_packing(spark, make, sf):
     encode = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     docs += [(-1, None), (-2, ""), (-3, "x " * 5000), (-4, "it's  \n\n a\tb 12 …😀 ñ"), (-4, "it's  \n\n a\tb 12 …😀 ñ"), (None, "no id"), (-5, "a" * 3000)]
+    docs += [(9007199254740993, "large id beside a null one"), (-6, "a <|endoftext|> b<|endoftext|>\n<|endoftext|"), (-7, "<|endoftext|>" * 1500)]
     packed = packing.pack(packing.tokenize_pieces(make(docs, "doc_id long, text string"))).collect()
     want = sorted((str(k), *p) for k, t in docs for p in pieces(t or "", encode))
     assert sorted((str(r["id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == want

@@ -5,11 +5,12 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame
@@ -19,38 +20,40 @@ from tidewire.llm.common import Scratch
 
 
 @functools.cache
-def encoder(ranks: str) -> tiktoken.Encoding:
-    """One a worker process. tiktoken reads the vocabulary of ``byte_bpe_50k.json`` as ranks and gives
-    the same ids as tokenizers, in a third of the time. Strings of special tokens are ordinary text."""
-    with open(public_tokenizers.path(ranks), "rb") as lines:
+def encoder(vocabulary: str) -> tiktoken.Encoding:
+    """One a worker process. tiktoken reads the ranks of the vocabulary and gives the same ids as tokenizers
+    does with its JSON file, in a third of the time; the added tokens of that file, as
+    ``<|endoftext|>``, are tokens wherever their strings stand."""
+    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as file:
+        added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in table.items() if v not in added.values()}, special_tokens=added)
 
 
-def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2, vocabulary: str = "byte_bpe_50k") -> DataFrame:
     """(id, piece, start, length, ids_crc32): a row for each piece of each row of ``docs``.
 
     A document is its ids and then ``end_id``. Longer ones than ``size`` are cut so that all pieces
-    but the first have ``size`` ids. Null text: empty, one piece with the end id alone. The
-    vocabulary file is found by name on the executors.
+    but the first have ``size`` ids. Null text: empty, one piece with the end id alone. Null and
+    repeated ids are kept as they are. The vocabulary's files are found by name on the executors.
     """
     schema = "id " + docs.schema[id_col].dataType.simpleString() + ", piece int, start long, length long, ids_crc32 long"
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(ranks).encode_to_numpy
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary).encode_to_numpy
         for batch in batches:
             rows = []
-            for key, text in zip(batch["id"].tolist(), batch["text"].tolist(), strict=True):
-                ids = np.append(encode(text or "", disallowed_special=()), end_id).astype("<u4")
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                ids = np.append(encode(text, allowed_special="all", disallowed_special=()), end_id).astype("<u4")
                 n = len(ids)
                 bounds = [0, *range(n % size or size, n + 1, size)] if n > size else [0, n]
-                rows += [(key, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
-            out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
-            if batch["id"].dtype.kind == "f":  # null ids
-                out["id"] = out["id"].astype("Int64")
-            yield out
+                rows += [(i, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+            row, *columns = np.array(rows, dtype=np.int64).reshape(-1, 5).T
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), *[pa.array(c, t) for c, t in zip(columns, types)]], ["id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(cut, schema)
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut, schema)
 
 
 def plan_best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -98,23 +101,28 @@ def plan_best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int
     return plan
 
 
-def pack(pieces: DataFrame, size: int = 1024, cells: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 1024, rows_a_cell: int = 100_000) -> DataFrame:
     """Adds sequence_id and offset to pieces, as few sequences of at most ``size`` ids as best fit gives.
 
     The driver sees the histogram (at most ``size`` rows) and broadcasts the plan, whose length is
     bounded by ``size`` too. Pieces take slots by rank within their length. Ranks are counted in
-    ``cells`` hash cells for each length and shifted by the cells' running totals, so a length that
-    many pieces share is no single task. Equal rows are interchangeable. No pieces: no rows.
+    hash cells for each length and shifted by the cells' running totals, so a length that many pieces
+    share is no single task: it has as many cells as its count asks for, about ``rows_a_cell`` rows
+    each, 64 at least where it is the commonest. Equal rows are interchangeable. No pieces: no rows.
     """
     spark = pieces.sparkSession
-    kept = Scratch(spark, "packing").keep(pieces.withColumn("cell", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(cells))), "pieces")
+    kept = Scratch(spark, "packing").keep(pieces, "pieces")
     counts = {r["length"]: r["count"] for r in kept.groupBy("length").count().collect()}
+    cells = max(64, -(-max(counts.values(), default=0) // rows_a_cell))
+    kept = kept.withColumn("cell", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(cells)))
     plan = spark.createDataFrame(plan_best_fit(counts, size), "length long, first long, number long, first_bin long, each long, base long")
     totals = kept.groupBy("length", "cell").count()
     before = F.expr("coalesce(sum(`count`) over (partition by length order by cell rows between unbounded preceding and 1 preceding), 0)")
-    shifts = totals.select("length", "cell", before.alias("before"))  # at most size * cells rows
+    shifts = totals.select("length", "cell", before.alias("before"))  # a row for each length and cell
     ranked = kept.withColumn("in_cell", F.expr("row_number() over (partition by length, cell order by id, piece, ids_crc32)"))
-    ranked = ranked.join(F.broadcast(shifts), ["length", "cell"]).withColumn("rank", F.col("before") + F.col("in_cell") - 1)
+    if size * cells <= 1_000_000:  # beyond, Spark chooses by the size it meets
+        shifts = F.broadcast(shifts)
+    ranked = ranked.join(shifts, ["length", "cell"]).withColumn("rank", F.col("before") + F.col("in_cell") - 1)
     rank = F.col("rank") - F.col("first")
     return (
         ranked.join(F.broadcast(plan), "length")
