@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -131,12 +132,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     goes = scratch.keep(places.where("not (struct(id, at) <=> first)").join(mixed, "hash", "left_anti").select("id", "at", "n", "hash"), "goes")
     scratch.drop("places")
     # it grows with the input: a merge join at every size
-    goes = goes.groupBy("id").agg(F.collect_set(F.struct("at", "n", "hash")).alias("_goes")).hint("merge")
+    at_id, gone, new = (f"_{uuid.uuid4().hex}" for _ in range(3))  # names that no column of docs has
+    goes = goes.groupBy(F.col("id").alias(at_id)).agg(F.collect_set(F.struct("at", "n", "hash")).alias(gone)).hint("merge")
 
     @F.pandas_udf("struct<text:string,n_lines:long,n_removed_lines:long>")
-    def rebuilt(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    def rebuilt(texts: pd.Series, runs_: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, own in zip(texts.tolist(), gone.tolist(), strict=True):
+        for text, own in zip(texts.tolist(), runs_.tolist(), strict=True):
             if text is None:
                 rows.append((None, 0, 0))
                 continue
@@ -159,6 +161,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed_lines"])
 
     others = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    joined = docs.select(*others).join(goes.withColumnRenamed("id", "_key"), F.col(id_col).eqNullSafe(F.col("_key")), "left")
-    joined = joined.withColumn("_new", rebuilt(F.col(text_col), F.col("_goes")))
-    return joined.select(*[F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in others], "_new.n_lines", "_new.n_removed_lines")
+    joined = docs.select(*others).join(goes, F.col(id_col).eqNullSafe(F.col(at_id)), "left")
+    joined = joined.withColumn(new, rebuilt(F.col(text_col), F.col(gone)))
+    return joined.select(*[F.col(f"{new}.text").alias(c) if c == text_col else F.col(c) for c in others], f"{new}.n_lines", f"{new}.n_removed_lines")
