@@ -136,6 +136,32 @@ def lines_kept(rows, window=2, divisor=3):
     return {key: "\n".join(x for k, (a, b, said) in enumerate(own) if b - a < 2 or first[said] == (key, k) for x in t.split("\n")[a:b]) for (key, t), own in zip(rows, chunks)}
 
 
+def passages_kept(rows, over, window=2, divisor=3):
+    """As lines_kept, with runs of whole lines of more than ``over`` words too; a line goes if a run or chunk over it stands at a smaller place."""
+    first, runs = {}, []
+    for key, t in rows:
+        lines, own = t.split("\n"), set()
+        words = [len(x.split()) for x in lines]
+        own |= {(a, b) for a, b in line_dedup.line_chunks(t, window, divisor) if b - a > 1}
+        for a in (i for i, n in enumerate(words) if n):
+            b = next((b for b in range(a + 1, len(lines) + 1) if sum(words[a:b]) > over), None)
+            own |= {(a, b)} if b else set()
+        for b in (i + 1 for i, n in enumerate(words) if n):
+            a = next((a for a in range(b - 1, -1, -1) if sum(words[a:b]) > over), None)
+            own |= {(a, b)} if a is not None else set()
+        runs.append([(a, b, "\n".join(lines[a:b])) for a, b in own])
+        for a, _, said in runs[-1]:
+            first[said] = min(first.get(said, (key, a)), (key, a))
+    out = {}
+    for (key, t), own in zip(rows, runs):
+        lines = t.split("\n")
+        gone = {i for a, b, said in own if first[said] != (key, a) for i in range(a, b)}
+        worded = [i for i, x in enumerate(lines) if x.strip()]
+        gone |= {i for a, b in zip(worded, worded[1:]) if a in gone and b in gone for i in range(a, b)}
+        out[key] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
 def test_lines(spark, make, sf):
     rng = random.Random(3)
     block = [f"line {i} of a passage" for i in range(30)]
@@ -145,13 +171,15 @@ def test_lines(spark, make, sf):
         at = rng.randrange(len(own) + 1)
         rows.append((i, "\n".join(own[:at] + block[rng.randrange(5) :] + own[at:])))
     rows += [(30, ""), (31, "one line"), (32, "\n\n\n"), (33, "\n".join(block * 3))]
-    done = line_dedup.dedup_lines(make([*rows, (40, None)], "doc_id long, text string", ("n_lines", "hash", "said")))
+    done = line_dedup.dedup_lines(make([*rows, (40, None)], "doc_id long, text string", ("n_lines", "hash", "said", "_key", "_goes", "_new")))
     got = {r["doc_id"]: r["text"] for r in done.collect()}
     assert got == lines_kept(rows) | {40: None}
     assert sum(len(t.split("\n")) for t in lines_kept(rows).values()) < 0.6 * sum(t.count("\n") + 1 for _, t in rows)
     assert {"hash", "said"} <= set(done.columns) and done.where("false").count() == 0
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    want = lines_kept(docs)
+    plain = line_dedup.dedup_lines(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert {r["doc_id"]: r["text"] for r in plain.collect()} == lines_kept(docs)
+    want = passages_kept(docs, 50)
     for r in queries.op8_line_dedup(spark, sf).collect():
         assert r["kept_sha256"] == hashlib.sha256(want[r["doc_id"]].encode()).hexdigest()
 
@@ -236,6 +264,21 @@ def test_near_fingerprints_lose_no_link(spark):
     assert classes(len(fps), links) == linked(fps)
 
 
+def test_line_ids_beside_null_ids(make):
+    said = "a b\nc d\ne f\ng h\ni j\nk l\nm n\no p"
+    small, large = (line_dedup.dedup_lines(make([(None, "x"), (k, said), (k + 1, said + "\nz")], "doc_id long, text string")).collect() for k in (1, 9007199254740992))
+    assert sorted((r["text"], r["n_removed_lines"]) for r in small) == sorted((r["text"], r["n_removed_lines"]) for r in large)
+    assert sum(r["n_removed_lines"] for r in large) > 0 and {r["doc_id"] for r in large} == {None, 9007199254740992, 9007199254740993}
+
+
+def test_one_row_of_a_class_stays_where_ids_repeat(make):
+    words = " ".join(f"w{i}" for i in range(100))
+    rows = [(7, words), (3, words + " end"), (3, "quite another text here"), (9, "quite another text here"), (7, "third text of its own"), (None, words), (None, "alone")]
+    docs = make(rows, "doc_id long, text string", ("_stay", "root", "text_key"))
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == sorted([("3", words + " end"), ("3", "quite another text here"), ("7", "third text of its own"), ("None", "alone")])
+
+
 def test_near_copies_of_the_stage(spark, make):
     rng = random.Random(11)
     texts = []

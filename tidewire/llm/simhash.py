@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,12 +156,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.keep(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width, seed).alias("fp")), "marked")
-    nodes = scratch.keep(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    classes = connected_components(scratch, near_fingerprints(nodes, bits))
-    named = nodes.join(classes, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = scratch.keep(named, "named")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(smallest, "root").select("fp", "component_id")
+    # a node is known by its smallest id first, so the smallest node of a class tells the smallest id
+    nodes = scratch.keep(marked.groupBy("fp").agg(F.min("id").alias("least")).select("fp", F.struct(F.col("least").isNull().alias("no_id"), "least", "fp").alias("node")), "nodes")
+    pairs = near_fingerprints(nodes, bits)
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}")), end)
+    classes = connected_components(scratch, pairs.select("node_a", "node_b")).select(F.col("node.fp").alias("fp"), "component")
+    labels = nodes.join(classes, "fp", "left").select("fp", F.coalesce("component.least", "node.least").alias("component_id"))
     return marked.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -267,10 +269,14 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their class (see similar_texts), all columns kept.
+    """One row of ``docs`` for each class of similar_texts, that of the smallest id (of its texts, the one of the smallest key), all columns kept.
 
-    Rows that repeat an id and a text stay once. Rows with a null id stay where their class has no other.
+    Rows that repeat an id and a text stay once, rows that repeat an id with unlike texts stay for
+    each. A row with a null id stays only where its class has no other.
     """
     found = similar_texts(docs, id_col, text_col, **options)
-    least = found.groupBy("root").agg(F.min("id").alias("_stay")).select("_stay").distinct()
-    return docs.join(least, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([id_col, text_col])
+    stay_id, stay_text = (f"_{uuid.uuid4().hex}" for _ in range(2))  # names that no column of docs has
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", F.col("text_key").isNull(), "text_key")).alias("least"))
+    least = least.select(F.col("least.id").alias(stay_id), F.col("least.text_key").alias(stay_text)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(stay_id)) & text_key(F.col(text_col)).eqNullSafe(F.col(stay_text))
+    return docs.join(least, same, "left_semi").dropDuplicates([id_col, text_col])
