@@ -317,6 +317,12 @@ def test_vectors(make):
     assert embedding_dedup.near_vectors(make([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_vectors_of_several_lengths(make):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0]), (None, [1.0, 0.0]), (7, [0.0]), (8, [-3.0]), (9, [-1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(make(rows, "vec_id long, embedding array<double>", ("node", "width", "unit"))).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (0, 2), 3: (2, 3), 4: (2, 3), 5: (2, 3), None: (2, 0), 7: (0, 7), 8: (1, 8), 9: (1, 8)}
+
+
 def test_vectors_of_the_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     x = np.array([r["embedding"] for r in rows], dtype=float)

@@ -77,9 +77,10 @@ def near_vectors(
     node with a weight, and link with each other. Buckets over ``block`` rows are split: each pair of
     blocks is a task's work of its own, so a hot bucket is no single task and none is capped.
 
-    Vectors that are null, empty, zero, of another length than most, or hold null or non-finite
-    components link with nothing: 0 links, their own id as component. Null ids are never the
-    smallest of a class, unless it has no other. Other columns are not read; no rows give no rows.
+    Vectors of one length are compared with each other, whatever other lengths there are. Vectors
+    that are null, empty, zero, or hold null or non-finite components link with nothing: 0 links,
+    their own id as component. Null ids are never the smallest of a class, unless it has no other.
+    Other columns are not read; no rows give no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embedding-dedup")
@@ -89,55 +90,65 @@ def near_vectors(
     # -0.0 and 0.0 are one value in a cosine
     given = given.withColumn("v", F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x)))
     given = scratch.keep(given.withColumn("node", F.when(F.col("v").isNotNull(), F.md5(F.to_json("v")))), "given")
-    widths = given.where("v is not null").groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    width = widths["width"] if widths else 1
-    nodes = given.where(F.size("v") == width).groupBy("node").agg(F.any_value("v").alias("v"), F.count("*").alias("weight"), F.min("id").alias("least"))
-    nodes = scratch.keep(nodes, "nodes")
+    nodes = given.where("v is not null").groupBy("node").agg(F.any_value("v").alias("v"), F.count("*").alias("weight"), F.min("id").alias("least"))
+    # a node is known by its smallest id first, so the smallest node of a class tells the smallest id
+    nodes = scratch.keep(nodes.select(F.struct(F.col("least").isNull().alias("no_id"), "least", F.col("node").alias("key")).alias("node"), F.size("v").alias("width"), "v", "weight"), "nodes")
     bits, tables = table_shape(nodes.count(), threshold, miss, per_bucket)
-    planes = np.random.default_rng(seed).standard_normal((width, bits * tables))
+    node_type = nodes.schema["node"].dataType.simpleString()
+
+    def planes_of(width: int) -> np.ndarray:
+        return np.random.default_rng([seed, width]).standard_normal((width, bits * tables))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = 1 << np.arange(bits, dtype=np.int64)
+        planes: tuple[int, np.ndarray] = (0, np.zeros((0, 0)))  # of the width at hand
         for batch in batches:
-            if not len(batch):
-                continue
-            for part in (batch.slice(at, 2048) for at in range(0, len(batch), 2048)):
-                x = np.array(part.column("v").flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, width)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                signs = ((x @ planes > 0).reshape(len(x), tables, bits) * powers).sum(axis=2)
-                unit, codes = [r.tobytes() for r in x.astype("<f8")], [r.tobytes() for r in signs.astype("<i8")]
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("weight"), pa.array(unit, pa.binary()), pa.array(codes, pa.binary()), pa.array(signs.tolist(), pa.list_(pa.int64()))], ["node", "weight", "unit", "codes", "signs"])
-
-    signed = nodes.mapInArrow(sign, "node string, weight long, unit binary, codes binary, signs array<long>")
+            widths = batch.column("width").to_numpy()
+            for width in np.unique(widths).tolist():
+                if planes[0] != width:
+                    planes = (width, planes_of(width))
+                own = batch if (widths == width).all() else batch.filter(pa.array(widths == width))
+                for part in (own.slice(at, 2048) for at in range(0, len(own), 2048)):
+                    x = np.array(part.column("v").flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, width)
+                    x = x / np.abs(x).max(axis=1, keepdims=True)
+                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    signs = ((x @ planes[1] > 0).reshape(len(x), tables, bits) * powers).sum(axis=2)
+                    unit, codes = [r.tobytes() for r in x.astype("<f8")], [r.tobytes() for r in signs.astype("<i8")]
+                    columns = [part.column("node"), part.column("width"), part.column("weight"), pa.array(unit, pa.binary()), pa.array(codes, pa.binary()), pa.array(signs.tolist(), pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "width", "weight", "unit", "codes", "signs"])
+
+    signed = nodes.mapInArrow(sign, f"node {node_type}, width int, weight long, unit binary, codes binary, signs array<long>")
     signed = scratch.keep(signed, "signed")
-    homes = signed.select("node", "weight", "unit", "codes", F.posexplode("signs").alias("tab", "code"))
-    sizes = homes.groupBy("tab", "code").count().where("count > 1")
-    homes = homes.join(sizes, ["tab", "code"]).withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
+    homes = signed.select("node", "weight", "unit", "codes", F.posexplode("signs").alias("tab", "code"), "width")
+    sizes = homes.groupBy("tab", "width", "code").count().where("count > 1")
+    homes = homes.join(sizes, ["tab", "width", "code"]).withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
     # block k meets every block l: it goes to (k, l) for k <= l and (l, k) for l < k
     homes = homes.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     homes = homes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    homes = homes.select("node", "weight", "unit", "codes", "tab", "code", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"))
+    homes = homes.select("node", "weight", "unit", "codes", "tab", "width", "code", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"))
+
+    keys = ["tab", "width", "code", "low", "high"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: pa.Table) -> pa.RecordBatch:
             tab, code, low, high = (rows.column(c).to_numpy() for c in ("tab", "code", "low", "high"))
             side = rows.column("side").to_numpy(zero_copy_only=False).astype(bool)
-            names, weight = rows.column("node").to_pylist(), rows.column("weight").to_numpy()
-            x = _matrix(rows.column("unit"), width)
+            names, weight = rows.column("node").combine_chunks(), rows.column("weight").to_numpy()
+            width, units = rows.column("width").to_numpy(), rows.column("unit")
             signs = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype="<i8").reshape(-1, tables)
-            change = (tab[1:] != tab[:-1]) | (code[1:] != code[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            change = (tab[1:] != tab[:-1]) | (width[1:] != width[:-1]) | (code[1:] != code[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
             cuts = np.flatnonzero(np.concatenate(([True], change, [True])))
             who, n, peer = [], [], []
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if b - a < 2:
                     continue
-                own, edges = _run(x[a:b], signs[a:b], weight[a:b], int(tab[a]), side[a:b] if low[a] != high[a] else None, threshold)
+                x = _matrix(units.slice(a, b - a), int(width[a]))
+                own, edges = _run(x, signs[a:b], weight[a:b], int(tab[a]), side[a:b] if low[a] != high[a] else None, threshold)
                 for i in np.flatnonzero(own):
-                    who.append(names[a + i]), n.append(int(own[i])), peer.append(None)
+                    who.append(a + i), n.append(int(own[i])), peer.append(None)
                 for p, q in edges:
-                    who.append(names[a + p]), n.append(0), peer.append(names[a + q])
-            return pa.RecordBatch.from_arrays([pa.array(who, pa.string()), pa.array(n, pa.int64()), pa.array(peer, pa.string())], ["node", "n", "peer"])
+                    who.append(a + p), n.append(0), peer.append(a + q)
+            return pa.RecordBatch.from_arrays([names.take(pa.array(who, pa.int64())), pa.array(n, pa.int64()), names.take(pa.array(peer, pa.int64()))], ["node", "n", "peer"])
 
         held: pa.Table | None = None
         for batch in batches:
@@ -145,9 +156,9 @@ def near_vectors(
             held = now if held is None else pa.concat_tables([held, now])
             if len(held) < 4096:
                 continue
-            last = [held.column(c)[len(held) - 1].as_py() for c in ("tab", "code", "low", "high")]
+            last = [held.column(c)[len(held) - 1].as_py() for c in keys]
             same = np.ones(len(held), dtype=bool)
-            for c, value in zip(("tab", "code", "low", "high"), last):
+            for c, value in zip(keys, last):
                 same &= held.column(c).to_numpy() == value
             cut = int(np.argmax(same))
             if cut:
@@ -156,15 +167,12 @@ def near_vectors(
         if held is not None and len(held):
             yield out(held)
 
-    keys = ["tab", "code", "low", "high"]
-    found = homes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "node string, n long, peer string")
+    found = homes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, f"node {node_type}, n long, peer {node_type}")
     found = scratch.keep(found, "found")
     links = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
     classes = connected_components(scratch, found.where("peer is not null").select("node", "peer"))
-    named = nodes.select("node", "least", "weight").join(links, "node", "left").join(classes, "node", "left")
-    named = scratch.keep(named.select("node", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("root")), "named")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(smallest, "root").select("node", "n_links", "component_id")
+    named = nodes.select("node", "weight").join(links, "node", "left").join(classes, "node", "left")
+    labels = named.select(F.col("node.key").alias("node"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component.least", "node.least").alias("component_id"))
     joined = given.select("id", "node").join(labels, "node", "left")
     single = F.col("n_links").isNull()
     return joined.select(
