@@ -20,6 +20,26 @@ def test_quality_on_held_out_labels(spark, sf):
     assert all(0 <= r["score"] <= 1 for r in scored)
 
 
+def test_scores_of_the_discriminant(spark, sf="/root/testdata/sf0.01"):
+    """Every score of the query against class covariances worked out with numpy."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    x = dict(zip(texts, quality.document_vectors(list(texts.values()))))
+    learned = {k: np.array([x[d] for d, q in marks.items() if q == k and d in x and zlib.crc32(str(d).encode()) % 4 != 2]) for k in (0, 1)}
+    n = sum(map(len, learned.values()))
+
+    def log_density(rows, v):
+        cov = np.cov(rows.T, bias=True)
+        cov = 0.9 * cov + 0.1 * np.diag(np.diag(cov)) + 1e-3 * np.eye(len(cov))
+        away = v - rows.mean(axis=0)
+        return np.log((len(rows) + 1) / (n + 2)) - 0.5 * (np.linalg.slogdet(cov)[1] + away @ np.linalg.solve(cov, away))
+
+    for r in queries.op5_quality(spark, sf).collect():
+        want = 1 / (1 + np.exp(np.clip(log_density(learned[0], x[r["doc_id"]]) - log_density(learned[1], x[r["doc_id"]]), -700, 700)))
+        assert abs(r["score"] - want) < 1e-6 and r["predicted"] == int(r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
 def test_quality_edges(make):
     docs = make([(1, "a clean text of words"), (2, None), (3, ""), (3, ""), (None, "!!!! ####"), (5, "w " * 100_000)], "doc_id long, text string")
     for labels in ([], [(1, 1, 0), (3, 0, 0), (3, 1, 0), (None, 1, 1), (2, None, 0)], [(1, 1, 0)]):

@@ -84,8 +84,8 @@ class QuadraticDiscriminant:
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = 0.1, floor: float = 1e-3) -> QuadraticDiscriminant:
-    """Learns from every row of ``docs`` that has a label.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = 0.1, floor: float = 1e-3, vector_col: str | None = None) -> QuadraticDiscriminant:
+    """Learns from every row of ``docs`` that has a label; ``vector_col`` names a column with its ``vectors``, if they are worked out.
 
     Moments are summed in tasks and then by (class, entry) in a shuffle: the driver gets two fixed-size
     sets of sums, whatever the number of rows. Covariances are shrunk towards the diagonal by
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     # vectors, not texts, go to the labels
-    rows = docs.select(F.col(id_col).alias("id"), vectors(F.col(text_col)).alias("vector")).join(marked, "id").select("vector", "label")
+    rows = docs.select(F.col(id_col).alias("id"), (F.col(vector_col) if vector_col else vectors(F.col(text_col))).alias("vector")).join(marked, "id").select("vector", "label")
     summed = rows.mapInPandas(moments, "class int, entry int, value double").groupBy("class", "entry").agg(F.sum("value").alias("value"))
     sums = np.zeros((2, size))
     for row in summed.collect():  # 2 * (1 + d + d * d) rows
@@ -135,11 +135,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(model: QuadraticDiscriminant, text: Column) -> Column:
     """Score from 0 to 1 of each whole text, null and empty ones too (they have zero statistics)."""
+    return score_vectors(model, vectors(text))
+
+
+def score_vectors(model: QuadraticDiscriminant, vector: Column) -> Column:
+    """Score from 0 to 1 of each document vector."""
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        values = texts.tolist()
-        parts = [model.scores(document_vectors(values[at : at + 500])) for at in range(0, len(values), 500)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    def scored(rows: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.stack(rows.tolist())) if len(rows) else np.zeros(0))
 
-    return scored(text)
+    return scored(vector)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import chat_format, embedding_dedup, latent_search, line_dedup, packing, pii, quality, simhash, suffix_dedup, url_filter
-from tidewire.llm.common import table
+from tidewire.llm.common import Scratch, table
 
 URL_RULES = (
     url_filter.Rule("allow", "org", "/"),
@@ -53,10 +53,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
-    model = quality.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", held_out.alias("held_out"), quality.score(model, F.col("text")).alias("score"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), quality.vectors(F.col("text")).alias("vector"))
+    docs = Scratch(spark, "quality").keep(docs, "vectors")
+    model = quality.fit(docs.where("not held_out"), table(spark, sf_dir, "labels"), vector_col="vector")
+    scored = docs.select("doc_id", "held_out", quality.score_vectors(model, F.col("vector")).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
