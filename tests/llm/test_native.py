@@ -3,10 +3,12 @@
 import hashlib
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import chat_format, pii, queries, url_filter
+from tidewire.llm import chat_format, pii, queries, registry, url_filter
 
 
 def test_rules_follow_the_longest_fit(make):
@@ -35,6 +37,29 @@ def test_blocks_spread_over_aliases_and_allows_hold(make):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow"}
 
 
+def test_addresses_are_alike_and_links_relative(make):
+    link = '<LINK class=x rel="alternate canonical" href="{}">'.format
+    move = "<meta content='3; URL={}' http-equiv=Refresh>".format
+    block = "http://x.com/de/"
+    rows = [
+        (1, "http://a.net", link(block)), (2, "http://b.net/1", link("http://a.net:80/#t")), (3, "https://c.net/d/e", link("../f?g=1&amp;h=2")), (4, "https://c.net:443/f?g=1&h=2", move(block)),
+        (5, "http://d.net/q", link("?x")), (6, "http://d.net/q?x", link(block)), (7, "http://e.net/a/b", link("mailto:x") + "<link rel=icon href=z>" + link("c") + move(block)), (8, "http://e.net/a/c", None),
+        (9, "http://f.net/a/", link("./../..")), (10, "http://f.net", move("//x.com/de/2")), (11, "http://g.net/", link("#here") + link("data:x")), (12, None, link("/x")), (13, "no", move(block)),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(make(rows, "page_id long, url string, html string"), queries.URL_RULES).collect()}
+    assert got == {k: "block" if k < 11 else "allow" for k in got} and len(got) == 13
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    assert {r[0]: r[4] for r in con.sql(registry.ORACLES["op1_url_filter"]).fetchall()} == got
+
+
+def test_many_rules_are_joined(make):
+    rules = [*queries.URL_RULES, *(url_filter.Rule("block" if i % 2 else "allow", f"h{i % 40}.net", f"/{i}") for i in range(200)), url_filter.Rule("allow", "h1.net", "/1"), url_filter.Rule("block", "h2.net", "")]
+    rows = make([(i, f"s.h{i % 50}.net" if i % 3 else f"h{i % 50}.net", f"/{i}/x" if i % 7 else "") for i in range(400)] + [(400, "", ""), (401, "x.org", "/")], "n long, host string, path string")
+    both = [sorted((r["n"], r["best"]) for r in url_filter.with_best_rule(rows, rules, compiled=n).collect()) for n in (1000, 0)]
+    assert both[0] == both[1] and sum(b is not None for _, b in both[0]) > 20
+
+
 def test_no_pages(make):
     assert url_filter.judge_urls(make([], "page_id long, url string, html string"), queries.URL_RULES).count() == 0
 

@@ -24,15 +24,24 @@ p AS (
   SELECT page_id, url, html, row_number() OVER () AS rid,
     CASE WHEN contains(url, '://') THEN lower(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*')) ELSE '' END AS host,
     CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
-    CASE WHEN contains(url, '://') THEN lower(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*')) || regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^#]*)', 1) END AS node
+    regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site
   FROM pages),
 l AS (
-  SELECT node AS a, host, unnest(
-    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b'))[1:1], lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1))
-    || list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1:1], lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1))) AS link
+  SELECT url, site, path, regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') AS folder, unnest(
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*(?:"[^"]*\bcanonical\b|''[^'']*\bcanonical\b|canonical\b)')), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1))
+    || list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1))) AS link
   FROM p),
-f AS (SELECT a, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link WHEN starts_with(link, '/') THEN 'http://' || host || link END AS t FROM l),
-e AS (SELECT a, lower(regexp_extract(substr(t, instr(t, '://') + 3), '^[^/?#]*')) || regexp_extract(substr(t, instr(t, '://') + 3), '^[^/?#]*([^#]*)', 1) AS b FROM f WHERE t IS NOT NULL AND a IS NOT NULL),
+k AS (SELECT *, regexp_extract(link, '(?s)^([^?#]*)', 1) AS stem, regexp_extract(link, '(?s)^[^?#]*(.*)$', 1) AS rest FROM (SELECT * REPLACE (regexp_replace(link, '(?i)&(?:amp|#38|#x26);', '&', 'g') AS link) FROM l) WHERE link <> ''),
+d AS (SELECT *, CASE WHEN starts_with(stem, '/') THEN stem ELSE folder || stem END AS whole FROM k WHERE contains(url, '://')),
+f AS (SELECT url, CASE
+  WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+  WHEN starts_with(link, '//') THEN 'http:' || link WHEN stem = '' THEN site || path || rest
+  ELSE site || list_reduce(list_prepend('', str_split(whole || CASE WHEN regexp_matches(whole, '/\.\.?$') THEN '/' ELSE '' END, '/')[2:]),
+    lambda done, x: CASE WHEN x = '.' THEN done WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || x END) || rest END AS t FROM d),
+u AS (SELECT DISTINCT x AS url, regexp_replace(lower(regexp_extract(x, '(?s)^.*?://([^/?#]*)', 1)), CASE WHEN regexp_matches(x, '^(?i)http://') THEN ':80$' WHEN regexp_matches(x, '^(?i)https://') THEN ':443$' ELSE '^$' END, '') AS h,
+  regexp_extract(x, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS tail FROM (SELECT url AS x FROM p UNION ALL SELECT t FROM f) WHERE contains(x, '://')),
+key AS (SELECT url, h || CASE WHEN starts_with(tail, '/') THEN '' ELSE '/' END || tail AS node FROM u),
+e AS (SELECT a.node AS a, b.node AS b FROM f JOIN key a ON a.url = f.url JOIN key b ON b.url = f.t),
 s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 r(a, b) AS (SELECT a, a FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a),
 n AS (SELECT DISTINCT b AS node, regexp_extract(b, '^[^/?]*') AS host, regexp_extract(b, '^[^/?]*([^?]*)', 1) AS path FROM r),
@@ -40,7 +49,7 @@ nr AS (SELECT node, arg_min(verdict, (-length(rhost || rpath), verdict)) AS verd
 c AS (SELECT r.a AS node, coalesce(bool_or(verdict = 'block'), false) AND NOT coalesce(bool_or(verdict = 'allow'), false) AS hit FROM r LEFT JOIN nr ON nr.node = r.b GROUP BY r.a),
 pr AS (SELECT rid, arg_min(rhost || rpath, (-length(rhost || rpath), verdict)) AS rule, arg_min(verdict, (-length(rhost || rpath), verdict)) AS verdict FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY rid)
 SELECT page_id, host, path, rule, coalesce(pr.verdict, CASE WHEN c.hit THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN pr USING (rid) LEFT JOIN c ON c.node = p.node""",
+FROM p LEFT JOIN pr USING (rid) LEFT JOIN key ON key.url = p.url LEFT JOIN c ON c.node = key.node""",
     "op2_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
