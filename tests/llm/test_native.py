@@ -125,6 +125,21 @@ def test_contexts_find_unseen_identifiers(make):
     assert found[9] == "context:11:22" and not found[10] and not any(found[i] for i in range(5))
 
 
+def test_identifiers_of_all_kinds_are_found(make):
+    """Recall of planted identifiers in contexts that seeds have taught, with and without digits; plain texts stay."""
+    before = ("write to", "my account is", "reach them at", "user name")
+    seeds = [(i, f"please {before[i % 4]} {'abcdefghij'[i % 10]}.doe{'klm'[i % 3]}@mail{'xyz'[i % 3]}.example or so {i}") for i in range(40)]
+    hidden = ["jane(at)example", "jo_miller", "x99-8812-z4", "#handle", "id=qrstuv", "home/jo/keys", "a[dot]b[dot]cd", "7781234"]
+    planted = [(100 + i, f"she said {before[i % 4]} {hidden[i // 4]} or so") for i in range(32)]
+    plain = [(200 + i, f"the {w} and/or the (other) part no_{i} of it") for i, w in enumerate(("cat", "dog", "sea", "sky"))]
+    docs = make(seeds + planted + plain, "doc_id long, text string")
+    found = {r["doc_id"]: r["context"] for r in pii.find_pii(docs).select("doc_id", "context").collect()}
+    texts = dict(planted)
+    hits = [k for k, t in texts.items() if any(t[s["start"] : s["end"]].strip("#") == hidden[(k - 100) // 4].strip("#") for s in found[k])]
+    assert len(hits) >= 0.9 * len(planted)
+    assert not any(found[k] for k, _ in plain + seeds)
+
+
 @pytest.mark.parametrize("query", [queries.op2_chat_format, queries.op3_pii])
 def test_queries_on_the_tables(spark, sf, query):
     rows = query(spark, sf).collect()

@@ -19,8 +19,9 @@ PATTERNS = {
 #: Without these characters there is no match, so the pattern is not run.
 NEEDS = {"email": "[@]", "ip": "[0-9]", "card": "[0-9]", "phone": "[+]"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-#: A word that holds a digit.
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: A word that can be an identifier: it holds a digit, or a mark that joins the parts of names and addresses.
+TOKEN = r"(?<!\S)[^\s0-9@_#=/\\(\[]*+[0-9@_#=/\\(\[]\S*+"
+TOKEN_NEEDS = r"[0-9@_#=/\\(\[]"
 
 
 def _luhn(digits: Column) -> Column:
@@ -71,7 +72,7 @@ def _span_blocks(spans: Column) -> Column:
 
 
 def _mentions() -> Column:
-    """Words with a digit as (inst, left, around, start, end, seed): what they say (all of the base
+    """Words that can be identifiers as (inst, left, around, start, end, seed): what they say (all of the base
     span that they are part of, if any), the lexical patterns around them, where they stand, and
     whether they are part of a base span. The patterns try each word of a gap once, from its start.
     Arrays that lambdas look into are bound with ``let``: a column named once in a lambda could be
@@ -95,7 +96,7 @@ def _mentions() -> Column:
 
     def mention(blocks: Column, w: Column) -> Column:
         end = w["start"] + F.length(w["core"])
-        # a gap of less than two words goes on in the word with a digit before it
+        # a gap of less than two words goes on in the identifier before it
         left = F.concat_ws(" ", F.when(w["far"] != "", w["far"]).when(w["later"], "<id>").otherwise("<start>"), F.when(w["near"] != "", w["near"]).otherwise("<id>"))
         around = F.concat_ws(" ", w["near"], F.lit("_"), F.when(w["right"] != "", w["right"]).otherwise("<end>"))
         return let(
@@ -121,18 +122,18 @@ def find_pii(
     rounds: int = 3,
     confidence: float = 0.6,
     seeds: int = 2,
-    min_digits: int = 4,
     min_chars: int = 6,
 ) -> DataFrame:
     """(id, email, ip, card, phone, context): arrays of (start, end) in characters, end exclusive.
 
     The base kinds are leftmost non-overlapping matches that pass their checks. They are the seeds of
-    the bootstrapped kind ``context``: every word with a digit is an instance; the two words before
-    it, and the words on both sides, are its lexical patterns. A pattern scores the mean of its
+    the bootstrapped kind ``context``: every word with a digit, or with one of the marks @_#=/\\([, is
+    an instance (words of letters alone are none: a trusted slot holds too many that say nothing of
+    a person); the two words before it, and the words on both sides, are its lexical patterns. A pattern scores the mean of its
     distinct instances' scores, with one unscored instance added; an instance that is no seed
     scores one minus the product of its patterns' doubts. After ``rounds`` rounds over the graph, patterns of
     at least ``confidence`` with ``seeds`` seed instances or more mark the words in their slot that
-    have ``min_digits`` digits and ``min_chars`` characters and touch no base span.
+    have ``min_chars`` characters and touch no base span.
 
     Null text: empty, no spans. Rows are judged each, so repeated rows and ids get equal results;
     other columns are not read. No rows give no rows. Base spans never change.
@@ -142,7 +143,7 @@ def find_pii(
     cut = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     for kind in KINDS:
         cut = _cut(cut, kind, PATTERNS[kind], NEEDS[kind]).withColumn(kind, _spans(kind)).drop(f"{kind}_m", f"{kind}_g", f"{kind}_s")
-    cut = _cut(cut, "token", TOKEN, "[0-9]").withColumn("span_blocks", _span_blocks(F.concat(*KINDS)))
+    cut = _cut(cut, "token", TOKEN, TOKEN_NEEDS).withColumn("span_blocks", _span_blocks(F.concat(*KINDS)))
     places = [F.transform(k, lambda s: F.struct(s["start"], s["end"])).alias(k) for k in KINDS]
     base = scratch.keep(cut.select("id", text_key(F.col("text")).alias("key"), *places, _mentions().alias("mentions")), "base")
 
@@ -161,9 +162,8 @@ def find_pii(
         )
         scratch.drop(f"scores-{step - 1}")
     good = patterns.where((F.col("trust") >= confidence) & (F.col("n_seeds") >= seeds)).select("pattern")
-    digits = F.length(F.regexp_replace("inst", "[^0-9]", ""))
     found = (
-        pairs.where(~F.col("seed") & (digits >= min_digits) & (F.length("inst") >= min_chars))
+        pairs.where(~F.col("seed") & (F.length("inst") >= min_chars))
         .join(good, "pattern", "left_semi")
         .groupBy("key")
         .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("context"))
