@@ -135,6 +135,26 @@ def test_leaks_among_words_of_the_benchmark(make):
     assert latent_search.find_leaks(docs, bench, cosine=0.5).count() == 0
 
 
+def test_recall_of_paraphrases(make):
+    """Planted passages with words left out, put in and replaced, held against the longest common subsequence."""
+    rng = np.random.default_rng(12)
+    words = [f"w{x}" for x in range(3000)]
+    say = lambda n: list(rng.choice(words, n))
+    items = [(i, say(int(rng.integers(15, 90)))) for i in range(120)]
+    docs = []
+    for i, item in items:
+        told = list(item)
+        for at in sorted(rng.choice(len(item), len(item) // 7, replace=False), reverse=True):
+            kind = rng.integers(3)
+            told[at : at + 1] = [] if kind == 0 else say(1) if kind == 1 else [told[at], *say(1)]
+        docs.append((i, " ".join(say(int(rng.integers(0, 300))) + told + say(int(rng.integers(0, 300))))))
+    docs += [(1000 + i, " ".join(say(200))) for i in range(100)]
+    bench = make([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    for options in ({}, {"block": 30}, {"block_bytes": 20_000}):
+        found = {(r["doc_id"], r["item_id"]) for r in latent_search.find_leaks(make(docs, "doc_id long, text string"), bench, **options).collect()}
+        assert len(found & {(i, i) for i, _ in items}) >= 0.98 * len(items) and not found - {(i, i) for i, _ in items}
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(8)
     for _ in range(200):

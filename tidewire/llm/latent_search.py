@@ -97,7 +97,7 @@ def randomised_svd(texts: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarr
                     total[ids] += weight[:, None] * (weight @ q32[ids])
                     used[ids] = True
             at = np.flatnonzero(used)
-            yield pd.DataFrame({"f": at, "v": total[at].tolist()})
+            yield pd.DataFrame({"f": at, "v": pd.Series(total[at].tolist(), dtype=object)})  # a task may have no word
 
         # a word has one row a task at most
         parts = texts.select("text").mapInPandas(part, "f long, v array<double>").groupBy("f")
@@ -233,11 +233,11 @@ def _search(shared, item_type: str):
 
 
 def leak_columns(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", docs_text: str = "text", rank: int = 64, rounds: int = 2, cosine: float = 0.0, cover: float = 0.4, similarity: float = 0.8, paraphrase: float = 0.6, min_words: int = 5, block: int = 5000, seed: int = 5
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", docs_text: str = "text", rank: int = 64, rounds: int = 2, cosine: float = 0.0, cover: float = 0.4, similarity: float = 0.8, paraphrase: float = 0.6, min_words: int = 5, block: int = 5000, block_bytes: int = 8_000_000, seed: int = 5
 ) -> Column:
     """A column for ``docs``: array of (item, similarity, cosine, answer), the items that the text leaks.
 
-    Items come in blocks of about ``block`` rows; each block's words, index and latent space are
+    Items come in blocks of about ``block`` rows and ``block_bytes`` bytes of text, whichever makes more; each block's words, index and latent space are
     broadcast, so their size is bounded by the block, and each block is searched in all texts. IDF
     counts all rows of ``docs`` and of the block. The latent space is a randomised SVD of the TF-IDF
     matrix of all passages of the block, in Spark jobs. Windows of every text are candidates for a
@@ -251,11 +251,12 @@ def leak_columns(
     items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("text is not null")
     item_type = benchmark.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(docs_text).alias("text"))
-    blocks = max(1, -(-items.count() // block))
+    n_items, n_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n_items // block), -(-n_bytes // block_bytes))
     found = []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        own = [(r["item"], r["text"]) for r in part.collect()]  # about ``block`` rows
+        own = [(r["item"], r["text"]) for r in part.collect()]  # about ``block`` rows, ``block_bytes`` bytes
         vocabulary = {w: i for i, w in enumerate(sorted({w for _, text in own for w in words_of(text)}))}
         if not vocabulary:
             continue
