@@ -289,12 +289,24 @@ def test_near_copies_of_the_stage(spark, make):
             for at in rng.sample(range(150), rng.randrange(1, 7)):
                 own[at] = f"v{rng.randrange(10**6)}"
             texts.append(" ".join(own))
+    words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    for _ in range(60):  # a class whose members are mostly just below the bound
+        own = list(words)
+        for at in rng.sample(range(200), 6):
+            own[at] = f"u{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
     texts += [None, "", " ", "one two", "One  two", "one two three", texts[0].upper()]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()} for t in texts]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     want = set(classes(len(texts), links))
     assert len(linked([plain_simhash(t or "") for t in texts])) and len(want) < len(set(linked([plain_simhash(t or "") for t in texts])))
     docs = make(list(enumerate(texts)), "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1)})
+    for block in (1024, 7):
+        found = {r["id"]: r["root"] for r in simhash.similar_texts(docs, block=block).collect()}
+        first = {}
+        for i in sorted(found):
+            first.setdefault(found[i], i)
+        assert [first[found[i]] for i in range(len(texts))] == classes(len(texts), links)
     stage = dict(corpus_pipeline.STAGES)["simhash"]
     assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == sorted(want)
     assert stage(spark, docs.where("false"), "").count() == 0

@@ -183,14 +183,47 @@ def _minima(grams: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.nd
     return out
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 6, seed: int = 42) -> DataFrame:
+def _joined(grams: list[np.ndarray], keys: np.ndarray, key: int, label: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect, across the classes of ``label``, the similar ones among the nodes of one key, or of two
+    blocks of one (``side`` tells which). A pair is compared under the smallest key that it shares;
+    a node's shingles are marked once and counted in all others."""
+    n, edges = len(grams), []
+    sizes = np.array([len(g) for g in grams])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    _, ids = np.unique(np.concatenate(grams), return_inverse=True)
+    mark, label = np.zeros(ids.max() + 1, dtype=bool), label.copy()
+    for i in range(n - 1):
+        may = label[i + 1 :] != label[i]
+        if side is not None:
+            may &= side[i + 1 :] != side[i]
+        may &= np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i])
+        others = np.flatnonzero(may) + i + 1
+        others = others[~((keys[others] == keys[i]) & (keys[i] < key)).any(axis=1)]
+        if not len(others):
+            continue
+        mark[ids[starts[i] : starts[i] + sizes[i]]] = True
+        if len(others) > n // 8:
+            both = np.add.reduceat(mark[ids], starts, dtype=np.int64)[others]
+        else:
+            both = np.array([mark[ids[starts[j] : starts[j] + sizes[j]]].sum() for j in others.tolist()])
+        mark[ids[starts[i] : starts[i] + sizes[i]]] = False
+        for j in others[both >= similarity * (sizes[i] + sizes[others] - both)].tolist():
+            if label[j] != label[i]:
+                edges.append((i, j))
+                label[label == label[j]] = label[i]
+    return edges
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 6, seed: int = 42, block: int = 1024) -> DataFrame:
     """(id, text_key, root): one row a row of ``docs``; texts of one root are linked by pairs whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
     Texts of equal sets are one node. Candidates share one of ``bands`` keys of ``rows`` minima each
     (a pair at 0.8 shares none with a chance of 0.0001); every candidate pair between classes is
     compared by all its shingles, unless its sketch of all minima puts it far below ``similarity``.
     A key's nodes are first compared with two drawn from them, so that a large group of near copies is
-    one class before pairs are made, then across the classes that are left; no group is capped.
+    one class, then across the classes that are left: in one task for each key, and for each pair of
+    blocks of a key of more than ``block`` nodes. Only edges between classes come out of a task, never
+    pairs; no group is capped.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     draw = np.random.default_rng(seed)
@@ -234,9 +267,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = marked.select("node", F.explode("keys").alias("key")).distinct()
     several = keyed.groupBy("key").count().where("count > 1").select("key")
     shared = scratch.keep(keyed.join(several, "key"), "shared")
-    need = marked.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min("text_key").alias("text_key"), F.any_value("sketch").alias("sketch"))
+    need = marked.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min("text_key").alias("text_key"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys"))
     said = docs.select(text_key(text).alias("text_key"), text.alias("said")).join(need, "text_key").dropDuplicates(["text_key"])
-    held = scratch.keep(said.select("node", "sketch", grams_of("said").alias("grams")), "held")
+    held = scratch.keep(said.select("node", "sketch", "keys", grams_of("said").alias("grams")), "held")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs (a, b) that are similar."""
@@ -250,15 +283,54 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         close = scratch.keep(beside(ordered, "sketch").where(alike("sketch_a", "sketch_b") >= similarity - 0.2).select("a", "b"), f"close-{name}")
         return scratch.keep(beside(close, "grams").where(jaccard("grams_a", "grams_b") >= similarity).select("a", "b"), f"links-{name}")
 
+    place = ["key", "low", "high"]
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, low, high = (table.column(c).to_numpy() for c in place)
+            cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b - a < 2:
+                    continue
+                own = table.slice(a, b - a).combine_chunks()
+                grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column("grams")]
+                keys = np.array(own.column("keys").to_pylist(), dtype=np.int64)
+                label = own.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+                side = own.column("side").to_numpy(zero_copy_only=False).astype(bool) if low[a] != high[a] else None
+                if edges := _joined(grams, keys, int(key[a]), label, side, similarity):
+                    names = own.column("node").combine_chunks()
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array([e[k] for e in edges])) for k in (0, 1)], ["a", "b"])
+
+        waiting: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            waiting = now if waiting is None else pa.concat_tables([waiting, now])
+            if not len(waiting):
+                continue
+            same = np.logical_and.reduce([waiting.column(c).to_numpy() == waiting.column(c)[len(waiting) - 1].as_py() for c in place])
+            if cut := int(np.argmax(same)):  # the last group may go on
+                yield from out(waiting.slice(0, cut))
+                waiting = waiting.slice(cut)
+        if waiting is not None and len(waiting):
+            yield from out(waiting)
+
+    def linked_across(members: DataFrame) -> DataFrame:
+        """Edges between the classes of a key's nodes; block k meets every block l in (least, greatest) of the two."""
+        sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        dealt = members.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", "node", "root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"))
+        dealt = dealt.join(held.select("node", "keys", "grams"), "node").repartition(*place).sortWithinPartitions(*place)
+        return scratch.keep(dealt.mapInArrow(across, "a binary, b binary"), "links-rest")
+
     members, links = shared.withColumn("root", F.col("node")), None
     for step in ("first", "second", "rest"):
         if step == "rest":
-            others = members.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            pairs = members.join(others, "key").where("root < root_b").select(F.col("node").alias("a"), "b")
+            found = linked_across(members)
         else:
             drawn = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(step), "node")).alias("d"))
             pairs = members.join(drawn, "key").where("root != d.root").select(F.col("node").alias("a"), F.col("d.node").alias("b"))
-        found = linked(pairs, step)
+            found = linked(pairs, step)
         links = found if links is None else links.union(found)
         classes = connected_components(scratch, links, f"cc-{step}")
         if step != "rest":
