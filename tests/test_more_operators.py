@@ -144,3 +144,23 @@ def test_terms_and_addresses(spark):
     assert one(spark, urls.secure(F.col("u")), u="http://A.com/p?reference=1&id=2#x") == "https://a.com/p?id=2"
     assert [one(spark, urls.source_kind(F.col("u")), u=u) for u in ("", None, "http://a/s.xml", "http://a/rss", "http://m.a/", "http://a/b")] == ["blank", "blank", "sitemap", "feed", "mobile", "html"]
     assert one(spark, urls.slug_title(F.col("p")), p="/a/big-news_now/") == "Big news now"
+
+
+def test_folds_keep_null_and_large_keys(spark):
+    from tidewire.operators import state
+
+    large = 9007199254740993
+    rows = [(k, i, False) for k in (None, large, 1) for i in range(15)]
+    found = state.adaptive_thresholds(spark.createDataFrame(rows, "k long, i long, ok boolean"), "k", ["i"], F.col("ok"))
+    last = {r["k"]: r["threshold"] for r in found.where("i = 14").collect()}
+    assert last == {None: 40, large: 40, 1: 40}
+    waits = state.adaptive_intervals(spark.createDataFrame(rows, "k long, i long, ok boolean"), "k", ["i"], F.col("ok"))
+    assert {r["k"]: r["seconds"] for r in waits.where("i = 14").collect()} == {None: 3600, large: 3600, 1: 3600}
+
+
+def test_nearest_vectors_in_blocks(spark):
+    from tidewire.operators import vectors
+
+    rows = spark.createDataFrame([(i, [float((i * 7) % 11), float(i % 5), 1.0]) for i in range(60)] + [(99, None)], "id long, v array<double>")
+    got = [sorted(map(tuple, vectors.cosine_top_k(rows, rows, "id", "v", 4, block=n).collect())) for n in (1000, 7)]
+    assert got[0] == got[1] and len(got[0]) == 240

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.session import saved
+
 #: What each maintenance agent's log lines hold, in order.
 AGENTS = {
     "redacao": ("redacao", "preview", "materia", "fonte", "contaminada", "fallback", "openai", "score", "bloqueante"),
@@ -57,7 +59,7 @@ def top_terms(df: DataFrame, key: str, text: str, n: int, least: int = 4) -> Dat
     unique: rows of one key count as one text. Null and empty texts have no terms.
     """
     words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " ")), " "), lambda w: F.length(w) >= least)
-    counts = df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = saved(df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))  # read twice
     total = df.count()
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.round(F.col("tf") * F.log((1 + F.lit(total)) / (1 + F.col("df"))), 6)

@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 
 def fit(df: DataFrame, text: str, label: str, classes: int, key: str, features: int = 384, hidden: tuple[int, ...] = (128, 64), rounds: int = 40, sample: int = 20000, seed: int = 7) -> PipelineModel:
-    """Model of the label (0 to ``classes`` - 1) from at most ``sample`` labelled rows, those with the least hash of their key.
+    """Model of the label (0 to ``classes`` - 1) from about ``sample`` labelled rows, those with the least hash of their key, or all if there are fewer.
 
-    The bound is on the network's training rows, which it reads in every round; null labels are left out and null texts read as empty.
+    The bound is on the network's training rows, which it reads in every round; the rows stay in the
+    tasks where they are. Null labels are left out and null texts read as empty.
     """
-    rows = df.where(F.col(label).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample)
+    rows = df.where(F.col(label).isNotNull())
+    n = rows.count()
+    if n > sample:
+        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < (1 << 30) * sample // n)
     rows = rows.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label"))
     stages = [
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+", toLowercase=True),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,56 +23,59 @@ def recurrences(df: DataFrame, key: str, order: list[str], limit: int = 3) -> Da
     return df.withColumn("n_so_far", seen).withColumn("blocked", F.col("n_so_far") >= limit)
 
 
-def adaptive_thresholds(df: DataFrame, key: str, order: list[str], accepted: Column, start: int = 65, keep: int = 50, least: int = 10) -> DataFrame:
-    """(key, order columns, threshold): for each key, in order, the threshold after each row: from
-    ``start``, 5 down (to 40) where under a tenth of the last ``keep`` rows were accepted, 5 up (to 90) where over
-    six tenths were, once there are ``least`` rows.
+def _folded(df: DataFrame, key: str, order: list[str], flag: Column, name: str, start: int, step: Callable[[int, list[bool]], tuple[int, list[bool]]]) -> DataFrame:
+    """(key, order columns, name): the value that ``step`` makes of the last value and flags, row by row of each key in order.
 
-    Rows come to a task sorted by key and order and are folded as they stream by, so no group is held.
+    Rows come to a task sorted by key and order and are folded as they stream by, so no group is
+    held. Rows of a null key are one key's; a null flag is false. Keys are kept as they are.
     """
-    rows = df.select(key, *order, accepted.alias("accepted")).repartition(key).sortWithinPartitions(key, *order)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "accepted") + ", threshold int"
+    rows = df.select(key, *order, F.coalesce(flag, F.lit(False)).alias("_flag")).repartition(key).sortWithinPartitions(key, *order)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_flag") + f", {name} int"
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, now, last = None, start, []
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, last = object(), start, []
         for batch in batches:
             out = []
-            for k, ok in zip(batch[key].tolist(), batch["accepted"].tolist()):
+            for k, ok in zip(batch.column(key).to_pylist(), batch.column("_flag").to_pylist()):
                 if k != held:
                     held, now, last = k, start, []
-                last = [*last[-(keep - 1) :], bool(ok)]
-                if len(last) >= least:
-                    rate = sum(last) / len(last)
-                    now = max(40, now - 5) if rate < 0.1 else min(90, now + 5) if rate > 0.6 else now
+                now, last = step(now, [*last, ok])
                 out.append(now)
-            yield batch.drop(columns="accepted").assign(threshold=out)
+            kept = [c for c in batch.schema.names if c != "_flag"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.int32())], [*kept, name])
+
+    return rows.mapInArrow(fold, schema)
 
-    return rows.mapInPandas(fold, schema)
+
+def adaptive_thresholds(df: DataFrame, key: str, order: list[str], accepted: Column, start: int = 65, keep: int = 50, least: int = 10) -> DataFrame:
+    """(key, order columns, threshold): for each key, in order, the threshold after each row: from
+    ``start``, 5 down (to 40) where under a tenth of the last ``keep`` rows were accepted, 5 up (to 90) where over
+    six tenths were, once there are ``least`` rows (see _folded).
+    """
+
+    def step(now: int, last: list[bool]) -> tuple[int, list[bool]]:
+        last = last[-keep:]
+        if len(last) >= least:
+            rate = sum(last) / len(last)
+            now = max(40, now - 5) if rate < 0.1 else min(90, now + 5) if rate > 0.6 else now
+        return now, last
+
+    return _folded(df, key, order, accepted, "threshold", start, step)
 
 
 def adaptive_intervals(df: DataFrame, key: str, order: list[str], found: Column, start: int = 1800, low: int = 300, high: int = 3600) -> DataFrame:
     """(key, order columns, seconds): each key's waiting time after each cycle, in order: a fifth longer (to ``high``) where
-    none of the last three cycles found anything, 15 per cent shorter (to ``low``) where two or more did; whole seconds.
-
-    Rows are folded as they stream by in order; the first two cycles of a key change nothing. A null find counts as none.
+    none of the last three cycles found anything, 15 per cent shorter (to ``low``) where two or more did; whole seconds
+    (see _folded). The first two cycles of a key change nothing.
     """
-    rows = df.select(key, *order, F.coalesce(found, F.lit(False)).alias("found")).repartition(key).sortWithinPartitions(key, *order)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "found") + ", seconds int"
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, now, last = object(), start, []
-        for batch in batches:
-            out = []
-            for k, ok in zip(batch[key].tolist(), batch["found"].tolist()):
-                if k != held:
-                    held, now, last = k, start, []
-                last = [*last[-2:], bool(ok)]
-                if len(last) == 3:
-                    now = min(int(now * 1.2), high) if not any(last) else max(int(now * 0.85), low) if sum(last) >= 2 else now
-                out.append(now)
-            yield batch.drop(columns="found").assign(seconds=out)
+    def step(now: int, last: list[bool]) -> tuple[int, list[bool]]:
+        last = last[-3:]
+        if len(last) == 3:
+            now = min(int(now * 1.2), high) if not any(last) else max(int(now * 0.85), low) if sum(last) >= 2 else now
+        return now, last
 
-    return rows.mapInPandas(fold, schema)
+    return _folded(df, key, order, found, "seconds", start, step)
 
 
 def cooling(df: DataFrame, key: str, ts: str, order: list[str], failed: Column, seconds: int = 600) -> DataFrame:

@@ -7,20 +7,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 20_000
-
-
-def cosine_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
+def cosine_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, block: int = 10_000) -> DataFrame:
     """(query, id, similarity, rank): the ``k`` rows nearest to each query by cosine, rounded to 6 digits; ties by id.
 
-    Queries are collected and broadcast after their number is checked. Each task keeps the ``k`` best of
-    its rows for each query, so k rows a task and query are shuffled. Zero vectors score 0.
+    Queries come in blocks of about ``block``, by a hash of their id; each block is collected, broadcast
+    and held against all rows. Each task keeps the ``k`` best of its rows for each query, so k rows a
+    task and query are shuffled. Null vectors are left out, zero vectors score 0.
     """
-    own = queries.select(id_col, vector_col).limit(MAX_QUERIES + 1).toPandas()
-    if len(own) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: give them in blocks")
+    asked = queries.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
+    blocks = max(1, -(-asked.count() // block))
+    found = None
+    for b in range(blocks):
+        part = _nearest(rows, asked.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b), id_col, vector_col, k)
+        found = part if found is None else found.union(part)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
+    """(query, id, similarity): the ``k`` nearest rows of each task to each query of one block."""
+    own = queries.toPandas()  # about a block of rows
     if own.empty:
-        return rows.sparkSession.createDataFrame([], "query long, id long, similarity double, rank int")
+        return rows.sparkSession.createDataFrame([], "query long, id long, similarity double")
 
     def unit(values: list) -> np.ndarray:
         x = np.array([np.asarray(v, dtype=np.float64) for v in values])
@@ -31,7 +39,8 @@ def cosine_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: s
     def best(batches):
         names, q = sought.value
         ids, near = np.empty((len(names), 0), dtype=np.int64), np.empty((len(names), 0))
-        for batch in batches:
+        tile = max(k, 2_000_000 // len(names))
+        for batch in (whole.iloc[a : a + tile] for whole in batches for a in range(0, len(whole), tile)):
             got = np.round(q @ unit(batch[vector_col].tolist()).T, 6)
             own = np.broadcast_to(batch[id_col].to_numpy(), got.shape)
             got = np.where(own == names[:, None], -np.inf, got)  # not itself
@@ -41,6 +50,4 @@ def cosine_top_k(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: s
         fine = np.isfinite(near)
         yield pd.DataFrame({"query": np.broadcast_to(names[:, None], ids.shape)[fine], "id": ids[fine], "similarity": near[fine]})
 
-    found = rows.where(F.col(vector_col).isNotNull()).select(id_col, vector_col).mapInPandas(best, "query long, id long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return rows.where(F.col(vector_col).isNotNull()).select(id_col, vector_col).mapInPandas(best, "query long, id long, similarity double")

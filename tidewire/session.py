@@ -28,8 +28,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows written to the folder in spark.checkpoint.dir, which cuts the lineage; a folder of our own where that is unset, as in tests."""
+    """The rows written to the folder in spark.checkpoint.dir, which cuts the lineage; a folder of our own where that is unset and Spark runs in one process, as in tests."""
     context = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
