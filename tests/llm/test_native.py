@@ -1,6 +1,7 @@
 """URL filters, chat formatting and personal data against plain Python."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -131,13 +132,15 @@ def test_identifiers_of_all_kinds_are_found(make):
     seeds = [(i, f"please {before[i % 4]} {'abcdefghij'[i % 10]}.doe{'klm'[i % 3]}@mail{'xyz'[i % 3]}.example or so {i}") for i in range(40)]
     hidden = ["jane(at)example", "jo_miller", "x99-8812-z4", "#handle", "id=qrstuv", "home/jo/keys", "a[dot]b[dot]cd", "7781234"]
     planted = [(100 + i, f"she said {before[i % 4]} {hidden[i // 4]} or so") for i in range(32)]
+    rng = random.Random(3)
+    keys = [(300 + i, f'{"plain words here"[: i + 5]} token = "{"".join(rng.choices("0123456789abcdef", k=40))}" then') for i in range(6)] + [(310, 'and token = "short12" too')]
     plain = [(200 + i, f"the {w} and/or the (other) part no_{i} of it") for i, w in enumerate(("cat", "dog", "sea", "sky"))]
-    docs = make(seeds + planted + plain, "doc_id long, text string")
+    docs = make(seeds + planted + keys + plain, "doc_id long, text string")
     found = {r["doc_id"]: r["context"] for r in pii.find_pii(docs).select("doc_id", "context").collect()}
     texts = dict(planted)
     hits = [k for k, t in texts.items() if any(t[s["start"] : s["end"]].strip("#") == hidden[(k - 100) // 4].strip("#") for s in found[k])]
     assert len(hits) >= 0.9 * len(planted)
-    assert not any(found[k] for k, _ in plain + seeds)
+    assert not any(found[k] for k, _ in plain + seeds) and all(len(found[k]) == 1 for k, _ in keys)
 
 
 @pytest.mark.parametrize("query", [queries.op2_chat_format, queries.op3_pii])

@@ -19,8 +19,10 @@ PATTERNS = {
 #: Without these characters there is no match, so the pattern is not run.
 NEEDS = {"email": "[@]", "ip": "[0-9]", "card": "[0-9]", "phone": "[+]"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-#: A word that can be an identifier: it holds a digit, or a mark that joins the parts of names and addresses.
-TOKEN = r"(?<!\S)[^\s0-9@_#=/\\(\[]*+[0-9@_#=/\\(\[]\S*+"
+#: A word that can be an identifier: it holds a digit, or a mark that joins parts of names and addresses, or begins as a handle.
+TOKEN = r"(?<!\S)(?=[^\s0-9]*+[0-9]|[@#][A-Za-z]|\S*?[A-Za-z][@_#=/\\(\[][A-Za-z])\S++"
+#: A seed besides the base kinds: a long key of letters and digits.
+SECRET = r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9_-]{20,}$"
 TOKEN_NEEDS = r"[0-9@_#=/\\(\[]"
 
 
@@ -72,9 +74,9 @@ def _span_blocks(spans: Column) -> Column:
 
 
 def _mentions() -> Column:
-    """Words that can be identifiers as (inst, left, around, start, end, seed): what they say (all of the base
-    span that they are part of, if any), the lexical patterns around them, where they stand, and
-    whether they are part of a base span. The patterns try each word of a gap once, from its start.
+    """Words that can be identifiers as (inst, left, around, start, end, seed, told): what they say (all of the base
+    span that they are part of, if any), the lexical patterns around them, where they stand,
+    whether they are a seed, and whether they are part of a base span. The patterns try each word of a gap once, from its start.
     Arrays that lambdas look into are bound with ``let``: a column named once in a lambda could be
     merged into it, and would be worked out for every word."""
 
@@ -107,7 +109,8 @@ def _mentions() -> Column:
                 around.alias("around"),
                 w["start"].alias("start"),
                 end.alias("end"),
-                base.isNotNull().alias("seed"),
+                (base.isNotNull() | F.rlike(w["core"], F.lit(SECRET))).alias("seed"),
+                base.isNotNull().alias("told"),
             ),
         )
 
@@ -126,8 +129,8 @@ def find_pii(
 ) -> DataFrame:
     """(id, email, ip, card, phone, context): arrays of (start, end) in characters, end exclusive.
 
-    The base kinds are leftmost non-overlapping matches that pass their checks. They are the seeds of
-    the bootstrapped kind ``context``: every word with a digit, or with one of the marks @_#=/\\([, is
+    The base kinds are leftmost non-overlapping matches that pass their checks. They, and keys of 20 or
+    more letters and digits, are the seeds of the bootstrapped kind ``context``: every word with a digit, or with one of the marks @_#=/\\([ between letters, is
     an instance (words of letters alone are none: a trusted slot holds too many that say nothing of
     a person); the two words before it, and the words on both sides, are its lexical patterns. A pattern scores the mean of its
     distinct instances' scores, with one unscored instance added; an instance that is no seed
@@ -148,7 +151,7 @@ def find_pii(
     base = scratch.keep(cut.select("id", text_key(F.col("text")).alias("key"), *places, _mentions().alias("mentions")), "base")
 
     mentions = base.where(F.size("mentions") > 0).select("key", F.inline("mentions"))
-    pairs = mentions.select("key", "inst", "start", "end", "seed", F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("A "), "around"))).alias("pattern"))
+    pairs = mentions.select("key", "inst", "start", "end", "seed", "told", F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("A "), "around"))).alias("pattern"))
     graph = scratch.keep(pairs.groupBy("pattern", "inst").agg(F.max("seed").alias("here")), "graph")
     known = graph.groupBy("inst").agg(F.max("here").alias("seed"))
     scores = scratch.keep(known.select("inst", "seed", F.col("seed").cast("double").alias("score")), "scores-0")
@@ -163,7 +166,7 @@ def find_pii(
         scratch.drop(f"scores-{step - 1}")
     good = patterns.where((F.col("trust") >= confidence) & (F.col("n_seeds") >= seeds)).select("pattern")
     found = (
-        pairs.where(~F.col("seed") & (F.length("inst") >= min_chars))
+        pairs.where(~F.col("told") & (F.length("inst") >= min_chars))
         .join(good, "pattern", "left_semi")
         .groupBy("key")
         .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("context"))

@@ -44,6 +44,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in (*pii.KINDS, "context")],
         F.sha2(pii.written(pii.KINDS), 256).alias("base_sha256"),
         pii.written((*pii.KINDS, "context")).alias("spans"),
+        F.size(F.concat(*pii.KINDS, "context")).cast("long").alias("n_spans"),
     )
 
 
