@@ -65,6 +65,51 @@ def _run(x: np.ndarray, signs: np.ndarray, weight: np.ndarray, table: int, side:
     return total, edges
 
 
+def _plausible(signs: np.ndarray, codes: np.ndarray, table: int, side: np.ndarray | None, limit: float) -> np.ndarray:
+    """Rows of a bucket, or of two blocks of one, with a pair of at most ``limit`` differing signs that no earlier table finds."""
+    found, tile, width = np.zeros(len(signs), dtype=bool), 1024, signs.shape[1]
+    x = signs.astype(np.float32) * 2 - 1
+    for a in range(0, len(x), tile):
+        for b in range(a, len(x), tile):
+            p, q = slice(a, a + tile), slice(b, b + tile)
+            near = x[p] @ x[q].T >= width - 2 * limit
+            if side is not None:
+                near &= side[p, None] != side[None, q]
+            if a == b:
+                near = np.triu(near, 1)
+            for t in range(table):
+                if not near.any():
+                    break
+                near &= codes[p, t, None] != codes[None, q, t]
+            found[p] |= near.any(axis=1)
+            found[q] |= near.any(axis=0)
+    return found
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables that cut no run of equal keys, and the starts of the runs with the end of the last."""
+
+    def with_cuts(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        change = np.zeros(max(len(table) - 1, 0), dtype=bool)
+        for c in keys:
+            values = table.column(c).to_numpy()
+            change |= values[1:] != values[:-1]
+        return table, np.flatnonzero(np.concatenate(([True], change, [True])))
+
+    held: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        if len(held) < rows:
+            continue
+        cut = int(with_cuts(held)[1][-2])
+        if cut:
+            yield with_cuts(held.slice(0, cut))
+            held = held.slice(cut)
+    if held is not None and len(held):
+        yield with_cuts(held)
+
+
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, miss: float = 0.005, per_bucket: int = 64, block: int = 2048, seed: int = 7
 ) -> DataFrame:
@@ -73,7 +118,9 @@ def near_vectors(
     Rows link if the cosine of their vectors, in double precision, is at least ``threshold``. Pairs
     are sought in buckets of equal signs of random hyperplanes, in as many tables as keep the
     chance of missing a pair at the threshold under ``miss``; the cosine of every pair of a bucket
-    is computed, and a pair counts in the first table that has it. Rows of equal vectors are one
+    is computed unless so many of all their signs differ as no pair at the threshold shows (six
+    standard deviations), and a pair counts in the first table that has it. Signs alone go to all
+    tables; a vector goes to those where one of its pairs counts. Rows of equal vectors are one
     node with a weight, and link with each other. Buckets over ``block`` rows are split: each pair of
     blocks is a task's work of its own, so a hot bucket is no single task and none is capped.
 
@@ -112,62 +159,65 @@ def near_vectors(
                     x = np.array(part.column("v").flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, width)
                     x = x / np.abs(x).max(axis=1, keepdims=True)
                     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    signs = ((x @ planes[1] > 0).reshape(len(x), tables, bits) * powers).sum(axis=2)
-                    unit, codes = [r.tobytes() for r in x.astype("<f8")], [r.tobytes() for r in signs.astype("<i8")]
-                    columns = [part.column("node"), part.column("width"), part.column("weight"), pa.array(unit, pa.binary()), pa.array(codes, pa.binary()), pa.array(signs.tolist(), pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["node", "width", "weight", "unit", "codes", "signs"])
-
-    signed = nodes.mapInArrow(sign, f"node {node_type}, width int, weight long, unit binary, codes binary, signs array<long>")
-    signed = scratch.keep(signed, "signed")
-    homes = signed.select("node", "weight", "unit", "codes", F.posexplode("signs").alias("tab", "code"), "width")
-    sizes = homes.groupBy("tab", "width", "code").count().where("count > 1")
-    homes = homes.join(sizes, ["tab", "width", "code"]).withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
+                    above = x @ planes[1] > 0
+                    codes = (above.reshape(len(x), tables, bits) * powers).sum(axis=2)
+                    unit, signs = [r.tobytes() for r in x.astype("<f8")], [r.tobytes() for r in np.packbits(above, axis=1)]
+                    columns = [part.column("node"), part.column("width"), part.column("weight"), pa.array(unit, pa.binary()), pa.array(signs, pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "width", "weight", "unit", "signs", "codes"])
+
+    def unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """Signs as 0 and 1, and codes by table."""
+        packed = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+        own = np.unpackbits(packed, axis=1, count=bits * tables)
+        return own, own.reshape(len(own), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+    signed = nodes.mapInArrow(sign, f"node {node_type}, width int, weight long, unit binary, signs binary, codes array<long>")
+    signed = scratch.keep(signed.withColumn("key", F.col("node.key")), "signed")
+    homes = signed.select("key", "signs", F.posexplode("codes").alias("tab", "code"), "width")
+    # few buckets are over a block: at most rows x tables / block
+    hot = homes.groupBy("tab", "width", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    homes = homes.join(scratch.keep(hot, "hot"), ["tab", "width", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     # block k meets every block l: it goes to (k, l) for k <= l and (l, k) for l < k
-    homes = homes.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    homes = homes.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     homes = homes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    homes = homes.select("node", "weight", "unit", "codes", "tab", "width", "code", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"))
+    homes = homes.select("key", "signs", "tab", "width", "code", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"))
 
     keys = ["tab", "width", "code", "low", "high"]
+    differ = math.acos(threshold) / math.pi
+    limit = bits * tables * differ + 6 * math.sqrt(bits * tables * differ * (1 - differ))
+
+    def sides(rows: pa.Table, a: int, b: int) -> np.ndarray | None:
+        one = rows.column("low")[a].as_py() == rows.column("high")[a].as_py()
+        return None if one else rows.column("side").slice(a, b - a).to_numpy().astype(bool)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in _whole_runs(batches, keys):
+            tab, goes = rows.column("tab").to_numpy(), np.zeros(len(rows), dtype=bool)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b - a > 1:
+                    own, codes = unpacked(rows.column("signs").slice(a, b - a))
+                    goes[a:b] = _plausible(own, codes, int(tab[a]), sides(rows, a, b), limit)
+            yield from rows.filter(pa.array(goes)).drop_columns(["signs"]).to_batches()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: pa.Table) -> pa.RecordBatch:
-            tab, code, low, high = (rows.column(c).to_numpy() for c in ("tab", "code", "low", "high"))
-            side = rows.column("side").to_numpy(zero_copy_only=False).astype(bool)
-            names, weight = rows.column("node").combine_chunks(), rows.column("weight").to_numpy()
-            width, units = rows.column("width").to_numpy(), rows.column("unit")
-            signs = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype="<i8").reshape(-1, tables)
-            change = (tab[1:] != tab[:-1]) | (width[1:] != width[:-1]) | (code[1:] != code[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            cuts = np.flatnonzero(np.concatenate(([True], change, [True])))
+        for rows, cuts in _whole_runs(batches, keys):
+            tab, width, weight = (rows.column(c).to_numpy() for c in ("tab", "width", "weight"))
+            names, units, codes = rows.column("node").combine_chunks(), rows.column("unit"), unpacked(rows.column("signs"))[1]
             who, n, peer = [], [], []
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if b - a < 2:
                     continue
                 x = _matrix(units.slice(a, b - a), int(width[a]))
-                own, edges = _run(x, signs[a:b], weight[a:b], int(tab[a]), side[a:b] if low[a] != high[a] else None, threshold)
+                own, edges = _run(x, codes[a:b], weight[a:b], int(tab[a]), sides(rows, a, b), threshold)
                 for i in np.flatnonzero(own):
                     who.append(a + i), n.append(int(own[i])), peer.append(None)
                 for p, q in edges:
                     who.append(a + p), n.append(0), peer.append(a + q)
-            return pa.RecordBatch.from_arrays([names.take(pa.array(who, pa.int64())), pa.array(n, pa.int64()), names.take(pa.array(peer, pa.int64()))], ["node", "n", "peer"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(who, pa.int64())), pa.array(n, pa.int64()), names.take(pa.array(peer, pa.int64()))], ["node", "n", "peer"])
 
-        held: pa.Table | None = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            if len(held) < 4096:
-                continue
-            last = [held.column(c)[len(held) - 1].as_py() for c in keys]
-            same = np.ones(len(held), dtype=bool)
-            for c, value in zip(keys, last):
-                same &= held.column(c).to_numpy() == value
-            cut = int(np.argmax(same))
-            if cut:
-                yield out(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and len(held):
-            yield out(held)
-
-    found = homes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, f"node {node_type}, n long, peer {node_type}")
+    near = homes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "key string, tab int, width int, code long, low int, high int, side boolean")
+    near = scratch.keep(near, "near").join(signed.drop("codes", "width"), "key")
+    found = near.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, f"node {node_type}, n long, peer {node_type}")
     found = scratch.keep(found, "found")
     links = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
     classes = connected_components(scratch, found.where("peer is not null").select("node", "peer"))
