@@ -19,4 +19,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tidewire.plans import articles, audits, cleaning, editorial, feeds, funnels, gates, links, newsroom, records, texts  # noqa: E402, F401
+from tidewire.plans import articles, audits, cleaning, discovery, editorial, feeds, funnels, gates, links, newsroom, records, texts  # noqa: E402, F401

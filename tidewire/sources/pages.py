@@ -69,3 +69,21 @@ def sitemap_locations(maps: DataFrame, name_col: str, xml_col: str) -> DataFrame
     rows = maps.select(F.col(name_col).alias("sitemap"), F.explode(entry).alias("e"))
     rows = rows.select("sitemap", _tag(F.col("e"), "loc").alias("loc"), _tag(F.col("e"), "lastmod").alias("lastmod"))
     return rows.where("loc <> ''").where(~F.lower("loc").rlike(r"[.](jpg|jpeg|png|gif|webp|svg|pdf|zip|mp4|mp3)")).groupBy("sitemap", "loc").agg(F.max("lastmod").alias("lastmod"))
+
+
+def article(html: Column, least: int = 200) -> Column:
+    """struct(strategy, body): a page's body by the first strategy that gives ``least`` characters.
+
+    In order: ``articleBody`` of linked data, the element marked so, paragraphs of the article element,
+    and all paragraphs, however short; ``none`` and an empty body where a page has none. Linked data that is
+    no JSON object is passed over; a null page has none.
+    """
+    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    data = F.array_max(F.filter(F.transform(scripts, lambda s: F.get_json_object(s, "$.articleBody")), lambda b: b.isNotNull()))
+    marked = strip_tags(F.regexp_extract(html, r'(?is)<(div|section|article)[^>]*itemprop="articleBody"[^>]*>(.*?)</\1>', 2))
+    element = F.array_join(paragraphs(F.regexp_extract(html, r"(?is)<article[^>]*>(.*?)</article>", 1)), " ")
+    every = F.array_join(paragraphs(html), " ")
+    tried = F.array(*[F.struct(F.lit(n).alias("strategy"), b.alias("body")) for n, b in (("json_ld", data), ("itemprop", marked), ("article", element))])
+    long = F.get(F.filter(tried, lambda t: F.length(t["body"]) >= least), 0)
+    rest = F.when(every != "", F.struct(F.lit("paragraphs").alias("strategy"), every.alias("body"))).otherwise(F.struct(F.lit("none").alias("strategy"), F.lit("").alias("body")))
+    return F.coalesce(long, rest)
