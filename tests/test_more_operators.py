@@ -164,3 +164,40 @@ def test_nearest_vectors_in_blocks(spark):
     rows = spark.createDataFrame([(i, [float((i * 7) % 11), float(i % 5), 1.0]) for i in range(60)] + [(99, None)], "id long, v array<double>")
     got = [sorted(map(tuple, vectors.cosine_top_k(rows, rows, "id", "v", 4, block=n).collect())) for n in (1000, 7)]
     assert got[0] == got[1] and len(got[0]) == 240
+
+
+def test_title_ratios(spark, sf):
+    import difflib
+
+    from tidewire.functions.text import fold
+    from tidewire.plans.evidence import title_ratios
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lines = {r[0]: r[1:] for r in docs.select("doc_id", *[F.substring(fold(F.get(F.split("text", "\n"), k)), 1, 180) for k in (0, 1)]).collect()}
+    got = {r["doc_id"]: (r["ratio"], r["repeats"]) for r in title_ratios(spark, sf).collect()}
+    assert set(got) == set(lines)
+    for key, (a, b) in lines.items():
+        want = None if a is None or b is None else 1.0 if a in b or b in a else round(difflib.SequenceMatcher(None, a, b).ratio(), 6)
+        assert got[key][0] == want and got[key][1] == ((want or 0) >= 0.88)
+
+
+def test_scan_feeds(spark):
+    from tidewire.operators.scan import scan_feeds
+
+    rows = [("a", 0, "2024-01-01 00:00:00"), ("a", 1, "2024-01-09 00:00:00"), ("a", 2, "2024-01-09 12:00:00"), ("a", 3, None), ("b", 0, None), ("b", 1, "2023-01-01 00:00:00"), ("b", 2, "2023-02-01 00:00:00"), ("c", 0, None), ("d", 40, "2024-01-09 00:00:00"), ("e", 0, "2024-02-01 00:00:00")]
+    items = spark.createDataFrame(rows, "feed string, place int, date string")
+    got = {(r["feed"], r["place"], r["rescued"]) for r in scan_feeds(items, F.lit("2024-01-10 00:00:00"), 48, per_feed=1).collect()}
+    assert got == {("a", 1, False), ("b", 1, True), ("e", 0, True)}
+    assert scan_feeds(items.where("false"), F.lit("2024-01-10 00:00:00"), 48).count() == 0
+
+
+def test_article_strategies(spark):
+    from tidewire.sources.pages import article
+
+    said = "one two three four five six seven eight " * 6
+    made = [
+        (1, f'<script type="application/ld+json">{{"articleBody": "{said}"}}</script><p>{said}</p>'), (2, f'<script type="application/ld+json">not json</script><div class="x" itemprop="articleBody"><b>{said}</b></div>'),
+        (3, f"<p>{said}</p><article><p>{said}</p></article>"), (4, "<p>one two three four five six seven eight nine</p>"), (5, ""), (6, None),
+    ]
+    got = {r["id"]: r["a"]["strategy"] for r in spark.createDataFrame(made, "id long, html string").select("id", article(F.col("html")).alias("a")).collect()}
+    assert got == {1: "json_ld", 2: "itemprop", 3: "article", 4: "paragraphs", 5: "none", 6: "none"}
