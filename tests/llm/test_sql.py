@@ -9,7 +9,7 @@ from tidewire.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_rows(spark, sf, name):
     con = duckdb.connect()
-    for t in ("pages", "conversations", "embeddings"):
+    for t in ("pages", "conversations", "embeddings", "documents", "benchmark"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, sf), con.sql(registry.ORACLES[name])
     columns = sorted(got.columns)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import chat_format, embedding_dedup, latent_search, line_dedup, packing, pii, quality, simhash, suffix_dedup, url_filter
-from tidewire.llm.common import Scratch, table
+from tidewire.llm import chat_format, embedding_dedup, latent_search, line_dedup, packing, periodic_runs, pii, quality, simhash, suffix_dedup, url_filter
+from tidewire.llm.common import Scratch, let, table
 
 URL_RULES = (
     url_filter.Rule("allow", "org", "/"),
@@ -84,3 +84,34 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _with_planted_runs(text: Column, h: Column) -> Column:
+    """Of each tenth text by ``h``, the words behind place a = g % n as repeats of the first 1 + (n - a) / (3 + g % 8) of them, for g = h / 10."""
+    g = F.floor(h / 10)  # exact: h has 32 bits
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+        told = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p)))
+        return F.when(n > 0, F.array_join(told, " ")).otherwise("")
+
+    return F.when(h % 10 == 0, let(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), planted)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", _with_planted_runs(F.col("text"), h).alias("text"))
+    found = periodic_runs.find_runs(docs).withColumn("top", periodic_runs.strongest(F.col("runs")))
+    written = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("top.length * 1000 div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(written, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

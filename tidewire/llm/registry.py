@@ -9,11 +9,17 @@ QUERIES = {
     for f in (
         q.op1_url_filter, q.op2_chat_format, q.op3_pii, q.op4_suffix_dedup, q.op5_quality,
         q.op6_packing, q.op7_decontamination, q.op8_line_dedup, q.op9_simhash, q.op10_embedding_dedup,
+        q.op12_periodic_runs,
     )
 }
 
 _RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in q.URL_RULES)
 
+#: crc32 of the decimal doc_id, byte by byte through the polynomial's table.
+_CRC = """tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+ids AS (SELECT *, row_number() OVER () AS rid FROM documents),
+crc AS (SELECT rid, doc_id, text, CASE WHEN doc_id IS NULL THEN 0 ELSE xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) END AS h FROM ids, tab)"""
+
 #: DuckDB SQL. Queries without an entry (3 to 9) need iteration, XXH64, a tokenizer or a fitted model;
 #: tests/llm holds them against brute force.
 ORACLES = {
@@ -73,4 +79,19 @@ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(m.least, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(m.least, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.a = e.vec_id""",
+    "op12_periodic_runs": rf"""
+WITH {_CRC},
+d AS (SELECT rid, doc_id, h, h // 10 AS g, w, len(w) AS n FROM (SELECT *, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM crc)),
+p AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < g % n THEN i ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END + 1]) ELSE w END AS w FROM d),
+t AS (SELECT rid, n, unnest(range(n)) AS i, unnest(w) AS w FROM p),
+pairs AS (SELECT a.rid, a.i, a.i - b.i AS q FROM t a JOIN t b ON a.rid = b.rid AND a.w = b.w AND b.i < a.i AND 4 * (a.i - b.i) <= a.n),
+lags AS (SELECT rid, q, min(i) - q AS s, count(*) + q AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM pairs) GROUP BY rid, q, island),
+longest AS (SELECT * FROM lags WHERE m >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM longest x WHERE NOT EXISTS (SELECT 1 FROM longest y WHERE y.rid = x.rid AND y.q < x.q AND y.s <= x.s AND y.s + y.m >= x.s + x.m)),
+told AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS said FROM runs GROUP BY rid),
+top AS (SELECT rid, s, m, q FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY m / q DESC, s, q) = 1),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS said FROM t WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.rid = t.rid AND t.i >= r.s + r.q AND t.i < r.s + r.m) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s::BIGINT AS start, m::BIGINT AS length, q::BIGINT AS period, (1000 * m // q)::BIGINT AS exponent_milli,
+  sha256(coalesce(told.said, '')) AS runs_sha256, sha256(coalesce(kept.said, '')) AS collapsed_sha256
+FROM p LEFT JOIN told USING (rid) LEFT JOIN top USING (rid) LEFT JOIN kept USING (rid)""",
 }
