@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import chat_format, embedding_dedup, latent_search, line_dedup, packing, periodic_runs, pii, quality, simhash, suffix_dedup, url_filter
+from tidewire.llm import chat_format, embedding_dedup, latent_search, line_dedup, packing, periodic_runs, pii, quality, ranked_search, simhash, suffix_dedup, url_filter
 from tidewire.llm.common import Scratch, let, table
 
 URL_RULES = (
@@ -115,3 +115,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(written, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -9,7 +9,7 @@ QUERIES = {
     for f in (
         q.op1_url_filter, q.op2_chat_format, q.op3_pii, q.op4_suffix_dedup, q.op5_quality,
         q.op6_packing, q.op7_decontamination, q.op8_line_dedup, q.op9_simhash, q.op10_embedding_dedup,
-        q.op12_periodic_runs,
+        q.op12_periodic_runs, q.op13_ranked_search,
     )
 }
 
@@ -94,4 +94,14 @@ kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS said FROM t WHERE NOT EXIS
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s::BIGINT AS start, m::BIGINT AS length, q::BIGINT AS period, (1000 * m // q)::BIGINT AS exponent_milli,
   sha256(coalesce(told.said, '')) AS runs_sha256, sha256(coalesce(kept.said, '')) AS collapsed_sha256
 FROM p LEFT JOIN told USING (rid) LEFT JOIN top USING (rid) LEFT JOIN kept USING (rid)""",
+    "op13_ranked_search": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+g AS (SELECT count(*) AS nn, sum(len(terms))::HUGEINT AS ll FROM d WHERE len(terms) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY rid, term),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY term, nn),
+m AS (SELECT rid, doc_id, (10 + (90 * len(terms) * nn) // ll)::BIGINT AS m FROM d, g),
+s AS (SELECT item_id, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY item_id, rid)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score
+FROM s JOIN m USING (rid) WHERE score > 0 QUALIFY rank <= 10""",
 }
