@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import chat_format, embedding_dedup, latent_search, line_dedup, packing, periodic_runs, pii, quality, ranked_search, simhash, suffix_dedup, url_filter
+from tidewire.llm import chat_format, embedding_dedup, language_id, latent_search, line_dedup, packing, periodic_runs, pii, quality, ranked_search, simhash, suffix_dedup, url_filter
 from tidewire.llm.common import Scratch, let, table
 
 URL_RULES = (
@@ -86,6 +86,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), language_id.predict(model, F.col("text")).alias("of")).select("doc_id", "held_out", "of.lang_pred", "of.score")
+
+
 def _with_planted_runs(text: Column, h: Column) -> Column:
     """Of each tenth text by ``h``, the words behind place a = g % n as repeats of the first 1 + (n - a) / (3 + g % 8) of them, for g = h / 10."""
     g = F.floor(h / 10)  # exact: h has 32 bits

@@ -9,7 +9,7 @@ QUERIES = {
     for f in (
         q.op1_url_filter, q.op2_chat_format, q.op3_pii, q.op4_suffix_dedup, q.op5_quality,
         q.op6_packing, q.op7_decontamination, q.op8_line_dedup, q.op9_simhash, q.op10_embedding_dedup,
-        q.op12_periodic_runs, q.op13_ranked_search,
+        q.op11_language_id, q.op12_periodic_runs, q.op13_ranked_search,
     )
 }
 
@@ -20,7 +20,7 @@ _CRC = """tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_p
 ids AS (SELECT *, row_number() OVER () AS rid FROM documents),
 crc AS (SELECT rid, doc_id, text, CASE WHEN doc_id IS NULL THEN 0 ELSE xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) END AS h FROM ids, tab)"""
 
-#: DuckDB SQL. Queries without an entry (3 to 9) need iteration, XXH64, a tokenizer or a fitted model;
+#: DuckDB SQL. Queries without an entry (3 to 9 and 11) need iteration, XXH64, a tokenizer or a fitted model;
 #: tests/llm holds them against brute force.
 ORACLES = {
     "op1_url_filter": rf"""
