@@ -49,6 +49,16 @@ def test_quality_edges(make):
     assert docs.where("false").select(quality.score(model, F.col("text"))).count() == 0
 
 
+def test_small_classes_keep_their_own_moments(make):
+    """One rejected row is enough for a class: its own text gets a low score, and clean texts stay high, at 1 and at 20 rows alike."""
+    clean = [(i, f"a clean text, number {i}, of several plain words. it goes on for a while.") for i in range(60)]
+    for few in (1, 12, 16, 20):
+        junk = [(100 + i, "!!!! #### |||| $$$$ " * (5 + i)) for i in range(few)]
+        model = quality.fit(make(clean + junk, "doc_id long, text string"), make([(i, 1, 0) for i, _ in clean] + [(i, 0, 0) for i, _ in junk], "doc_id long, quality int, toxic int"))
+        scores = model.scores(quality.document_vectors([clean[3][1], junk[0][1]]))
+        assert scores[0] > 0.99 and scores[1] < 0.01, (few, scores)
+
+
 def pieces(text, encode):
     ids = np.array([*encode(text), 2], dtype="<u4")
     n = len(ids)

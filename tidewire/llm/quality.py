@@ -90,8 +90,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Moments are summed in tasks and then by (class, entry) in a shuffle: the driver gets two fixed-size
     sets of sums, whatever the number of rows. Covariances are shrunk towards the diagonal by
     ``shrinkage`` and their diagonal is raised by ``floor``. Null labels and ids count for nothing;
-    a document with several labels takes the largest. With a class unseen, the classes share their
-    moments; with no rows at all every score is one half.
+    a document with several labels takes the largest. A class has its own moments from one row on
+    (the floor makes its covariance regular); a class without rows takes those of all rows; with no rows at all every score is one half.
     """
     d = len(FEATURES)
     size = 1 + d + d * d
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     both = sums.sum(axis=0)
     means, whiteners, weights = [], [], []
     for k in (0, 1):
-        own = sums[k] if sums[k, 0] > d else both
+        own = sums[k] if sums[k, 0] else both
         n = own[0]
         mean = own[1 : 1 + d] / n
         cov = own[1 + d :].reshape(d, d) / n - np.outer(mean, mean)
