@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,23 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\s+", " "))
 
 
+def unmarked(text: Column) -> Column:
+    """Latin letters without their accents: Spark has no normal form among its functions, so a table made from Unicode's own decompositions maps them."""
+    # a rule, not a list: every letter of two Latin blocks that is one ASCII letter and an accent
+    pairs = [(c, d[0]) for c in map(chr, range(0xC0, 0x180)) if len(d := unicodedata.normalize("NFD", c)) == 2 and d[0].isascii()]
+    return F.regexp_replace(F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)), r"\p{Mn}+", "")
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-case ASCII letters and digits alone, one space between words."""
+    return F.trim(F.regexp_replace(unmarked(F.lower(text)), "[^a-z0-9]+", " "))
+
+
+def squeezed(text: Column) -> Column:
+    """No white space at the ends, one blank elsewhere."""
+    return F.trim(F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), r"\s+", " "))
+
+
 def normal_title(title: Column) -> Column:
     """Lower case, only letters, digits and single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
