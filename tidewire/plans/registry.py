@@ -19,4 +19,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tidewire.plans import articles, audits, cleaning, discovery, editorial, evidence, feeds, funnels, gates, links, newsroom, pagejson, records, sourcetexts, texts  # noqa: E402, F401
+from tidewire.plans import articles, audits, cleaning, dictionary, discovery, editorial, evidence, feeds, funnels, gates, links, newsroom, pagejson, records, sourcetexts, texts  # noqa: E402, F401
