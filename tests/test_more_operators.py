@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import text, urls
@@ -201,3 +202,56 @@ def test_article_strategies(spark):
     ]
     got = {r["id"]: r["a"]["strategy"] for r in spark.createDataFrame(made, "id long, html string").select("id", article(F.col("html")).alias("a")).collect()}
     assert got == {1: "json_ld", 2: "itemprop", 3: "article", 4: "paragraphs", 5: "none", 6: "none"}
+
+
+def test_source_contract_orders_its_reasons(spark):
+    """A refused request is refused whatever its text; white space is no text; a missing result is no short one."""
+    from tidewire.operators import gates
+
+    long = "x" * 120
+    rows = [(200, long, True), (403, long, True), (429, None, True), (403, "", True), (200, None, True), (200, "\n" * 120, True), (200, "\t" + "x" * 119 + "\n", True), (None, long, True), (500, long, True), (403, long, False), (200, long, None)]
+    df = spark.createDataFrame(rows, "status int, text string, there boolean")
+    got = [r[0] for r in df.select(gates.source_contract(F.col("status"), F.col("text"), present=F.col("there"))).collect()]
+    assert got == ["ok", "http_403", "http_429", "http_403", "short", "short", "short", "ok", "ok", "invalid", "invalid"]
+    assert [r[0] for r in df.select(gates.source_contract(F.col("status"), F.col("text"))).collect()][-2:] == ["http_403", "ok"]
+
+
+def test_cosine_top_k_of_text_ids_and_two_widths(spark):
+    import numpy as np
+
+    from tidewire.operators import vectors
+
+    rng = np.random.default_rng(3)
+    rows = [(f"é{i}", rng.normal(size=3 if i % 3 else 5).tolist()) for i in range(60)] + [("zero", [0.0] * 3), ("none", None), (None, [1.0, 2.0, 3.0]), ("nan", [float("nan")] * 3), ("empty", [])]
+    df = spark.createDataFrame(rows, "name string, v array<double>")
+    known = {n: np.array(v) for n, v in rows if n and v is not None}
+    unit = {n: v / (np.linalg.norm(v) or 1) for n, v in known.items()}
+    want = set()
+    for q, a in unit.items():
+        near = sorted((-round(float(a @ b), 6), i) for i, b in unit.items() if i != q and len(a) == len(b) and np.isfinite(a @ b))
+        want |= {(q, i, -s, r) for r, (s, i) in enumerate(near[:4], 1)}
+    for block in (1000, 9):
+        got = {tuple(r) for r in vectors.cosine_top_k(df, df, "name", "v", 4, block=block).collect()}
+        assert {(q, i, r) for q, i, _, r in got} == {(q, i, r) for q, i, _, r in want}
+    assert vectors.cosine_top_k(df, df.limit(0), "name", "v", 4).schema["query"].dataType.simpleString() == "string"
+
+
+def test_query_names_are_taken_once():
+    from tidewire.plans import registry
+
+    def ranked_queue(spark, sf_dir):
+        return None
+
+    with pytest.raises(ValueError, match="ranked_queue"):
+        registry.query()(ranked_queue)
+
+
+def test_global_rank_deals_by_ranges(spark):
+    from tidewire.operators.ranking import global_rank
+
+    rows = spark.range(5000).select("id", (F.col("id") * 37 % 101).alias("x"), F.when(F.col("id") % 9 != 0, F.col("id")).alias("y"))
+    order = [F.desc("x"), F.asc_nulls_first("y"), F.asc("id")]
+    got = {r["id"]: r["place"] for r in global_rank(rows, order).collect()}
+    want = sorted(((-(i * 37 % 101), i % 9 != 0, i) for i in range(5000)))
+    assert got == {i: n for n, (_, _, i) in enumerate(want, 1)}
+    assert global_rank(rows.limit(0), order).count() == 0

@@ -32,9 +32,13 @@ def capture_gate(status: Column, method: Column, useful: Column, least: int = 50
     return gate(*_common(status, method), (status == "short_usable", "short_usable"), (useful < least, "too_little_text"))
 
 
-def source_contract(status: Column, text: Column, least: int = 120) -> Column:
-    """ok, or why a fetched source is no good: no result, a refused request, or a short text."""
-    return gate((text.isNull(), "invalid"), (status.isin(403, 429), "refused"), (F.length(F.trim(text)) < least, "short"))
+def source_contract(status: Column, text: Column, least: int = 120, present: Column | None = None) -> Column:
+    """ok, or why a fetched source is no good: ``invalid`` where there is no result (``present`` is not true), the code of a refused
+    request (http_403, http_429) whatever its text, or ``short``: a null text is empty, and white space of any kind at its ends doesn't count."""
+    said = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\A\s+", ""), r"(?<!\s)\s+\z", "")
+    there = F.lit(True) if present is None else F.coalesce(present, F.lit(False))
+    refused = F.coalesce(status.isin(403, 429), F.lit(False))
+    return F.when(~there, "invalid").when(refused, F.concat(F.lit("http_"), status.cast("string"))).when(F.length(said) < least, "short").otherwise("ok")
 
 
 def belongs(title: Column, text: Column, least_chars: int = 120) -> Column:

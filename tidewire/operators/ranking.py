@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.session import saved
+
 
 def top_per_key(df: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
     """The first ``n`` rows of each key. Spark filters by rank within tasks first (window group limit)."""
@@ -27,3 +29,16 @@ def cascaded_caps(df: DataFrame, first: str, n_first: int, second: str, n_second
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(first).orderBy(*order)))
     left = ranked.where((F.col("_rank") <= n_first) | F.col("topped")).drop("_rank")
     return top_per_key(left, second, n_second, *order)
+
+
+def global_rank(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``rows`` with their place from 1 in one order over all of them, without one task that takes them all.
+
+    Rows are dealt by ranges of the order and written, ranked within their range, and moved on by the counts of the
+    ranges before: one row a partition is all that is summed in one place. Ties in ``order`` have places in any order.
+    """
+    dealt = saved(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    moved = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(moved, "_range").withColumn(name, (F.col("_before") + within).cast("int")).drop("_range", "_before")

@@ -109,7 +109,7 @@ def article_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL + """, b AS (SELECT doc_id, source, captured::DATE AS day, score FROM stories),
 s AS (SELECT *, max(score) OVER (PARTITION BY source, day) AS best, row_number() OVER (PARTITION BY source, day ORDER BY score DESC, doc_id) AS r FROM b)
 SELECT doc_id, source, day, score FROM s WHERE best < 90 AND r <= 3""")
-def low_score_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def low_score_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three best stories of each source and day that put nothing into the queue."""
     rows = stories(spark, sf_dir).select("doc_id", "source", F.col("captured").cast("date").alias("day"), "score")
     batch = rows.groupBy("source", "day").agg(F.max("score").alias("best")).where("best < 90").drop("best")

@@ -9,6 +9,7 @@ from tidewire.functions import urls
 from tidewire.functions.text import fold, tokens
 from tidewire.operators import gates
 from tidewire.operators.classify import clamp
+from tidewire.operators.ranking import global_rank
 from tidewire.plans.registry import query
 from tidewire.plans.stories import FOLD, LINK_KEY, NOW, SQL, TOKENS, stories
 from tidewire.session import read_table
@@ -44,11 +45,15 @@ def extraction_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT doc_id, CASE WHEN text IS NULL THEN 'invalid' WHEN doc_id % 50 IN (3, 29) THEN 'refused' WHEN length(trim(text)) < 120 THEN 'short' ELSE 'ok' END AS verdict, length(text) AS size FROM documents""")
+@query("""WITH r AS (SELECT doc_id, doc_id % 50 AS k, CASE WHEN doc_id % 50 IN (5, 13) THEN NULL WHEN doc_id % 50 = 7 THEN repeat(chr(10), 200) || left(text, 100) ELSE text END AS text FROM documents)
+SELECT doc_id, CASE WHEN k = 11 THEN 'invalid' WHEN k IN (3, 13) THEN 'http_403' WHEN k = 29 THEN 'http_429' WHEN length(regexp_replace(coalesce(text, ''), '\\A\\s+|\\s+\\z', '', 'g')) < 120 THEN 'short' ELSE 'ok' END AS verdict, length(text) AS size FROM r""".replace("\\\\", "\\"))
 def source_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on each fetched source."""
-    status = F.when(F.col("doc_id") % 50 == 3, 403).when(F.col("doc_id") % 50 == 29, 429).otherwise(200)
-    return read_table(spark, sf_dir, "documents").select("doc_id", gates.source_contract(status, F.col("text")).alias("verdict"), F.length("text").alias("size"))
+    """Verdict on each fetched source: some have no result, are refused with a text or without one, or are white space and a short text."""
+    k = F.col("doc_id") % 50
+    status = F.when(k.isin(3, 13), 403).when(k == 29, 429).otherwise(200)
+    text = F.when(k.isin(5, 13), None).when(k == 7, F.concat(F.repeat(F.lit("\n"), 200), F.substring("text", 1, 100))).otherwise(F.col("text"))
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", k.alias("k"), status.alias("status"), text.alias("text"))
+    return rows.select("doc_id", gates.source_contract(F.col("status"), F.col("text"), present=F.col("k") != 11).alias("verdict"), F.length("text").alias("size"))
 
 
 @query(SQL + f""", o AS (SELECT doc_id, title, lead(title) OVER (PARTITION BY source ORDER BY doc_id) AS other FROM stories),
@@ -171,8 +176,8 @@ def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active sources that are not in quarantine, with their health, by priority."""
     own = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("bad"), F.round(F.avg("value"), 2).alias("priority"))
     kept = own.where("n > 1 and user_id % 9 <> 0")
-    place = F.row_number().over(Window.orderBy(F.desc("priority"), "user_id"))  # a row a source
-    return kept.select("user_id", "n", F.when(F.col("bad") * 5 > F.col("n"), "weak").otherwise("good").alias("health"), place.alias("place"))
+    placed = global_rank(kept, [F.desc("priority"), F.asc("user_id")], "place")
+    return placed.select("user_id", "n", F.when(F.col("bad") * 5 > F.col("n"), "weak").otherwise("good").alias("health"), "place")
 
 
 @query("""WITH f AS (SELECT DISTINCT regexp_extract(url, '^([^?#]*)', 1) AS url, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages),

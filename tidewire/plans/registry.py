@@ -11,6 +11,8 @@ def query(sql: str | None = None):
     """Registers a function of (spark, sf_dir) under its name, and the SQL that gives the same rows."""
 
     def add(function):
+        if function.__name__ in QUERIES:
+            raise ValueError(f"there is a query named {function.__name__} already")
         QUERIES[function.__name__] = function
         if sql:
             ORACLES[function.__name__] = sql
