@@ -47,11 +47,8 @@ def _folded(df: DataFrame, key: str, order: list[str], flag: Column, name: str,
     return rows.mapInArrow(fold, schema)
 
 
-def adaptive_thresholds(df: DataFrame, key: str, order: list[str], accepted: Column, start: int = 65, keep: int = 50, least: int = 10) -> DataFrame:
-    """(key, order columns, threshold): for each key, in order, the threshold after each row: from
-    ``start``, 5 down (to 40) where under a tenth of the last ``keep`` rows were accepted, 5 up (to 90) where over
-    six tenths were, once there are ``least`` rows (see _folded).
-    """
+def threshold_step(keep: int = 50, least: int = 10) -> Callable[[int, list[bool]], tuple[int, list[bool]]]:
+    """The next threshold, and the flags that it needs of the past, from the last threshold and flags."""
 
     def step(now: int, last: list[bool]) -> tuple[int, list[bool]]:
         last = last[-keep:]
@@ -60,14 +57,11 @@ def adaptive_thresholds(df: DataFrame, key: str, order: list[str], accepted: Col
             now = max(40, now - 5) if rate < 0.1 else min(90, now + 5) if rate > 0.6 else now
         return now, last
 
-    return _folded(df, key, order, accepted, "threshold", start, step)
+    return step
 
 
-def adaptive_intervals(df: DataFrame, key: str, order: list[str], found: Column, start: int = 1800, low: int = 300, high: int = 3600) -> DataFrame:
-    """(key, order columns, seconds): each key's waiting time after each cycle, in order: a fifth longer (to ``high``) where
-    none of the last three cycles found anything, 15 per cent shorter (to ``low``) where two or more did; whole seconds
-    (see _folded). The first two cycles of a key change nothing.
-    """
+def interval_step(low: int = 300, high: int = 3600) -> Callable[[int, list[bool]], tuple[int, list[bool]]]:
+    """The next waiting time, and the flags that it needs of the past, from the last time and flags."""
 
     def step(now: int, last: list[bool]) -> tuple[int, list[bool]]:
         last = last[-3:]
@@ -75,7 +69,25 @@ def adaptive_intervals(df: DataFrame, key: str, order: list[str], found: Column,
             now = min(int(now * 1.2), high) if not any(last) else max(int(now * 0.85), low) if sum(last) >= 2 else now
         return now, last
 
-    return _folded(df, key, order, found, "seconds", start, step)
+    return step
+
+
+def adaptive_thresholds(df: DataFrame, key: str, order: list[str], accepted: Column, start: int = 65, keep: int = 50, least: int = 10) -> DataFrame:
+    """(key, order columns, threshold): for each key, in order, the threshold after each row: from
+    ``start``, 5 down (to 40) where under a tenth of the last ``keep`` rows were accepted, 5 up (to 90) where over
+    six tenths were, once there are ``least`` rows (see _folded).
+    """
+
+    return _folded(df, key, order, accepted, "threshold", start, threshold_step(keep, least))
+
+
+def adaptive_intervals(df: DataFrame, key: str, order: list[str], found: Column, start: int = 1800, low: int = 300, high: int = 3600) -> DataFrame:
+    """(key, order columns, seconds): each key's waiting time after each cycle, in order: a fifth longer (to ``high``) where
+    none of the last three cycles found anything, 15 per cent shorter (to ``low``) where two or more did; whole seconds
+    (see _folded). The first two cycles of a key change nothing.
+    """
+
+    return _folded(df, key, order, found, "seconds", start, interval_step(low, high))
 
 
 def cooling(df: DataFrame, key: str, ts: str, order: list[str], failed: Column, seconds: int = 600) -> DataFrame:
