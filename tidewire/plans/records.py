@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.operators import classify, history, state, vectors
+from tidewire.operators import classify, draws, history, state, vectors
 from tidewire.plans.registry import query
 from tidewire.session import read_table
 
@@ -168,3 +168,23 @@ def star_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus")
     return rows.agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("l_discount"), 6).alias("discount"), F.count("*").alias("n"))
+
+
+def _gamma_sql(shape: str, seed: str) -> str:
+    u = lambda j: f"((('0x' || substr(md5({seed} || '|' || i || '|{j}'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+    x, d = f"(sqrt(-2 * ln({u(0)})) * cos(2 * pi() * {u(1)}))", f"({shape} - 1.0 / 3)"
+    v = f"pow(1 + {x} / sqrt(9 * {d}), 3.0)"
+    return f"list_filter(list_transform(range(16), lambda i: CASE WHEN {v} > 0 AND ln({u(2)}) < 0.5 * {x} * {x} + {d} - {d} * {v} + {d} * ln(greatest({v}, 1e-300)) THEN {d} * {v} END), lambda v: v IS NOT NULL)[1]"
+
+
+@query(f"""WITH a AS (SELECT user_id, 1.0::DOUBLE + count(*) FILTER (event_type = 'purchase') AS alpha, 1.0::DOUBLE + count(*) FILTER (event_type = 'error') AS beta FROM events GROUP BY user_id),
+c AS (SELECT DISTINCT ts::DATE AS day, user_id FROM events), s AS (SELECT day, user_id, alpha, beta, '0|' || day::VARCHAR || '|' || user_id AS seed FROM c JOIN a USING (user_id)),
+g AS (SELECT day, user_id, {_gamma_sql("alpha", "seed || '|a'")} AS x, {_gamma_sql("beta", "seed || '|b'")} AS y FROM s)
+SELECT day, user_id, round(x / (x + y), 6) AS draw FROM g QUALIFY row_number() OVER (PARTITION BY day ORDER BY x / (x + y) DESC, user_id) = 1""")
+def bandit_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source that wins each day among those with events: the greatest beta draw of their successes and failures, the same on every replay."""
+    events = read_table(spark, sf_dir, "events")
+    count = lambda kind: (F.lit(1.0) + F.count_if(F.col("event_type") == kind)).alias("alpha" if kind == "purchase" else "beta")
+    arms = events.groupBy("user_id").agg(count("purchase"), count("error"))
+    made = draws.bandit_draws(arms, events.select(F.to_date("ts").alias("day"), "user_id"), "user_id", "day")
+    return draws.winners(made, "user_id", "day").select("day", "user_id", F.round("draw", 6).alias("draw"))
