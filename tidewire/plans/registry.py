@@ -21,4 +21,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tidewire.plans import articles, audits, changelogs, cleaning, dictionary, discovery, editorial, evidence, feeds, frontiers, funnels, gates, links, newsroom, pagejson, records, sourcetexts, texts  # noqa: E402, F401
+from tidewire.plans import articles, audits, changelogs, cleaning, dictionary, discovery, editorial, evidence, feeds, frontiers, funnels, gates, links, newsroom, pagejson, queues, records, sourcetexts, texts  # noqa: E402, F401
