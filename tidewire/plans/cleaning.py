@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions import urls
-from tidewire.functions.text import fold, jaccard, normal_title, tokens
-from tidewire.operators import gates
-from tidewire.operators.classify import clamp, count_hits
+from tidewire.functions.text import fold, normal_title, tokens
+from tidewire.operators import gates, similar, terms
+from tidewire.operators.classify import clamp
 from tidewire.plans.registry import query
 from tidewire.plans.stories import FOLD, LINK_KEY, NORMAL, SQL, TOKENS, stories
-from tidewire.session import read_table
+from tidewire.session import read_table, saved
 
 SPACES = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 
@@ -109,53 +109,71 @@ def row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(SQL + f""", t AS (SELECT doc_id, {LINK_KEY.format("link")} AS key, title, {TOKENS.format("title")} AS w FROM stories),
-g AS (SELECT key, count(*) AS n FROM t GROUP BY key),
-m AS (SELECT DISTINCT {NORMAL.format("title")} AS title, w FROM t WHERE doc_id % 29 = 0)
-SELECT t.doc_id, g.n > 1 AS same_link, coalesce(max(round(len(list_intersect(t.w, m.w)) / len(list_distinct(t.w || m.w)), 6)), 0)::DOUBLE AS memory, coalesce(bool_or({NORMAL.format("t.title")} = m.title), false) AS guarded
-FROM t JOIN g USING (key) LEFT JOIN m ON len(t.w) > 0 AND len(m.w) > 0 AND len(list_intersect(t.w, m.w)) > 0 GROUP BY t.doc_id, g.n""")
+@query(SQL + f""", t AS (SELECT doc_id, {LINK_KEY.format("link")} AS key, {NORMAL.format("title")} AS said, {TOKENS.format("title")} AS w, captured < TIMESTAMP '2024-01-15' AS past FROM stories),
+g AS (SELECT key, count(*) AS n FROM t WHERE NOT past GROUP BY key),
+k AS (SELECT w, count(*) FILTER (past) AS past, count(*) FILTER (NOT past) AS now FROM t WHERE len(w) > 0 GROUP BY w),
+p AS (SELECT a.w, max(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))) FILTER (b.past > 0) AS memory, max(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))) FILTER (b.now > (a.w = b.w)::INT) AS batch
+  FROM k a JOIN k b ON len(b.w) >= 0.72 * len(a.w) AND len(a.w) >= 0.72 * len(b.w) AND len(list_intersect(a.w, b.w)) >= 0.72 * len(list_distinct(a.w || b.w)) WHERE a.now > 0 GROUP BY a.w)
+SELECT doc_id, n > 1 AS same_link, round(coalesce(memory, 0), 6)::DOUBLE AS memory, round(coalesce(batch, 0), 6)::DOUBLE AS batch, said <> '' AND said IN (SELECT said FROM t WHERE past) AS guarded, n > 1 OR coalesce(memory, 0) >= 0.72 OR coalesce(batch, 0) >= 0.72 AS duplicate
+FROM t JOIN g USING (key) LEFT JOIN p USING (w) WHERE NOT past""")
 def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that share a link with another, their best word overlap with the memory of past titles, and whether a title is in it.
-
-    Rows meet titles of the memory at shared words; distinct word sets meet once, however many rows have them."""
-    rows = stories(spark, sf_dir).select("doc_id", urls.key(F.col("link")).alias("key"), normal_title(F.col("title")).alias("said"), tokens(F.col("title")).alias("w"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    memory = rows.where("doc_id % 29 = 0").select("said", "w").distinct()
-    sets = rows.select("w").distinct().where(F.size("w") > 0)
-    met = sets.select("w", F.explode("w").alias("word")).join(memory.select(F.col("w").alias("m"), F.explode("w").alias("word")), "word").select("w", "m").distinct()
-    best = met.groupBy("w").agg(F.max(F.round(jaccard(F.col("w"), F.col("m")), 6)).alias("memory"))
-    known = memory.select("said").distinct().withColumn("known", F.lit(True))
-    joined = rows.join(counts, "key").join(best, "w", "left").join(known, "said", "left")
-    return joined.select("doc_id", (F.col("n") > 1).alias("same_link"), F.coalesce("memory", F.lit(0.0)).alias("memory"), (F.coalesce("known", F.lit(False)) & (F.size("w") > 0)).alias("guarded"))
-
-
-SCORES = {"search": (("wh", "how", "ti"), 3, 8), "inquiry": (("ea", "ou"), 4, 12), "utility": (("er", "in", "an"), 2, 6)}
-
-
-def _hits_sql(terms: tuple[str, ...]) -> str:
-    return " + ".join(f"contains(t, '{x}')::INT" for x in terms)
-
-
-@query(f"""WITH d AS (SELECT doc_id, {FOLD.format("substr(coalesce(text, ''), 1, 120)")} AS t, n_chars FROM documents)
-SELECT doc_id, {", ".join(f"least({cap}, {each} * ({_hits_sql(terms)})) AS {name}" for name, (terms, each, cap) in SCORES.items())},
-  least(20, 6 * (contains(t, 'sh')::INT + contains(t, 'st')::INT)) + least(15, 3 * (contains(t, 'de')::INT + contains(t, 'la')::INT)) AS region,
-  CASE WHEN contains(t, 'ad') AND NOT contains(t, 'gol') THEN 20 ELSE 0 END AS urgent,
-  CASE WHEN contains(t, 'th') AND contains(t, 'an') AND contains(t, 're') THEN 15 WHEN contains(t, 'th') AND contains(t, 'an') THEN 7 ELSE 0 END AS triangle,
-  greatest(0, least(100, 50 + CASE WHEN n_chars > 900 THEN 10 ELSE 0 END + least(8, 3 * ({_hits_sql(("wh", "how", "ti"))})) - CASE WHEN n_chars < 120 THEN 25 ELSE 0 END)) AS combined FROM d""")
+    """New rows that repeat a link of the batch, a title of the memory (all rows captured before the 15th), or one of the batch, at 0.72 of their words or more; both of a pair are flagged."""
+    past = F.col("captured") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    rows = stories(spark, sf_dir).select("doc_id", urls.key(F.col("link")).alias("link"), normal_title(F.col("title")).alias("said"), tokens(F.col("title")).alias("w"), past.alias("past"))
+    rows = rows.withColumn("key", F.md5(F.to_json("w")))
+    new = rows.where("not past")
+    classes = rows.where(F.size("w") > 0).groupBy("key").agg(F.first("w").alias("words"), F.count_if("past").alias("n_past"), F.count_if(~F.col("past")).alias("n_now"))
+    classes = saved(classes)
+    pairs = similar.similar_classes(classes.select("key", "words"), 0.72)
+    both = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity"))
+    own = classes.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
+    met = both.union(own).join(classes.select(F.col("key").alias("b"), "n_past", "n_now"), "b")
+    others = F.col("n_now") > F.when(F.col("a") == F.col("b"), 1).otherwise(0)
+    best = met.groupBy(F.col("a").alias("key")).agg(F.max(F.when(F.col("n_past") > 0, F.col("similarity"))).alias("memory"), F.max(F.when(others, F.col("similarity"))).alias("batch"))
+    counts = new.groupBy("link").agg(F.count("*").alias("n"))
+    known = rows.where("past").select("said").distinct().withColumn("known", F.lit(True))
+    joined = new.join(counts, "link").join(best, "key", "left").join(known, "said", "left")
+    score = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return joined.select(
+        "doc_id", (F.col("n") > 1).alias("same_link"), score("memory").alias("memory"), score("batch").alias("batch"), (F.coalesce("known", F.lit(False)) & (F.col("said") != "")).alias("guarded"),
+        ((F.col("n") > 1) | F.col("memory").isNotNull() | F.col("batch").isNotNull()).alias("duplicate"),
+    )
+
+
+#: Terms of secondary scores: word or phrase, part, points each, and phrases that take an urgent term back.
+TERMS = (
+    ("the", "search", 3, ()), ("of the", "search", 3, ()), ("que", "search", 3, ()), ("und", "search", 3, ()),
+    ("is", "inquiry", 4, ()), ("est", "inquiry", 4, ()), ("ist", "inquiry", 4, ()), ("es", "inquiry", 4, ()), ("that", "inquiry", 4, ()),
+    ("to", "utility", 2, ()), ("in the", "utility", 2, ()), ("pour", "utility", 2, ()), ("mit", "utility", 2, ()), ("para", "utility", 2, ()),
+    ("an", "region", 6, ()), ("von", "region", 6, ()), ("la", "region", 6, ()), ("des", "region", 6, ()), ("on", "town", 3, ()), ("der", "town", 3, ()), ("los", "town", 3, ()), ("une", "town", 3, ()),
+    ("with", "urgent", 20, ("by the", "the by")), ("del", "urgent", 20, ("de los",)), ("das", "urgent", 20, ("von der",)),
+    ("and", "triangle", 0, ()), ("by", "triangle", 0, ()), ("for", "triangle", 0, ()), ("et", "triangle", 0, ()), ("y", "triangle", 0, ()),
+)
+CAPS = (("search", 8, "sum"), ("inquiry", 12, "sum"), ("utility", 6, "sum"), ("region", 20, "sum"), ("town", 15, "sum"), ("urgent", 20, "max"), ("triangle", 0, "sum"))
+_WORDED = r"' ' || trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+', ' ', 'g')) || ' '"
+
+
+def _points(part: str, cap: int) -> str:
+    held = lambda term, unless: f"(contains(t, ' {term} ')" + "".join(f" AND NOT contains(t, ' {u} ')" for u in unless) + ")::INT"
+    own = [f"{each} * {held(term, unless)}" for term, p, each, unless in TERMS if p == part]
+    return f"least({cap}, " + (f"greatest({', '.join(own)})" if part == "urgent" else " + ".join(own)) + ")"
+
+
+@query(f"""WITH d AS (SELECT doc_id, n_chars, {_WORDED} AS t FROM documents), n AS (SELECT *, {" + ".join(f"contains(t, ' {term} ')::INT" for term, p, _, _ in TERMS if p == "triangle")} AS n FROM d),
+s AS (SELECT doc_id, n_chars, {", ".join(f"{_points(p, cap)} AS {p}" for p, cap, _ in CAPS[:-1])}, CASE WHEN n >= 3 THEN 15 WHEN n = 2 THEN 7 ELSE 0 END AS triangle FROM n)
+SELECT doc_id, search, inquiry, utility, region + town AS region, urgent, triangle, greatest(0, least(100, 20 + search + inquiry + utility + region + town + urgent + triangle + CASE WHEN n_chars > 900 THEN 10 ELSE 0 END - CASE WHEN n_chars < 120 THEN 25 ELSE 0 END)) AS combined FROM s""")
 def secondary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capped scores by terms at the head of a text: search, inquiry, utility, regional pairs, urgency with its context, triangulation, and their sum."""
-    own = read_table(spark, sf_dir, "documents").select("doc_id", fold(F.substring(F.coalesce("text", F.lit("")), 1, 120)).alias("t"), "n_chars")
-    t, has = F.col("t"), lambda x: F.contains("t", F.lit(x))
-    capped = lambda terms, each, cap: F.least(F.lit(cap), each * count_hits(t, terms))
-    combined = 50 + F.when(F.col("n_chars") > 900, 10).otherwise(0) + capped(*SCORES["search"]) - F.when(F.col("n_chars") < 120, 25).otherwise(0)
-    return own.select(
-        "doc_id",
-        *[capped(*spec).alias(name) for name, spec in SCORES.items()],
-        (capped(("sh", "st"), 6, 20) + capped(("de", "la"), 3, 15)).alias("region"),
-        F.when(has("ad") & ~has("gol"), 20).otherwise(0).alias("urgent"),
-        F.when(has("th") & has("an") & has("re"), 15).when(has("th") & has("an"), 7).otherwise(0).alias("triangle"),
-        clamp(combined, 0, 100).cast("int").alias("combined"),
-    )
+    """Scores by a table of terms in whole texts: search, inquiry, utility, regional pairs, urgency that other phrases take back, triangulation, and their sum."""
+    docs = read_table(spark, sf_dir, "documents")
+    table = spark.createDataFrame([(t, p, w, list(u)) for t, p, w, u in TERMS], "term string, part string, weight int, unless array<string>")
+    scored = terms.part_scores(terms.match_terms(docs, table, "doc_id", "text"), spark.createDataFrame(CAPS, "part string, cap int, mode string"), "doc_id")
+    points = [F.coalesce(F.sum(F.when(F.col("part") == p, F.col("points"))), F.lit(0)).cast("int").alias(p) for p, _, _ in CAPS[:-1]]
+    n = F.coalesce(F.sum(F.when(F.col("part") == "triangle", F.col("hits"))), F.lit(0))
+    by = scored.groupBy("doc_id").agg(*points, F.when(n >= 3, 15).when(n == 2, 7).otherwise(0).alias("triangle"))
+    names = [p for p, _, _ in CAPS]
+    rows = docs.select("doc_id", "n_chars").join(by, "doc_id", "left").na.fill(0, names)
+    total = sum((F.col(p) for p in names), F.lit(20)) + F.when(F.col("n_chars") > 900, 10).otherwise(0) - F.when(F.col("n_chars") < 120, 25).otherwise(0)
+    return rows.select("doc_id", "search", "inquiry", "utility", (F.col("region") + F.col("town")).alias("region"), "urgent", "triangle", clamp(total, 0, 100).cast("int").alias("combined"))
 
 
 @query(SQL + """SELECT doc_id, CASE WHEN contains(source, '1') THEN 'Source One' WHEN source IS NULL THEN '' ELSE source END AS name, score + CASE WHEN score >= 60 THEN 6 WHEN score < 30 THEN -10 ELSE 0 END AS audience,
