@@ -165,6 +165,21 @@ def test_recall_of_paraphrases(make):
         assert len(found & {(i, i) for i, _ in items}) >= 0.98 * len(items) and not found - {(i, i) for i, _ in items}
 
 
+def test_blocks_of_items_give_the_same_leaks(make):
+    """Items in many blocks, an item with several texts and repeated rows give what one block gives, and the same rows stay."""
+    rng = np.random.default_rng(4)
+    items = [(i // 2, " ".join(f"w{x}" for x in rng.integers(0, 500, 15))) for i in range(30)] + [(None, "n1 n2 n3 n4 n5 n6"), (None, None)]
+    docs = [(i, f"before {items[i % 31][1]} between {items[(i + 1) % 31][1]} after") for i in range(12)]
+    docs += [docs[0], docs[0], (0, docs[3][1]), (None, "n1 n2 n3 n4 n5 n6"), (50, "clean words alone"), (51, None)]
+    own, bench = make(docs, "doc_id long, text string"), make(items, "item_id long, text string")
+    rows = lambda **o: sorted(((r["doc_id"], r["item_id"], round(r["similarity"], 6)) for r in latent_search.find_leaks(own, bench, **o).collect()), key=str)
+    one = rows()
+    assert one and one == rows(block=4) and [r for r in one if r[0] is None] == [(None, None, 1.0)]
+    for options in ({}, {"block": 4}):
+        assert sorted(r["doc_id"] for r in latent_search.without_leaks(own, bench, **options).collect()) == [50, 51]
+    assert latent_search.without_leaks(own, bench.limit(0)).count() == len(docs)
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(8)
     for _ in range(200):

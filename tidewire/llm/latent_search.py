@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import Scratch
 
 UNIT = 4
 #: Window sizes in words; a passage is sought in windows of the next size.
@@ -232,13 +234,14 @@ def _search(shared, item_type: str):
     return leaks
 
 
-def leak_columns(
+def leak_blocks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", docs_text: str = "text", rank: int = 64, rounds: int = 2, cosine: float = 0.0, cover: float = 0.4, similarity: float = 0.8, paraphrase: float = 0.6, min_words: int = 5, block: int = 5000, block_bytes: int = 8_000_000, seed: int = 5
-) -> Column:
-    """A column for ``docs``: array of (item, similarity, cosine, answer), the items that the text leaks.
+) -> Iterator[Column]:
+    """A column for ``docs`` for each block of items: array of (item, similarity, cosine, answer), the items that the text leaks.
 
     Items come in blocks of about ``block`` rows and ``block_bytes`` bytes of text, whichever makes more; each block's words, index and latent space are
-    broadcast, so their size is bounded by the block, and each block is searched in all texts. IDF
+    broadcast while its column is in hand, and go when the next block is asked for, so use a column before that: one block is held at a time.
+    Each block is searched in all texts. IDF
     counts all rows of ``docs`` and of the block. The latent space is a randomised SVD of the TF-IDF
     matrix of all passages of the block, in Spark jobs. Windows of every text are candidates for a
     passage where their part along the passage is at least ``cover`` of its length, and their latent
@@ -253,7 +256,6 @@ def leak_columns(
     texts = docs.select(F.col(docs_text).alias("text"))
     n_items, n_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n_items // block), -(-n_bytes // block_bytes))
-    found = []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         own = [(r["item"], r["text"]) for r in part.collect()]  # about ``block`` rows, ``block_bytes`` bytes
@@ -264,23 +266,46 @@ def leak_columns(
         idf = np.log((1 + n) / (1 + n_df))
         basis = randomised_svd(part, vocabulary, idf, rank, rounds, seed)
         index = Index(own, vocabulary, idf, basis, cosine, cover, similarity, paraphrase, min_words)
-        found.append(_search(spark.sparkContext.broadcast(index), item_type)(F.col(docs_text)))
-    if not found:
-        return F.array().cast(f"array<struct<item:{item_type},similarity:double,cosine:double,answer:boolean>>")
-    return F.concat(*found)
+        shared = spark.sparkContext.broadcast(index)
+        yield _search(shared, item_type)(F.col(docs_text))
+        shared.unpersist()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **options) -> DataFrame:
-    """(doc id, item id, similarity, cosine, answer): a row for each row of ``docs`` and each item that it leaks (see leak_columns).
+    """(doc id, item id, similarity, cosine, answer): a row for each row of ``docs`` and each item that it leaks (see leak_blocks).
 
     Repeated rows and ids are searched each; repeated items count once for each text. Other columns
     are not read. Without docs or without items there are no rows.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    column = leak_columns(own, benchmark, item_col, item_text, **options)
-    found = own.select("id", column.alias("leaks")).where(F.size("leaks") > 0)
+    item_type = benchmark.schema[item_col].dataType.simpleString()
+    scratch, found = Scratch(docs.sparkSession, "leaks"), []
     best = F.transform(
         F.array_distinct(F.transform("leaks", lambda x: x["item"])),
         lambda item: F.array_max(F.transform(F.filter("leaks", lambda x: x["item"].eqNullSafe(item)), lambda x: F.struct(x["similarity"], x["cosine"], x["answer"], x["item"]))),
     )
-    return found.select("id", F.inline(best)).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "similarity", "cosine", "answer")
+    for b, column in enumerate(leak_blocks(own, benchmark, item_col, item_text, **options)):
+        leaks = own.select("id", F.md5("text").alias("key"), column.alias("leaks")).where(F.size("leaks") > 0)
+        found.append(scratch.keep(leaks.select("id", "key", F.inline(best)), f"block-{b}"))
+    if not found:
+        return docs.sparkSession.createDataFrame([], f"`{id_col}` {own.schema['id'].dataType.simpleString()}, `{item_col}` {item_type}, similarity double, cosine double, answer boolean")
+    rows = found[0]
+    if len(found) > 1:
+        # texts of one item can be in several blocks; rows of one id and text have the same leaks, as many times in each block
+        told = F.max(F.struct("similarity", "cosine", "answer")).alias("best")
+        parts = [part.groupBy("id", "key", "item").agg(F.count("*").alias("times"), told) for part in found]
+        rows = reduce(DataFrame.unionByName, parts).groupBy("id", "key", "item").agg(F.max("times").alias("times"), F.max("best").alias("best"))
+        rows = rows.select("id", "item", "best.*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return rows.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "similarity", "cosine", "answer")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose text leaks no item (see leak_blocks), block after block."""
+    scratch = Scratch(docs.sparkSession, "unleaked")
+    left, last = docs, None
+    for b, column in enumerate(leak_blocks(docs, benchmark, item_col, item_text, text_col, **options)):
+        left = scratch.keep(left.where(F.size(column) == 0), f"block-{b}")
+        if last:
+            scratch.drop(last)
+        last = f"block-{b}"
+    return left
