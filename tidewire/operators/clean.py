@@ -74,6 +74,12 @@ class CleanRules:
         r"^(?:demandas?\s+do|espaço\s+coletivo|histórico|contexto|antecedentes|declaração|nota\s+(?:oficial|da|do)|posição\s+(?:da|do)|"
         r"entrevista\s+com|depoimento|análise|investigação|repercussão|reação)"
     )
+    # How a paragraph begins that only points elsewhere.
+    snippets: tuple[str, ...] = (
+        r"leia\s+(mais|tamb[ée]m)", r"confira\s+(tamb[ée]m|abaixo)", r"veja\s+(tamb[ée]m|abaixo)", r"saiba\s+mais", "acompanhe", r"fique\s+por\s+dentro",
+        r"continue\s+lendo", r"clique\s+aqui", "assine", "inscreva-se", r"receba\s+not[íi]cias", r"not[íi]cias\s+recomendadas", r"voc[êe]\s+pode\s+gostar",
+        "publicidade", "an[úu]ncio", "propaganda", r"mais\s+lidas", "trending", "recommended", r"read\s+more", r"see\s+also", r"related\s+articles",
+    )
     kinds: tuple[tuple[str, str, int | None], ...] = (  # name, pattern, length that the line must be under
         ("credit", r"^(?:foto[:\s]|crédito[:\s]|credit[:\s]|©\s*\S|image[:\s]|imagem[:\s]|fotógrafo[:\s]|photographer[:\s])", None),
         ("caption", r"^(?:legenda[:\s]|caption[:\s])", None),
@@ -96,6 +102,11 @@ def has(text: Column, pattern: str) -> Column:
     return F.rlike(text, F.lit(pattern))
 
 
+def is_snippet(paragraph: Column, rules: CleanRules = NEWS) -> Column:
+    """Whether a paragraph begins like one that only points elsewhere; null does not."""
+    return F.coalesce(has(F.lower(paragraph), f"^(?:{'|'.join(rules.snippets)})"), F.lit(False))
+
+
 def lines_of(text: Column) -> Column:
     """The lines of a text, whatever ends them."""
     return F.split(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(" ")), r"\r\n|\r", "\n"), "\n")

@@ -113,3 +113,21 @@ def banned_terms(text: Column, terms: Sequence[str]) -> Column:
 def destination(fatal: Column, direct: Column, score: Column) -> Column:
     """Where a story goes: blocked if a fatal fault stands, published if all direct conditions hold at 90, a draft from 35, else blocked."""
     return F.when(F.coalesce(fatal, F.lit(False)), "block").when(F.coalesce(direct, F.lit(False)) & (score >= 90), "publish").when(score >= 35, "draft").otherwise("block")
+
+
+#: Parts of image addresses and what each is worth.
+IMAGE_PARTS = (
+    ((".jpg", ".jpeg"), 12), ((".webp",), 10), ((".png",), 8),
+    (("foto", "photo", "image", "imagem", "picture", "media", "uploads", "wp-content", "cdn", "featured"), 5),
+    (("1200", "1024", "900", "800", "768", "large", "full"), 2),
+    (("icon", "logo", "favicon", "banner", "sprite", "pixel", "avatar", "ads", "doubleclick", "tracker", "gif"), -15),
+)
+
+
+def image_url_score(url: Column, parts: Sequence[tuple[Sequence[str], int]] = IMAGE_PARTS) -> Column:
+    """How much an address looks like an article's picture: the worth of all parts that it holds; null holds none."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    total = F.lit(0)
+    for words, worth in parts:
+        total = total + worth * F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)))
+    return total

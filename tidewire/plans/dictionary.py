@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.operators import terms
+from tidewire.operators import terms, types
 from tidewire.plans.registry import query
 from tidewire.session import read_table
 
@@ -66,3 +66,19 @@ def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [p for p, _, _ in PARTS]
     rows = terms.composite_score(scored, names, "doc_id", base=20)
     return rows.select("doc_id", *[F.col(p).cast("long").alias(p) for p in names], F.col("score").cast("long").alias("score"), F.array_join("reasons", ",").alias("reasons"))
+
+
+#: Clues of types by whole words, and the rules of channels, which are the languages here.
+CLUES = {"preview": ("the", "que", "und"), "result": ("of", "para", "mit"), "court": ("to be", "the of", "de la"), "service": ("in", "of the", "la de", "der", "et"), "report": ("an", "is", "des", "los")}
+RULES = types.TypeRules(("court", "service", "report"), {"es": ("result", "preview", "plain")}, {"de": "editorial"}, {"fr": "culture"})
+_COUNT = {t: " + ".join(f"contains(t, ' {w} ')::INT" for w in words) for t, words in CLUES.items()}
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, ' ' || {FORM.format("text")} || ' ' AS t FROM documents), n AS (SELECT doc_id, lang, {", ".join(f"{c} AS {t}" for t, c in _COUNT.items())} FROM d)
+SELECT doc_id, CASE WHEN lang = 'es' THEN CASE WHEN result > 0 THEN 'result' WHEN preview > 0 THEN 'preview' ELSE 'plain' END WHEN lang = 'de' THEN 'editorial'
+  WHEN court > 0 AND court >= service AND court >= report THEN 'court' WHEN service > 0 AND service >= report THEN 'service' WHEN report > 0 THEN 'report' WHEN lang = 'fr' THEN 'culture' ELSE 'hard_news' END AS type FROM n""")
+def article_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type of each document: by its channel's own rule, by most clues in its whole text, or by what its channel stands for."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    table = spark.createDataFrame([(w, t, 1) for t, words in CLUES.items() for w in words], "term string, part string, weight int")
+    return types.article_types(docs, terms.match_terms(docs, table, "doc_id", "text"), RULES, "doc_id", "lang").select("doc_id", "type")

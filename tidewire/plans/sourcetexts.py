@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions.dates import date_in_text
 from tidewire.operators import clean
+from tidewire.operators.scoring import IMAGE_PARTS, image_url_score
 from tidewire.operators.clean import LOWER, NEWS, UPPER, any_of
 from tidewire.plans.registry import query
 from tidewire.session import read_table
@@ -169,3 +171,31 @@ def repaired_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
     sentences = F.size(F.split(said, r"(?<=[.!?]) (?=[A-ZÁÀÃÂÉÊÍÓÔÕÚÜÇ])"))
     return read_table(spark, sf_dir, "documents").select("doc_id", sentences.cast("long").alias("sentences"), F.md5(clean.repaired_paragraphs(said)).alias("said"))
+
+
+_WORTH = " + ".join(f"{worth} * (" + " + ".join(f"contains(u, '{w}')::INT" for w in words) + ")" for words, worth in IMAGE_PARTS)
+_STAMP = "lpad((doc_id % 31 + 1)::VARCHAR, 2, '0') || '/' || (doc_id % 14) || '/' || (2000 + doc_id % 27)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, 'Em ' || {_STAMP} || CASE doc_id % 4 WHEN 0 THEN ' às ' || (doc_id % 26) || 'h' || lpad((doc_id % 60)::VARCHAR, 2, '0') WHEN 1 THEN ' - ' || (doc_id % 24) || ':07' ELSE '' END || ' e 01/02/2003. ' || coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, regexp_extract(lower(t), '([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}})\\s*(?:às|as|-)?\\s*([0-9]{{1,2}})[:h]([0-9]{{2}})\\b', ['d', 'm', 'y', 'h', 'i']) AS a, regexp_extract(lower(t), '([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}})\\b', ['d', 'm', 'y']) AS b FROM d)
+SELECT doc_id, coalesce(try_strptime(a.y || '-' || lpad(a.m, 2, '0') || '-' || lpad(a.d, 2, '0') || ' ' || lpad(a.h, 2, '0') || ':' || a.i, '%Y-%m-%d %H:%M'), try_strptime(b.y || '-' || lpad(b.m, 2, '0') || '-' || lpad(b.d, 2, '0'), '%Y-%m-%d')) AS at FROM p""")
+def dates_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date of whole texts that begin with a day, some with a time, some of them no real ones."""
+    c = F.col
+    stamp = F.concat(F.lpad((c("doc_id") % 31 + 1).cast("string"), 2, "0"), F.lit("/"), c("doc_id") % 14, F.lit("/"), 2000 + c("doc_id") % 27)
+    time = F.when(c("doc_id") % 4 == 0, F.concat(F.lit(" às "), c("doc_id") % 26, F.lit("h"), F.lpad((c("doc_id") % 60).cast("string"), 2, "0"))).when(c("doc_id") % 4 == 1, F.concat(F.lit(" - "), c("doc_id") % 24, F.lit(":07"))).otherwise("")
+    said = F.concat(F.lit("Em "), stamp, time, F.lit(" e 01/02/2003. "), F.coalesce("text", F.lit("")))
+    return read_table(spark, sf_dir, "documents").select("doc_id", date_in_text(said).alias("at"))
+
+
+@query(f"""WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)(?:src|href)\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS u0 FROM pages), l AS (SELECT page_id, u0, lower(u0 || CASE length(u0) % 5 WHEN 0 THEN '/Foto-1200.jpg' WHEN 1 THEN '/logo.png' WHEN 2 THEN '/wp-content/full.webp' ELSE '' END) AS u FROM i)
+SELECT page_id, count(*) AS n, max({_WORTH})::INTEGER AS best, min({_WORTH})::INTEGER AS worst FROM l GROUP BY page_id""")
+def image_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best and the worst address of each page as a picture's."""
+    found = F.regexp_extract_all("html", F.lit(r"""(?i)(?:src|href)\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))
+    rows = read_table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("u"))
+    kind = F.length("u") % 5
+    end = F.when(kind == 0, "/Foto-1200.jpg").when(kind == 1, "/logo.png").when(kind == 2, "/wp-content/full.webp").otherwise("")
+    score = image_url_score(F.concat("u", end))
+    return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.max(score).alias("best"), F.min(score).alias("worst"))
