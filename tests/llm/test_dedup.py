@@ -271,6 +271,25 @@ def test_line_ids_beside_null_ids(make):
     assert sum(r["n_removed_lines"] for r in large) > 0 and {r["doc_id"] for r in large} == {None, 9007199254740992, 9007199254740993}
 
 
+def test_lines_of_rows_that_share_an_id(make):
+    """Rows of null or repeated ids lose what repeats like rows of ids of their own; one row keeps each line."""
+    block = [f"line {i} of a long passage" for i in range(30)]
+    said = "\n".join(block)
+    own = line_dedup.dedup_lines(make([(i, said) for i in range(40)], "doc_id long, text string")).collect()
+    removed = sum(r["n_removed_lines"] for r in own)
+    for ids in ([None] * 40, [7] * 40, [None, 7] * 20, [None, 7, 8, 9] * 10):
+        done = line_dedup.dedup_lines(make([(i, said) for i in ids], "doc_id long, text string", ("id", "key", "id_", "key_", "n"))).collect()
+        assert sum(r["n_removed_lines"] for r in done) == removed and len(done) == 40 and {"id_", "key_"} <= set(done[0].asDict())
+        assert sorted(str(r["doc_id"]) for r in done) == sorted(map(str, ids)) and sum(r["text"] == said for r in done) == 1
+    # different texts under one id, with and without copies, beside rows of other ids
+    rng = random.Random(2)
+    texts = ["\n".join(f"own {k} {j}" for j in range(rng.randrange(3, 9))) + "\n" + said for k in range(12)] + ["one line", "", None, "one line", "", None]
+    unique = line_dedup.dedup_lines(make(list(enumerate(texts)), "doc_id long, text string"), passage_words=50).collect()
+    shared = line_dedup.dedup_lines(make([(None, t) for t in texts], "doc_id long, text string"), passage_words=50).collect()
+    assert sum(r["n_removed_lines"] for r in shared) == sum(r["n_removed_lines"] for r in unique) and sum(said in (r["text"] or "") for r in shared) == 1
+    assert sorted(str(r["text"]) for r in shared if r["n_lines"] < 2) == sorted(map(str, ["one line", "one line", "", "", None, None]))
+
+
 def test_one_row_of_a_class_stays_where_ids_repeat(make):
     words = " ".join(f"w{i}" for i in range(100))
     rows = [(7, words), (3, words + " end"), (3, "quite another text here"), (9, "quite another text here"), (7, "third text of its own"), (None, words), (None, "alone")]

@@ -85,11 +85,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so no line goes everywhere. Runs are found by hash, and the bytes of all that repeat are
     compared, so equal hashes of different bytes never count as a repeat. Where a text is left
     without lines it is empty. Null text stays null and has no lines; empty texts and texts of one
-    line have no chunk. Null ids sort first. Rows that share an id and a first run at one place keep
-    it each. Columns named like the added ones are replaced. No rows give no rows.
+    line have no chunk. Null ids sort first. A place is (id, digest of the text, first line), so rows that share an id, null
+    ids too, are like others; of rows that share id and text, which nothing tells apart, one counts as the first. Columns named like the added ones are replaced. No rows give no rows.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    digest = lambda text: F.unhex(F.md5(text))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", digest(F.col("text")))
 
     @F.pandas_udf("struct<at:array<int>,n:array<int>,hash:array<binary>>")
     def runs(texts: pd.Series) -> pd.DataFrame:
@@ -119,21 +120,47 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield pd.DataFrame(rows, columns=["hash", "said"])
 
     kept = own.where("text is not null" if passage_words is not None else F.instr("text", "\n") > 0)
-    found = kept.select("id", runs("text").alias("r")).select("id", F.inline(F.arrays_zip("r.at", "r.n", "r.hash")))
-    found = scratch.keep(found.toDF("id", "at", "n", "hash"), "found")
-    per_hash = found.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("times"))
+    found = kept.select("id", "key", runs("text").alias("r")).select("id", "key", F.inline(F.arrays_zip("r.at", "r.n", "r.hash")))
+    found = scratch.keep(found.toDF("id", "key", "at", "n", "hash"), "found")
+    per_hash = found.groupBy("hash").agg(F.min(F.struct("id", "key", "at")).alias("first"), F.count("*").alias("times"))
     repeated = scratch.keep(per_hash.where("times > 1").select("hash", "first"), "repeated")
     places = scratch.keep(found.join(repeated, "hash"), "places")
     scratch.drop("found", "repeated")
     # byte comparison: a hash of different texts is no repeat
-    sought = places.groupBy("id").agg(F.collect_set(F.struct("at", "n", "hash")).alias("places")).withColumnRenamed("id", "_key").hint("merge")
-    texts = kept.join(sought, F.col("id").eqNullSafe(F.col("_key"))).select("text", "places").mapInPandas(said, "hash binary, said string").distinct()
+    sought = places.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("at", "n", "hash")).alias("places")).hint("merge")
+    texts = kept.join(sought, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("text", "places").mapInPandas(said, "hash binary, said string").distinct()
     mixed = scratch.keep(texts.groupBy("hash").count().where("count > 1").select("hash"), "mixed")
-    goes = scratch.keep(places.where("not (struct(id, at) <=> first)").join(mixed, "hash", "left_anti").select("id", "at", "n", "hash"), "goes")
+    repeats = places.join(mixed, "hash", "left_anti").withColumn("stays", F.expr("struct(id, key, at) <=> first"))
+    copies = scratch.keep(kept.groupBy("id", "key").count().where("count > 1").select("id", "key"), "copies")
+    at_id, at_key, gone, new = (f"_{uuid.uuid4().hex}" for _ in range(4))  # names that no column of docs has
+
+    def by_text(rows: DataFrame) -> DataFrame:
+        # it grows with the input: a merge join at every size
+        return rows.groupBy(F.col("id").alias(at_id), F.col("key").alias(at_key)).agg(F.collect_set(F.struct("at", "n", "hash")).alias(gone)).hint("merge")
+
+    def with_gone(rows: DataFrame, runs_: DataFrame) -> DataFrame:
+        return rows.join(runs_, F.col(id_col).eqNullSafe(F.col(at_id)) & (digest(F.col(text_col)) == F.col(at_key)), "left")
+
+    goes = scratch.keep(repeats.where("not stays").select("id", "key", "at", "n", "hash"), "goes")
+    others = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
+    if copies.isEmpty():
+        joined = with_gone(docs.select(*others), by_text(goes))
+    else:
+        # behind the first row of an id and text all that repeats goes; these rows alone are written with a number each
+        sides = copies.select(F.col("id").alias(at_id), F.col("key").alias(at_key))
+        own_copy = F.col("id").eqNullSafe(F.col(at_id)) & (F.col("key") == F.col(at_key))
+        doc_copy = F.col(id_col).eqNullSafe(F.col(at_id)) & (digest(F.col(text_col)) == F.col(at_key))
+        everything = scratch.keep(repeats.join(sides, own_copy, "left_semi").select("id", "key", "at", "n", "hash"), "copied")
+        base = docs.select(*others)
+        numbered = scratch.keep(base.join(sides, doc_copy, "left_semi").withColumn(new, F.monotonically_increasing_id()), "numbered")
+        first = scratch.keep(numbered.groupBy(F.col(id_col), digest(F.col(text_col)).alias(at_key)).agg(F.min(new).alias(gone)).select(gone), "firsts")
+        parts = (
+            with_gone(base.join(sides, doc_copy, "left_anti"), by_text(goes)),
+            with_gone(numbered.join(first, F.col(new) == F.col(gone), "left_semi").drop(new), by_text(goes)),
+            with_gone(numbered.join(first, F.col(new) == F.col(gone), "left_anti").drop(new), by_text(everything)),
+        )
+        joined = parts[0].unionByName(parts[1]).unionByName(parts[2])
     scratch.drop("places")
-    # it grows with the input: a merge join at every size
-    at_id, gone, new = (f"_{uuid.uuid4().hex}" for _ in range(3))  # names that no column of docs has
-    goes = goes.groupBy(F.col("id").alias(at_id)).agg(F.collect_set(F.struct("at", "n", "hash")).alias(gone)).hint("merge")
 
     @F.pandas_udf("struct<text:string,n_lines:long,n_removed_lines:long>")
     def rebuilt(texts: pd.Series, runs_: pd.Series) -> pd.DataFrame:
@@ -149,7 +176,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out, digests = bytearray(len(lines)), _digests(lines)
             for x in own:
                 a, b = x["at"], x["at"] + x["n"]
-                # rows that share the id can hold other lines here
                 if b <= len(lines) and _of_run(digests, a, b) == bytes(x["hash"]):
                     out[a:b] = b"\1" * (b - a)
             if passage_words is not None:
@@ -160,7 +186,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows.append(("\n".join(x for x, go in zip(lines, out) if not go), len(lines), sum(out)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed_lines"])
 
-    others = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    joined = docs.select(*others).join(goes, F.col(id_col).eqNullSafe(F.col(at_id)), "left")
     joined = joined.withColumn(new, rebuilt(F.col(text_col), F.col(gone)))
     return joined.select(*[F.col(f"{new}.text").alias(c) if c == text_col else F.col(c) for c in others], f"{new}.n_lines", f"{new}.n_removed_lines")
