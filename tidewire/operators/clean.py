@@ -182,9 +182,12 @@ def clean_article(text: Column, title: Column | None = None, rules: CleanRules =
         return first_of_equal(F.filter(rows, lambda x: ~is_junk(x["value"], rules) & ~call(x["value"])))
 
     cleaned = joined(kept(F.transform(F.split(own, "\n"), lambda x: F.regexp_replace(squeezed(x), r"^[ |•]+|(?<![ |•])[ |•]+$", ""))))
-    if max_chars is None:
-        return cleaned
-    return let(cleaned, lambda t: F.when(F.length(t) <= max_chars, t).otherwise(trimmed(F.regexp_replace(F.substring(t, 1, max_chars), " [^ ]*$", ""))))
+    return cleaned if max_chars is None else let(cleaned, lambda t: cut_at_blank(t, max_chars))
+
+
+def cut_at_blank(text: Column, size: int) -> Column:
+    """A text of at most ``size`` characters, cut at its last blank."""
+    return F.when(F.length(text) <= size, text).otherwise(trimmed(F.regexp_replace(F.substring(text, 1, size), " [^ ]*$", "")))
 
 
 def clean_source(text: Column, rules: CleanRules = NEWS, max_chars: int | None = 16000) -> Column:
@@ -204,7 +207,12 @@ def clean_source(text: Column, rules: CleanRules = NEWS, max_chars: int | None =
 
 def useful_chars(text: Column, rules: CleanRules = NEWS, max_chars: int | None = 16000) -> Column:
     """How many characters of a text are left when it is cleaned and its addresses are out."""
-    return F.length(trimmed(F.regexp_replace(clean_source(text, rules, max_chars), r"https?://\S+", "")))
+    return without_addresses(clean_source(text, rules, max_chars))
+
+
+def without_addresses(text: Column) -> Column:
+    """How many characters a text has besides addresses."""
+    return F.length(trimmed(F.regexp_replace(text, r"https?://\S+", "")))
 
 
 def clean_body(text: Column, rules: CleanRules = NEWS) -> Column:

@@ -29,8 +29,9 @@ def gamma_draw(shape: Column, seed: Column) -> Column:
             trial = F.struct(x.alias("x"), F.pow(1 + x / F.sqrt(9 * d), F.lit(3.0)).alias("v"), F.ln(u[2]).alias("u"))
             return let(trial, lambda t: F.when((t["v"] > 0) & (t["u"] < 0.5 * t["x"] * t["x"] + d - d * t["v"] + d * F.ln(F.greatest(t["v"], F.lit(1e-300)))), d * t["v"]))
 
-        tries = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), attempt)
-        return F.coalesce(F.get(F.filter(tries, lambda v: v.isNotNull()), 0), d)
+        # once a try has passed, the later ones are not worked out
+        tries = F.sequence(F.lit(0), F.lit(TRIES - 1))
+        return F.coalesce(F.aggregate(tries, F.lit(None).cast("double"), lambda got, i: F.when(got.isNotNull(), got).otherwise(attempt(i))), d)
 
     return let(shape - F.lit(1.0) / 3, first)
 

@@ -77,9 +77,8 @@ article AS (SELECT doc_id, {_trim("regexp_replace(coalesce(string_agg(v, chr(10)
 @query(f"""{ARTICLE} SELECT doc_id, md5(said) AS said, length(said) AS n, md5(CASE WHEN length(said) <= 900 THEN said ELSE {_trim("regexp_replace(substr(said, 1, 900), ' [^ ]*$', '')")} END) AS head FROM article""")
 def clean_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts without what stands before the article, junk lines, calls and repeated lines; and the same cut to 900 characters at a word."""
-    said = clean.clean_article(F.col("t"), F.col("title"), max_chars=None)
-    head = clean.clean_article(F.col("t"), F.col("title"), max_chars=900)
-    return sources(spark, sf_dir).select("doc_id", F.md5(said).alias("said"), F.length(said).alias("n"), F.md5(head).alias("head"))
+    own = sources(spark, sf_dir).select("doc_id", clean.clean_article(F.col("t"), F.col("title"), max_chars=None).alias("s"))
+    return own.select("doc_id", F.md5("s").alias("said"), F.length("s").alias("n"), F.md5(clean.cut_at_blank(F.col("s"), 900)).alias("head"))
 
 
 STATES = f"""{SOURCES},
@@ -110,7 +109,8 @@ c AS (SELECT doc_id, {_trim("regexp_replace(regexp_replace(regexp_replace(t, " +
 SELECT doc_id, md5(t) AS said, length({_trim("regexp_replace(t, 'https?://\\S+', '', 'g')")}) AS useful FROM c""")
 def clean_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts without lines of paywalls, tools and picture descriptions, and the characters that are left without addresses."""
-    return sources(spark, sf_dir).select("doc_id", F.md5(clean.clean_source(F.col("t"), max_chars=None)).alias("said"), clean.useful_chars(F.col("t"), max_chars=None).alias("useful"))
+    own = sources(spark, sf_dir).select("doc_id", clean.clean_source(F.col("t"), max_chars=None).alias("s"))
+    return own.select("doc_id", F.md5("s").alias("said"), clean.without_addresses(F.col("s")).alias("useful"))
 
 
 @query(f"""{SOURCES}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS v, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM sources),
@@ -123,12 +123,13 @@ def writer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", F.md5(clean.clean_notes(F.col("t"))).alias("said"), F.size(stays).cast("long").alias("lines"))
 
 
-#: Blocks: the lines of ``sources`` with a blank line before every fourth.
-BLOCKS = f"{SOURCES}, body AS (SELECT doc_id, regexp_replace(t, '((?:[^\\n]*\\n){{3}}[^\\n]*)\\n', '\\1' || chr(10) || ' ' || chr(10), 'g') AS t FROM sources)"
+#: Blocks: the lines of ``sources`` with a blank line behind every fourth.
+BLOCKS = f"{SOURCES}, body AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x, i: x || CASE WHEN i % 4 = 0 THEN chr(10) || ' ' ELSE '' END), chr(10)) AS t FROM sources)"
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources(spark, sf_dir).select("doc_id", F.regexp_replace("t", r"((?:[^\n]*\n){3}[^\n]*)\n", "$1\n \n").alias("t"))
+    lines = F.transform(F.split("t", "\n"), lambda x, i: F.when(i % 4 == 3, F.concat(x, F.lit("\n "))).otherwise(x))
+    return sources(spark, sf_dir).select("doc_id", F.array_join(lines, "\n").alias("t"))
 
 
 HEADING = f"{_plain('{0}')} IN ({', '.join(map(_sql, NEWS.headings))})"
@@ -141,8 +142,8 @@ f AS (SELECT doc_id, i, {_squeeze(f"regexp_replace(v, {_sql(r'(?i)' + chr(92) +
 SELECT doc_id, md5(coalesce(string_agg(v, chr(10) || chr(10) ORDER BY i) FILTER (v <> ''), '')) AS said, count(v) FILTER (v <> '') AS blocks FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id""")
 def clean_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of whole texts without headings, junk and filling phrases."""
-    said = clean.clean_body(F.col("t"))
-    return _blocks(spark, sf_dir).select("doc_id", F.md5(said).alias("said"), F.when(said == "", 0).otherwise(F.size(F.split(said, "\n\n"))).cast("long").alias("blocks"))
+    own = _blocks(spark, sf_dir).select("doc_id", clean.clean_body(F.col("t")).alias("s"))
+    return own.select("doc_id", F.md5("s").alias("said"), F.when(F.col("s") == "", 0).otherwise(F.size(F.split("s", "\n\n"))).cast("long").alias("blocks"))
 
 
 #: Texts as one block each, and the sentences of such a block with their running lengths.
