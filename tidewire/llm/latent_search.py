@@ -236,11 +236,11 @@ def _search(shared, item_type: str):
 
 def leak_blocks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", docs_text: str = "text", rank: int = 64, rounds: int = 2, cosine: float = 0.0, cover: float = 0.4, similarity: float = 0.8, paraphrase: float = 0.6, min_words: int = 5, block: int = 5000, block_bytes: int = 8_000_000, seed: int = 5
-) -> Iterator[Column]:
-    """A column for ``docs`` for each block of items: array of (item, similarity, cosine, answer), the items that the text leaks.
+) -> Iterator[tuple[Column, bool]]:
+    """(column for ``docs``, whether it is the last) for each block of items; the column is an array of (item, similarity, cosine, answer), the items that the text leaks.
 
     Items come in blocks of about ``block`` rows and ``block_bytes`` bytes of text, whichever makes more; each block's words, index and latent space are
-    broadcast while its column is in hand, and go when the next block is asked for, so use a column before that: one block is held at a time.
+    broadcast while its column is in hand, and go when the next block is asked for, so use a column before that: one block is held at a time. The last block's stay.
     Each block is searched in all texts. IDF
     counts all rows of ``docs`` and of the block. The latent space is a randomised SVD of the TF-IDF
     matrix of all passages of the block, in Spark jobs. Windows of every text are candidates for a
@@ -267,8 +267,9 @@ def leak_blocks(
         basis = randomised_svd(part, vocabulary, idf, rank, rounds, seed)
         index = Index(own, vocabulary, idf, basis, cosine, cover, similarity, paraphrase, min_words)
         shared = spark.sparkContext.broadcast(index)
-        yield _search(shared, item_type)(F.col(docs_text))
-        shared.unpersist()
+        yield _search(shared, item_type)(F.col(docs_text)), b == blocks - 1
+        if b < blocks - 1:
+            shared.unpersist()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **options) -> DataFrame:
@@ -284,7 +285,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         F.array_distinct(F.transform("leaks", lambda x: x["item"])),
         lambda item: F.array_max(F.transform(F.filter("leaks", lambda x: x["item"].eqNullSafe(item)), lambda x: F.struct(x["similarity"], x["cosine"], x["answer"], x["item"]))),
     )
-    for b, column in enumerate(leak_blocks(own, benchmark, item_col, item_text, **options)):
+    for b, (column, _) in enumerate(leak_blocks(own, benchmark, item_col, item_text, **options)):
         leaks = own.select("id", F.md5("text").alias("key"), column.alias("leaks")).where(F.size("leaks") > 0)
         found.append(scratch.keep(leaks.select("id", "key", F.inline(best)), f"block-{b}"))
     if not found:
@@ -300,12 +301,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose text leaks no item (see leak_blocks), block after block."""
+    """The rows of ``docs`` whose text leaks no item (see leak_blocks), block after block; what all blocks but the last leave is written."""
     scratch = Scratch(docs.sparkSession, "unleaked")
-    left, last = docs, None
-    for b, column in enumerate(leak_blocks(docs, benchmark, item_col, item_text, text_col, **options)):
-        left = scratch.keep(left.where(F.size(column) == 0), f"block-{b}")
-        if last:
-            scratch.drop(last)
-        last = f"block-{b}"
+    left, held = docs, None
+    for b, (column, last) in enumerate(leak_blocks(docs, benchmark, item_col, item_text, text_col, **options)):
+        left = left.where(F.size(column) == 0)
+        if not last:
+            left = scratch.keep(left, f"block-{b}")
+            if held:
+                scratch.drop(held)
+            held = f"block-{b}"
     return left
