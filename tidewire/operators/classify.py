@@ -51,6 +51,12 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """A double as SQL engines round it: shifted by ``places``, rounded, shifted back. Spark's round goes by the double's shortest decimal, which differs at halves (1.005)."""
+    shift = F.lit(10.0**places)
+    return F.round(value * shift) / shift
+
+
 def top_terms(df: DataFrame, key: str, text: str, n: int, least: int = 4) -> DataFrame:
     """(key, term, weight, rank): the ``n`` terms of greatest TF-IDF weight of each row, terms of ``least`` letters or more.
 
