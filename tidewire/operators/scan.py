@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import jaccard
+from tidewire.operators.similar import similar_across
+from tidewire.session import saved
 
 
 def scan_feeds(items: DataFrame, now: Column, hours: int, entries: int = 30, per_feed: int = 10) -> DataFrame:
@@ -35,19 +36,13 @@ def newest_and_first_match(rows: DataFrame, known: DataFrame, least: float) -> D
     """(id, newest, first): the known titles that are like a row's, the latest by ``at`` and the earliest by ``id``.
 
     ``rows`` is (id, ts) and ``known`` (id, ts, at), ``ts`` the distinct tokens. Titles of equal tokens are one class on
-    either side, so copies make no pairs. Classes meet on a token among the rarest of the row's, as many as any match
-    must share one of (prefix filter), and are then compared whole. Titles without tokens match nothing.
+    either side, so copies make no pairs; the pairs of classes are ``similar_across``'. Titles without tokens match nothing.
     """
-    classes = rows.where(F.size("ts") > 0).select(F.col("ts").alias("ts_a")).distinct().withColumn("a", F.md5(F.to_json("ts_a")))
-    last = F.max(F.struct("at", "id"))
-    own = known.where(F.size("ts") > 0).groupBy(F.col("ts").alias("ts_b")).agg(last.alias("last"), F.min("id").alias("least")).withColumn("b", F.md5(F.to_json("ts_b")))
-    words = classes.select("a", F.size("ts_a").alias("n"), F.explode("ts_a").alias("t"))
-    held = own.select("b", F.size("ts_b").alias("m"), F.explode("ts_b").alias("t"))
-    seen = held.groupBy("t").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("df", "t"))
-    rare = words.join(seen, "t", "left").na.fill(0, ["df"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    met = rare.join(held, "t").where((F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n"))).select("a", "b").distinct()
-    full = met.join(classes, "a").join(own, "b")
-    full = full.where(jaccard(F.col("ts_a"), F.col("ts_b")) >= least)
-    found = full.groupBy("ts_a").agg(F.max("last").alias("last"), F.min("least").alias("first"))
-    return rows.join(found, rows.ts == found.ts_a).select("id", F.col("last.id").alias("newest"), "first")
+    told = rows.where(F.size("ts") > 0).select("ts", F.lit(True).alias("in_a"), F.lit(None).cast(known.select(F.struct("at", "id")).schema[0].dataType).alias("own"))
+    held = known.where(F.size("ts") > 0).select("ts", F.lit(False).alias("in_a"), F.struct("at", "id").alias("own"))
+    classes = told.union(held).groupBy(F.col("ts").alias("words")).agg(F.max("in_a").alias("in_a"), F.max("own").alias("last"), F.min("own.id").alias("least"), F.count_if(~F.col("in_a")).alias("held"))
+    classes = saved(classes.withColumn("in_b", F.col("held") > 0).withColumn("key", F.md5(F.to_json("words"))))
+    pairs = similar_across(classes, least)
+    found = pairs.join(classes.select(F.col("key").alias("b"), "last", "least"), "b").groupBy("a").agg(F.max("last").alias("last"), F.min("least").alias("first"))
+    by_words = classes.select(F.col("key").alias("a"), F.col("words").alias("ts")).join(found, "a").drop("a")
+    return rows.join(by_words, "ts").select("id", F.col("last.id").alias("newest"), "first")
