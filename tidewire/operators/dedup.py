@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import jaccard
+from tidewire.operators.similar import SHORT, similar_classes
 
 
 def keep_best(df: DataFrame, key: Column, *order: Column, drop_empty: bool = True) -> DataFrame:
@@ -23,18 +23,10 @@ def keep_best(df: DataFrame, key: Column, *order: Column, drop_empty: bool = Tru
 def similar_pairs(df: DataFrame, id_col: str, tokens_col: str, least: float) -> DataFrame:
     """(a, b, similarity): pairs of token sets whose Jaccard similarity is at least ``least``; a and b are the least ids of their sets.
 
-    Rows of equal sets are one class, so copies make no pairs. A pair of similar sets shares a token
-    among the rarest of each (prefix filter), so only those are joined; candidates are then compared whole.
+    Rows of equal sets are one class, so copies make no pairs; the pairs of classes are ``similar_classes``'.
     """
-    sets = df.where(F.size(tokens_col) > 0).groupBy(F.col(tokens_col).alias("ts")).agg(F.min(id_col).alias("id"))
-    words = sets.select("id", F.size("ts").alias("n"), F.explode("ts").alias("t"))
-    counts = words.groupBy("t").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
-    rare = words.join(counts, "t").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    a, b = (rare.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), "t") for x in "ab")
-    met = a.join(b, "t").where("a < b").where((F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))).select("a", "b").distinct()
-    full = met.join(sets.select(F.col("id").alias("a"), F.col("ts").alias("ts_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("ts").alias("ts_b")), "b")
-    return full.select("a", "b", jaccard(F.col("ts_a"), F.col("ts_b")).alias("similarity")).where(F.col("similarity") >= least)
+    sets = df.where(F.size(tokens_col) > 0).groupBy(F.col(tokens_col).alias("words")).agg(F.min(id_col).alias("key"))
+    return similar_classes(sets, least, longs=SHORT, rounds=1)
 
 
 def greedy_leaders(rows: DataFrame, pairs: DataFrame, save) -> DataFrame:
