@@ -124,7 +124,7 @@ def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = rows.where("not past")
     classes = rows.where(F.size("w") > 0).groupBy("key").agg(F.first("w").alias("words"), F.count_if("past").alias("n_past"), F.count_if(~F.col("past")).alias("n_now"))
     classes = saved(classes)
-    pairs = similar.similar_classes(classes.select("key", "words"), 0.72)
+    pairs = similar.similar_classes(classes.select("key", "words"), 0.72, longs=similar.SHORT, rounds=1)
     both = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity"))
     own = classes.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
     met = both.union(own).join(classes.select(F.col("key").alias("b"), "n_past", "n_now"), "b")
