@@ -290,14 +290,14 @@ def paragraphs(text: Column, least: int = 260, whole: int = 900) -> Column:
     """The paragraphs of a text: blocks between blank lines; a single block of over ``whole`` characters is cut anew.
 
     Sentences are then put together until a paragraph has ``least`` characters. One pass of a pattern: a paragraph is the
-    shortest text of that length that ends with a sentence.
+    shortest text of that length that ends with a sentence, and begins where the last one ended, so the rest is tried once.
     """
     own = trimmed(F.array_join(lines_of(text), "\n"))
 
     def cut(t: Column) -> Column:
         blocks = F.filter(F.transform(F.split(t, r"\n\s*\n"), trimmed), lambda b: b != "")
         one = F.regexp_replace(t, r"([.!?])\s+", "$1 ")
-        again = F.split(F.regexp_replace(one, rf"(?s)(\S.{{{least - 2},}}?[.!?]) ", "$1\u0001"), "\u0001")
+        again = F.split(F.regexp_replace(one, rf"(?s)\G(\S.{{{least - 2},}}?[.!?]) ", "$1\u0001"), "\u0001")
         return F.when((F.size(blocks) <= 1) & (F.length(t) > whole), again).otherwise(blocks)
 
     return let(own, cut)
