@@ -1,16 +1,18 @@
 """Dictionary matching: texts against a table of phrases, with contexts and exceptions, and scores with weights and caps from columns.
 
-Texts are cut into words once, and the distinct runs of as many words as some phrase has are joined with the
+Texts are cut into words once, and the distinct runs of as many words as some phrase has, and whose hash cell some phrase takes, are joined with the
 phrases, so the work doesn't grow with the number of phrases, and a table of any size is matched
 by one equality join (broadcast only where Spark sees that it is small).
 """
 
 from __future__ import annotations
 
+from zlib import crc32
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.arrays import let
 from tidewire.functions.text import unmarked
 from tidewire.operators.classify import clamp
 
@@ -20,28 +22,43 @@ def word_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(unmarked(F.lower(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+", " "))
 
 
-def runs_of_words(words: Column, lengths: list[int]) -> Column:
-    """The distinct runs of so many words in an array of words."""
-
-    def of(own: Column) -> Column:
-        runs = lambda n: F.transform(F.sequence(F.lit(0), F.size(own) - n), lambda i: F.array_join(F.slice(own, i + 1, n), " "))
-        parts = [F.when(F.size(own) >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in lengths]
-        return F.array_distinct(F.concat(*parts))
-
-    return let(words, of)
-
-
-def held_phrases(texts: DataFrame, phrases: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def held_phrases(texts: DataFrame, phrases: DataFrame, id_col: str, text_col: str, cells: int = 1 << 20) -> DataFrame:
     """(id, phrase): the phrases of a table ``phrases`` (column ``phrase``, in word form) that each text holds as whole words.
 
-    Rows that share an id are one text; null ids are one id.
+    Rows that share an id are one text; null ids are one id. Runs of words leave a task only if their hash cell is one of a phrase's; the
+    join then compares them whole, so the ``cells`` bound what the driver holds, not what is found.
     """
-    lengths = sorted(r[0] for r in phrases.where("phrase <> ''").select(F.size(F.split("phrase", " "))).distinct().collect())  # one row a length
+    told = phrases.where("phrase <> ''")
+    lengths = sorted(r[0] for r in told.select(F.size(F.split("phrase", " "))).distinct().collect())  # one row a length
     if not lengths:
         return texts.select(id_col).limit(0).withColumn("phrase", F.lit(""))
-    words = F.filter(F.split(word_form(F.col(text_col)), " "), lambda w: w != "")
-    runs = texts.select(id_col, F.explode(runs_of_words(words, lengths)).alias("phrase"))
-    return runs.join(phrases.select("phrase").distinct(), "phrase").select(id_col, "phrase").distinct()
+
+    def taken(values: DataFrame) -> bytes:
+        mark = bytearray(cells)
+        for cell in values.select((F.crc32(F.col("v")) % cells).alias("cell")).distinct().toArrow().column("cell").to_pylist():
+            mark[cell] = 1
+        return bytes(mark)
+
+    shared = texts.sparkSession.sparkContext.broadcast((taken(told.select(F.col("phrase").alias("v"))), taken(told.select(F.explode(F.split("phrase", " ")).alias("v")))))
+
+    @F.pandas_udf("array<string>")
+    def runs(forms: pd.Series) -> pd.Series:
+        whole, single = shared.value
+        out = []
+        for form in forms.tolist():
+            words = form.split(" ") if form else []
+            may = {w for w in set(words) if single[crc32(w.encode()) % cells]}
+            found: set[str] = set()
+            for n in lengths:
+                if n == 1:
+                    found |= may
+                else:
+                    found |= {" ".join(run) for run in zip(*(words[k:] for k in range(n))) if may.issuperset(run)}
+            out.append([r for r in found if whole[crc32(r.encode()) % cells]])
+        return pd.Series(out)
+
+    rows = texts.select(id_col, F.explode(runs(word_form(F.col(text_col)))).alias("phrase"))
+    return rows.join(phrases.select("phrase").distinct(), "phrase").select(id_col, "phrase").distinct()
 
 
 def match_terms(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
