@@ -26,7 +26,9 @@ def unmarked(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """Lower-case ASCII letters and digits alone, one space between words."""
-    return F.trim(F.regexp_replace(unmarked(F.lower(text)), "[^a-z0-9]+", " "))
+    low = F.lower(text)
+    ascii_only = F.octet_length(text) == F.char_length(text)  # such texts hold no marks, and the table is slow
+    return F.trim(F.regexp_replace(F.when(ascii_only, low).otherwise(unmarked(low)), "[^a-z0-9]+", " "))
 
 
 def squeezed(text: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,6 +92,14 @@ class CleanRules:
     )
 
 
+    @property
+    def whole_lines(self) -> str:
+        """One pattern of all ``lines``, whose beginning is tried once where all of them have one."""
+        if all(p.startswith("^") and "|" not in p for p in self.lines):
+            return f"^(?:{'|'.join(p[1:] for p in self.lines)})"
+        return "|".join(self.lines)
+
+
 NEWS = CleanRules()
 
 
@@ -102,6 +112,11 @@ def has(text: Column, pattern: str) -> Column:
     return F.rlike(text, F.lit(pattern))
 
 
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether any of the words stands in a text; what ``any_of`` finds, but by plain comparison."""
+    return let(text, lambda t: reduce(or_, [F.contains(t, F.lit(w)) for w in words]))
+
+
 def is_snippet(paragraph: Column, rules: CleanRules = NEWS) -> Column:
     """Whether a paragraph begins like one that only points elsewhere; null does not."""
     return F.coalesce(has(F.lower(paragraph), f"^(?:{'|'.join(rules.snippets)})"), F.lit(False))
@@ -125,9 +140,9 @@ def trimmed(text: Column) -> Column:
 
 def is_junk(line: Column, rules: CleanRules = NEWS) -> Column:
     """Whether a squeezed line is part of a menu, a notice, a call or a list of headlines."""
-    names = has(line, rf"^(?:[{UPPER}][{LOWER}]+\s*){{1,4}}$") & (F.length(line) < 35)
+    names = (F.length(line) < 35) & has(line, rf"^(?:[{UPPER}][{LOWER}]+\s*){{1,4}}$")
     dashes = F.size(F.split(line, " - ")) > 3
-    return has(F.lower(line), any_of(rules.phrases)) | (F.length(line) <= 2) | has(line, r"^[-–—•|/\\]+$") | names | (dashes & (F.length(line) > 120))
+    return (F.length(line) <= 2) | has(line, r"^[-–—•|/\\]+$") | names | ((F.length(line) > 120) & dashes) | has_any(F.lower(line), rules.phrases)
 
 
 def _with_lines(text: Column) -> Column:
@@ -142,7 +157,7 @@ def _from_title(text: Column, title: Column, rules: CleanRules) -> Column:
     def cut(behind: Column) -> Column:
         start = F.length(text) - F.length(behind) - F.length(title)
         before = F.lower(F.substring(text, F.lit(1), start))
-        menu = has(before, any_of(rules.phrases)) | (F.size(F.split(before, " - ")) > 2) | (start > 180)
+        menu = has_any(before, rules.phrases) | (F.size(F.split(before, " - ")) > 2) | (start > 180)
         return F.when((start > 40) & menu, F.substring(text, start + 1, F.length(text))).otherwise(text)
 
     long = F.length(plain_words(title)) >= 18
@@ -155,7 +170,7 @@ def _from_date(text: Column, rules: CleanRules) -> Column:
 
     def cut(before: Column) -> Column:
         start = F.length(before) - F.length(F.substring_index(before, " - ", -1))
-        menu = has(F.lower(before), any_of(rules.phrases)) | (F.size(F.split(before, " - ")) > 2)
+        menu = has_any(F.lower(before), rules.phrases) | (F.size(F.split(before, " - ")) > 2)
         return F.when(menu & (start > 0) & F.contains(before, F.lit(" - ")), F.substring(text, start + 1, F.length(text))).otherwise(text)
 
     head = F.substring(text, 1, 1200)
@@ -171,15 +186,15 @@ def clean_article(text: Column, title: Column | None = None, rules: CleanRules =
     characters and hold no date go. Of lines with the same first 180 plain letters the first stays. A
     longer text than ``max_chars`` is cut at a blank; None cuts nothing. Lines stay lines throughout.
     """
-    own = _with_lines(F.array_join(lines_of(text), "\n"))
+    own = let(F.array_join(lines_of(text), "\n"), _with_lines)
     if title is not None:
         own = let(own, lambda t: F.when(title.isNull(), t).otherwise(_from_title(t, title, rules)))
     own = let(own, lambda t: _from_date(t, rules))
 
     def kept(lines: Column) -> Column:
-        rows = F.transform(lines, lambda x, i: F.struct(F.substring(plain_words(x), 1, 180).alias("key"), i.alias("place"), x.alias("value")))
         call = lambda x: F.startswith(x, F.lit("-")) & (F.length(x) < 180) & ~has(x, f"(?i){rules.date}")
-        return first_of_equal(F.filter(rows, lambda x: ~is_junk(x["value"], rules) & ~call(x["value"])))
+        stay = F.filter(lines, lambda x: ~call(x) & ~is_junk(x, rules))
+        return first_of_equal(F.transform(stay, lambda x, i: F.struct(F.substring(plain_words(x), 1, 180).alias("key"), i.alias("place"), x.alias("value"))))
 
     cleaned = joined(kept(F.transform(F.split(own, "\n"), lambda x: F.regexp_replace(squeezed(x), r"^[ |•]+|(?<![ |•])[ |•]+$", ""))))
     return cleaned if max_chars is None else let(cleaned, lambda t: cut_at_blank(t, max_chars))
@@ -195,9 +210,8 @@ def clean_source(text: Column, rules: CleanRules = NEWS, max_chars: int | None =
     lines = F.transform(F.split(clean_article(text, None, rules, max_chars), "\n"), lambda x: squeezed(x))
 
     def stays(line: Column) -> Column:
-        low = F.lower(line)
-        junk = has(low, "|".join(rules.lines)) | has(low, any_of(rules.markers)) | ((F.length(line) > 80) & has(low, any_of(rules.pictures)))
-        return (line != "") & ~junk
+        junk = lambda low: has(low, rules.whole_lines) | has_any(low, rules.markers) | ((F.length(line) > 80) & has_any(low, rules.pictures))
+        return (line != "") & ~let(F.lower(line), junk)
 
     own = F.array_join(F.filter(lines, stays), "\n")
     for span in rules.spans:
