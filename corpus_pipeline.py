@@ -25,7 +25,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each class of near copies: SimHash over five-word shingles, deletion keys, then Jaccard similarity 0.8 or more."""
     return simhash.drop_near_duplicates(docs.select(*COLUMNS), width=5, similarity=0.8)
 
 

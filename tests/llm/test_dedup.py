@@ -331,6 +331,49 @@ def test_near_copies_of_the_stage(spark, make):
     assert stage(spark, docs.where("false"), "").count() == 0
 
 
+def test_candidates_of_the_stage_are_near_fingerprints():
+    rng = np.random.default_rng(12)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    salts = np.random.default_rng(42).integers(0, 1 << 63, 8, dtype=np.uint64).tolist()
+
+    def plain(grams, salt):
+        hashes = []
+        for x in grams.tolist():
+            x ^= salt
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+            hashes.append(x ^ x >> 31)
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    sets = [draw(n) for n in (1, 4, 5, 255, 256, 700, 511, 9000, 3)]
+    assert simhash.set_simhashes(sets, 8).tolist() == [[plain(g, s) for s in salts] for g in sets]
+    assert simhash.set_simhashes([], 8).shape == (0, 8)
+    # pairs at Jaccard 0.8 meet in one of four rounds
+    for common, a, b in ((12, 3, 0), (80, 10, 10), (400, 100, 0)):
+        pairs = [(x[: common + a], np.concatenate((x[:common], x[common + a :]))) for x in (draw(common + a + b) for _ in range(300))]
+        left, right = (simhash.set_simhashes([p[k] for p in pairs], 8) for k in (0, 1))
+        assert (simhash._place(left ^ right, simhash._reach(128, 0.8, 2.6)) < 0).sum() <= 2
+    # what differs in one bit of a segment at most, and in few in all, meets; runs are short and long
+    words = draw((1200, 2))
+    words[300:600] = words[:300] ^ (np.uint64(1) << rng.integers(0, 64, (300, 2), dtype=np.uint64))
+    words[600:1000] = words[0] ^ (np.uint64(1) << rng.integers(0, 64, (400, 2), dtype=np.uint64))
+    keys = simhash._deletions(words, 1)
+    order = np.argsort(keys, axis=None, kind="stable")
+    rows = np.repeat(np.arange(1200), 128)[order]
+    met = simhash._company(keys.ravel()[order], words[rows], 35)
+    found = set(zip(keys.ravel()[order][met].tolist(), rows[met].tolist()))
+    i, j = np.triu_indices(1200, 1)
+    near = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=int) <= 35
+    i, j = i[near], j[near]
+    segments = (words[i] ^ words[j]).view("<u2")
+    place = simhash._place(words[i] ^ words[j], 35)
+    assert ((np.bitwise_count(segments) <= 1).any(axis=1) == (place >= 0)).all() and (place >= 0).sum() > 80_000
+    for a, b, p in zip(i[place >= 0].tolist(), j[place >= 0].tolist(), place[place >= 0].tolist()):
+        assert keys[a, p] == keys[b, p] and {(int(keys[a, p]), a), (int(keys[b, p]), b)} <= found
+    alone = {r for _, r in found} - set(i.tolist()) - set(j.tolist())
+    assert not alone
+
+
 def test_vectors(make):
     rng = np.random.default_rng(5)
     seeds = rng.standard_normal((60, 16))

@@ -1,4 +1,4 @@
-"""SimHash near-dedup (fingerprints, deletion-variant signatures, connected components), and near copies by the shingles they share."""
+"""SimHash near-dedup: fingerprints, deletion-variant signatures, connected components; for near copies by shared shingles, an exact check between them."""
 
 from __future__ import annotations
 
@@ -175,17 +175,105 @@ def shingles(text: str, width: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), seed) for i in range(n)), dtype=np.uint64, count=n))
 
 
-def _minima(grams: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """The least value of each hash function over the shingles, in blocks."""
-    out = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for a in range(0, len(grams), 1024):
-        np.minimum(out, (factors[:, None] * grams[None, a : a + 1024] + shifts[:, None]).min(axis=1), out=out)
+#: A round of similar_texts: two words of 64 bits, cut into segments of 16.
+WORDS, PARTS, PART = 2, 8, 16
+#: Runs of equal keys up to this size are compared pair by pair, longer ones from rows that have met no other yet.
+MANY = 256
+
+
+def set_simhashes(sets: list[np.ndarray], words: int, seed: int = 42) -> np.ndarray:
+    """SimHash of ``words`` times 64 bits (a row a set) over sets of sorted shingle hashes, none empty: each bit is 1 if set in over half
+    of the hashes that the shingles have for its word."""
+    salts = np.random.default_rng(seed).integers(0, 1 << 63, words, dtype=np.uint64)
+    out, lanes = [np.zeros((0, words), dtype="<u8")], np.uint64(0x0101010101010101)
+    if not sets:
+        return out[0]
+    blocks = np.cumsum([len(g) for g in sets]) // 8192
+    for block in np.split(np.arange(len(sets)), np.flatnonzero(np.diff(blocks)) + 1):
+        own = [sets[i] for i in block]
+        sizes = np.array([len(g) for g in own])
+        pieces = -(-sizes // 255)  # bytes hold sums of up to 255
+        first = np.cumsum(pieces) - pieces
+        starts = np.repeat(np.cumsum(sizes) - sizes, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+        h = np.concatenate(own)[:, None] ^ salts
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h ^= h >> np.uint64(shift)
+            h *= np.uint64(factor)
+        h ^= h >> np.uint64(31)
+        total = np.stack([np.add.reduceat((h >> np.uint64(bit)) & lanes, starts, axis=0) for bit in range(8)], axis=-1)  # piece, word, bit of a byte
+        total = np.add.reduceat(total.view(np.uint8).reshape(*total.shape, 8), first, axis=0, dtype=np.int64).transpose(0, 1, 3, 2)
+        ones = total * 2 > sizes[:, None, None, None]
+        out.append(np.packbits(ones.reshape(len(own), words, 64), axis=2, bitorder="little").view("<u8").reshape(len(own), words))
+    return np.concatenate(out)
+
+
+def _reach(bits: int, similarity: float, deviations: float) -> int:
+    """Bits of ``bits`` that differ at most between sets of ``similarity``: a quarter over what is expected, as small sets differ more, and so many standard deviations."""
+    share = min(0.5, 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + deviations * (bits * share * (1 - share)) ** 0.5)
+
+
+def _place(differ: np.ndarray, reach: int) -> np.ndarray:
+    """Where pairs of fingerprints meet first, by the bits in which they differ (a row a pair, two words a round): the number
+    of the deleted bit, of the first segment with one differing bit at most in a round in which ``reach`` bits differ at most; -1: nowhere."""
+    out = np.full(len(differ), -1, dtype=np.int64)
+    for k in reversed(range(differ.shape[1] // WORDS)):
+        near = np.bitwise_count(differ[:, k * WORDS : (k + 1) * WORDS]).sum(axis=1, dtype=np.int64) <= reach
+        for j in reversed(range(PARTS)):
+            part = (differ[:, k * WORDS + j * PART // 64] >> np.uint64(j * PART % 64)) & np.uint64((1 << PART) - 1)
+            bit = np.where(part > 0, np.bitwise_count(part - np.uint64(1)), 0).astype(np.int64)  # of a part with one bit
+            out = np.where(near & (np.bitwise_count(part) <= 1), (k * PARTS + j) * PART + bit, out)
     return out
 
 
-def _joined(grams: list[np.ndarray], keys: np.ndarray, key: int, label: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+def _deletions(words: np.ndarray, k: int) -> np.ndarray:
+    """The keys of round k, one column a deleted bit: the number of the bit, and what else its segment says."""
+    out = []
+    for j in range(PARTS):
+        part = (words[:, j * PART // 64] >> np.uint64(j * PART % 64)) & np.uint64((1 << PART) - 1)
+        for i in range(PART):
+            rest = (part >> np.uint64(i + 1)) << np.uint64(i) | part & np.uint64((1 << i) - 1)
+            out.append(np.uint64(((k * PARTS + j) * PART + i) << 40) | rest)
+    return np.stack(out, axis=1).view(np.int64)
+
+
+def _company(key: np.ndarray, words: np.ndarray, reach: int) -> np.ndarray:
+    """Which rows have another of their key within ``reach``; rows come sorted by key. Pairs of short runs count where they meet
+    first, those of long runs wherever the deleted bit tells them apart (or is a segment's first)."""
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    sizes, met = np.diff(edge), np.zeros(len(key), dtype=bool)
+    ends, at, step = np.repeat(edge[1:], sizes), np.flatnonzero(np.repeat((sizes > 1) & (sizes <= MANY), sizes)), 1
+    own = (key >> 40) % (PARTS * PART)
+    while len(at := at[at + step < ends[at]]):
+        differ = words[at] ^ words[at + step]
+        near = np.flatnonzero((np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= reach) & ~(met[at] & met[at + step]))
+        bit = own[at[near]]
+        told = (differ[near, bit // 64] >> (bit % 64).astype(np.uint64)) & np.uint64(1)
+        near = near[(told > 0) | (bit % PART == 0)]
+        first = at[near][_place(differ[near], reach) == own[at[near]]]
+        met[first] = met[first + step] = True
+        step += 1
+    for r in np.flatnonzero(sizes > MANY):
+        run, bit = words[edge[r] : edge[r + 1]], int(own[edge[r]])
+        tell = (run[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)
+        if bit % PART and (tell == tell[0]).all():
+            continue
+        found = np.zeros(len(run), dtype=bool)
+        for i in np.argsort(tell != (2 * tell.sum() < len(tell))).tolist():  # the rarer bit's rows find the others at once
+            if found[i]:
+                continue
+            near = np.bitwise_count(run ^ run[i]).sum(axis=1, dtype=np.int64) <= reach
+            near = near & (tell != tell[i]) if bit % PART else near
+            near[i] = False
+            found |= near
+            found[i] = near.any()
+        met[edge[r] : edge[r + 1]] = found
+    return met
+
+
+def _joined(grams: list[np.ndarray], marks: np.ndarray, key: int, label: np.ndarray, side: np.ndarray | None, similarity: float, reach: int, far: int) -> list[tuple[int, int]]:
     """Edges that connect, across the classes of ``label``, the similar ones among the nodes of one key, or of two
-    blocks of one (``side`` tells which). A pair is compared under the smallest key that it shares;
+    blocks of one (``side`` tells which). A pair is compared where its fingerprints (``marks``) meet first;
     a node's shingles are marked once and counted in all others."""
     n, edges = len(grams), []
     sizes = np.array([len(g) for g in grams])
@@ -198,7 +286,8 @@ def _joined(grams: list[np.ndarray], keys: np.ndarray, key: int, label: np.ndarr
             may &= side[i + 1 :] != side[i]
         may &= np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i])
         others = np.flatnonzero(may) + i + 1
-        others = others[~((keys[others] == keys[i]) & (keys[i] < key)).any(axis=1)]
+        differ = marks[others] ^ marks[i]
+        others = others[(np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= far) & (_place(differ, reach) == key >> 40)]
         if not len(others):
             continue
         mark[ids[starts[i] : starts[i] + sizes[i]]] = True
@@ -214,43 +303,38 @@ def _joined(grams: list[np.ndarray], keys: np.ndarray, key: int, label: np.ndarr
     return edges
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 6, seed: int = 42, block: int = 1024) -> DataFrame:
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, rounds: int = 4, seed: int = 42, block: int = 1024) -> DataFrame:
     """(id, text_key, root): one row a row of ``docs``; texts of one root are linked by pairs whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Texts of equal sets are one node. Candidates share one of ``bands`` keys of ``rows`` minima each
-    (a pair at 0.8 shares none with a chance of 0.0001); every candidate pair between classes is
-    compared by all its shingles, unless its sketch of all minima puts it far below ``similarity``.
+    Texts of equal sets are one node. A node has a SimHash of 128 bits for each of ``rounds``. Its eight
+    segments of 16 bits are indexed with every one of their bits deleted, so nodes meet that differ
+    in one bit of a segment at most; candidates are those that meet and differ in few bits in all (a
+    pair at 0.8 is none in four rounds with a chance of 0.00003, one of four and five shingles of
+    0.003). Every candidate pair between classes is compared by all its shingles, unless its
+    fingerprints of all rounds put it far below ``similarity``.
     A key's nodes are first compared with two drawn from them, so that a large group of near copies is
     one class, then across the classes that are left: in one task for each key, and for each pair of
     blocks of a key of more than ``block`` nodes. Only edges between classes come out of a task, never
     pairs; no group is capped.
     """
     scratch = Scratch(docs.sparkSession, "similar")
-    draw = np.random.default_rng(seed)
-    factors = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shifts = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+    reach, far = _reach(64 * WORDS, similarity, 2.6), _reach(64 * WORDS * rounds, similarity, 5)
+    few = max(0, similarity / max(1e-9, 1 - similarity) - 1e-6)  # smaller sets are similar to their equals alone
 
-    @F.pandas_udf("struct<node:binary,keys:array<long>,sketch:binary>")
+    @F.pandas_udf("struct<node:binary,sketch:binary>")
     def sketched(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts.tolist():
-            grams = shingles(text or "", width, seed)
-            node = xxhash.xxh3_128_digest(grams.tobytes())
-            if not len(grams):
-                out.append((node, [], b""))
-                continue
-            least = _minima(grams, factors, shifts)
-            keys = [xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)]
-            out.append((node, np.array(keys, dtype=np.uint64).view(np.int64).tolist(), (least >> np.uint64(20)).astype(np.uint8).tobytes()))
-        return pd.DataFrame(out, columns=["node", "keys", "sketch"])
+        sets = [shingles(t or "", width, seed) for t in texts.tolist()]
+        marks = iter(set_simhashes([g for g in sets if len(g) > few], WORDS * rounds, seed))
+        return pd.DataFrame({"node": [xxhash.xxh3_128_digest(g.tobytes()) for g in sets], "sketch": [next(marks).tobytes() if len(g) > few else None for g in sets]})
 
     @F.pandas_udf("binary")
     def grams_of(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t or "", width, seed).tobytes() for t in texts.tolist()])
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8))) for x, y in zip(a, b)], dtype=float)
+        differ = np.frombuffer(b"".join(a), "<u8") ^ np.frombuffer(b"".join(b), "<u8")
+        return pd.Series(np.bitwise_count(differ).reshape(len(a), -1).sum(axis=1, dtype=np.int64) <= far)
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -261,15 +345,51 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out.append(both / (len(x) + len(y) - both))
         return pd.Series(out, dtype=float)
 
+    def indexed(k: int):
+        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8").reshape(-1, WORDS)
+                for at in range(0, len(words), 2048):
+                    keys = _deletions(own := words[at : at + 2048], k)
+                    columns = [keys.ravel(), *(np.repeat(own[:, w].view(np.int64), keys.shape[1]) for w in range(WORDS))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "w0", "w1"])
+
+        return index
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(key: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+            met = _company(key, words, reach)
+            return pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array([w.tobytes() for w in words[met]], pa.binary())], ["key", "mark"])
+
+        held, fresh = [], 0
+        for batch in batches:
+            held.append(batch)
+            fresh += len(batch)
+            if fresh < 200_000:
+                continue
+            now, fresh = pa.Table.from_batches(held), 0
+            key = now.column("key").to_numpy()
+            if cut := int(np.searchsorted(key, key[-1], "left")):  # the last key may go on in the next batch
+                yield out(key[:cut], np.stack([now.column(c).to_numpy()[:cut].view(np.uint64) for c in ("w0", "w1")], axis=1))
+                held = now.slice(cut).combine_chunks().to_batches()
+        if held and len(now := pa.Table.from_batches(held)):
+            yield out(now.column("key").to_numpy(), np.stack([now.column(c).to_numpy().view(np.uint64) for c in ("w0", "w1")], axis=1))
+
     text = F.col(text_col)
     made = docs.select(F.col(id_col).alias("id"), text_key(text).alias("text_key"), sketched(text).alias("s"))
-    marked = scratch.keep(made.select("id", "text_key", "s.node", "s.keys", "s.sketch"), "marked")
-    keyed = marked.select("node", F.explode("keys").alias("key")).distinct()
-    several = keyed.groupBy("key").count().where("count > 1").select("key")
-    shared = scratch.keep(keyed.join(several, "key"), "shared")
-    need = marked.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min("text_key").alias("text_key"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys"))
+    marked = scratch.keep(made.select("id", "text_key", "s.node", "s.sketch"), "marked")
+    nodes = scratch.keep(marked.where("sketch is not null").groupBy("node").agg(F.min("text_key").alias("text_key"), F.any_value("sketch").alias("sketch")), "nodes")
+    shared = None
+    for k in range(rounds):
+        of_round = nodes.select("node", F.substring("sketch", 8 * WORDS * k + 1, 8 * WORDS).alias("mark"))
+        spread = of_round.select("mark").mapInArrow(indexed(k), "key long, w0 long, w1 long").repartition("key").sortWithinPartitions("key")
+        met = scratch.keep(spread.mapInArrow(meet, "key long, mark binary").distinct(), f"met-{k}")
+        now = met.join(of_round, "mark").select("key", "node")
+        shared = now if shared is None else shared.union(now)
+    shared = scratch.keep(shared, "shared")
+    need = nodes.join(shared.select("node").distinct(), "node")
     said = docs.select(text_key(text).alias("text_key"), text.alias("said")).join(need, "text_key").dropDuplicates(["text_key"])
-    held = scratch.keep(said.select("node", "sketch", "keys", grams_of("said").alias("grams")), "held")
+    held = scratch.keep(said.select("node", "sketch", grams_of("said").alias("grams")), "held")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs (a, b) that are similar."""
@@ -280,7 +400,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return df
 
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        close = scratch.keep(beside(ordered, "sketch").where(alike("sketch_a", "sketch_b") >= similarity - 0.2).select("a", "b"), f"close-{name}")
+        close = scratch.keep(beside(ordered, "sketch").where(alike("sketch_a", "sketch_b")).select("a", "b"), f"close-{name}")
         return scratch.keep(beside(close, "grams").where(jaccard("grams_a", "grams_b") >= similarity).select("a", "b"), f"links-{name}")
 
     place = ["key", "low", "high"]
@@ -294,10 +414,10 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     continue
                 own = table.slice(a, b - a).combine_chunks()
                 grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column("grams")]
-                keys = np.array(own.column("keys").to_pylist(), dtype=np.int64)
+                marks = np.frombuffer(b"".join(own.column("sketch").to_pylist()), "<u8").reshape(b - a, -1)
                 label = own.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
                 side = own.column("side").to_numpy(zero_copy_only=False).astype(bool) if low[a] != high[a] else None
-                if edges := _joined(grams, keys, int(key[a]), label, side, similarity):
+                if edges := _joined(grams, marks, int(key[a]), label, side, similarity, reach, far):
                     names = own.column("node").combine_chunks()
                     yield pa.RecordBatch.from_arrays([names.take(pa.array([e[k] for e in edges])) for k in (0, 1)], ["a", "b"])
 
@@ -320,7 +440,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         dealt = members.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("key", "node", "root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"))
-        dealt = dealt.join(held.select("node", "keys", "grams"), "node").repartition(*place).sortWithinPartitions(*place)
+        dealt = dealt.join(held.select("node", "sketch", "grams"), "node").repartition(*place).sortWithinPartitions(*place)
         return scratch.keep(dealt.mapInArrow(across, "a binary, b binary"), "links-rest")
 
     members, links = shared.withColumn("root", F.col("node")), None
