@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,18 +61,37 @@ def rounded(value: Column, places: int) -> Column:
     return F.round(value * shift) / shift
 
 
-def top_terms(df: DataFrame, key: str, text: str, n: int, least: int = 4) -> DataFrame:
+def top_terms(df: DataFrame, key: str, text: str, n: int, least: int = 4, common: int = 50_000) -> DataFrame:
     """(key, term, weight, rank): the ``n`` terms of greatest TF-IDF weight of each row, terms of ``least`` letters or more.
 
-    Term counts are summed before they are shuffled, and words are joined by their document
-    frequency, a table that Spark broadcasts only where its size allows it. Keys are expected to be
-    unique: rows of one key count as one text. Null and empty texts have no terms.
+    Document frequencies are summed before they are shuffled. Those of the ``common`` commonest terms are
+    known to every task, all others have a known range, so a row sends on only terms that can be among its
+    ``n``; the rest never leave their task. Rows of one key count as one text; where keys repeat, their
+    rows are counted in a shuffle first. Null and empty texts have no terms.
     """
+    spark, total = df.sparkSession, df.count()
     words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " ")), " "), lambda w: F.length(w) >= least)
-    counts = saved(df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))  # read twice
-    total = df.count()
-    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
+    rows = df.select(F.col(key), words.alias("words"))
+    if not df.groupBy(key).count().where("count > 1").isEmpty():
+        rows = saved(rows.groupBy(key).agg(F.flatten(F.collect_list("words")).alias("words")))
+    frequency = saved(rows.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    known = {r["term"]: r["df"] for r in frequency.orderBy(F.desc("df"), "term").limit(common).collect()}
+    most = min(known.values()) if known else total  # no other term is in more rows
+    shared = spark.sparkContext.broadcast(known)
+
+    @F.pandas_udf("array<struct<term:string,tf:long,df:long>>")
+    def possible(lists: pd.Series) -> pd.Series:
+        out = []
+        for own in lists:
+            held = [(t, k, shared.value.get(t)) for t, k in Counter(own if own is not None else ()).items()]
+            low = sorted((k * math.log((1 + total) / (1 + (d or most))) for _, k, d in held), reverse=True)
+            bound = low[n - 1] - 1e-5 if len(low) >= n else -math.inf  # weights are rounded to six places
+            out.append([{"term": t, "tf": k, "df": d} for t, k, d in held if k * math.log((1 + total) / (1 + (d or 1))) >= bound])
+        return pd.Series(out, dtype=object)
+
+    found = saved(rows.select(key, F.explode(possible("words")).alias("t")).select(key, "t.term", "t.tf", "t.df"))
+    rare = found.where("df is null").drop("df").join(frequency, "term").select(key, "term", "tf", "df")
     weight = F.round(F.col("tf") * F.log((1 + F.lit(total)) / (1 + F.col("df"))), 6)
-    weighed = counts.join(frequency, "term").select(key, "term", weight.alias("weight"))
+    weighed = found.where("df is not null").union(rare).select(key, "term", weight.alias("weight"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), "term"))
     return weighed.withColumn("rank", rank).where(F.col("rank") <= n)
