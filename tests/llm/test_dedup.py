@@ -331,6 +331,72 @@ def test_near_copies_of_the_stage(spark, make):
     assert stage(spark, docs.where("false"), "").count() == 0
 
 
+def test_a_crowd_of_texts_below_the_bound_costs_a_few_rows_a_text(spark, make, monkeypatch):
+    kept = {}
+
+    class Counting(Scratch):
+        def keep(self, df, name):
+            out = super().keep(df, name)
+            kept[name] = out.count()
+            return out
+
+    monkeypatch.setattr(simhash, "Scratch", Counting)
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(3, 6)):
+            words[at] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+        if i % 10 == 0:  # and some with a near copy
+            words[rng.randrange(150)] = "x"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert 100 < len(set(classes(len(texts), links))) < len(texts) - 20
+    rows = {}
+    for n, block in ((len(texts) // 2, 1024), (len(texts), 1024), (len(texts), 40)):
+        found = {r["id"]: r["root"] for r in simhash.similar_texts(make(list(enumerate(texts[:n])), "doc_id long, text string"), block=block).collect()}
+        first = {}
+        for i in sorted(found):
+            first.setdefault(found[i], i)
+        assert [first[found[i]] for i in range(n)] == classes(n, [(i, j) for i, j in links if i < n])
+        rows[n] = kept["shared"]
+    small, large = sorted(rows)
+    assert rows[large] <= 3 * large and rows[large] <= 2.5 * rows[small]
+
+
+def test_crowds():
+    rng = np.random.default_rng(14)
+    marks = rng.integers(0, 1 << 63, (400, 8), dtype=np.uint64)
+    marks[100:200] = marks[0] ^ (np.uint64(1) << rng.integers(0, 64, (100, 8), dtype=np.uint64))
+    marks[200:300] = marks[:100] ^ np.uint64(1)
+    key = np.sort(rng.integers(0, 60, 400))
+    key[:120] = 0
+    key = np.sort(key)
+    near = lambda i, j: np.bitwise_count(marks[i] ^ marks[j]).sum(dtype=int) <= 20
+    order = rng.permutation(400)
+    marks = marks[order]
+    edges = simhash._crowded(key, marks, 20)
+    assert all(key[a] == key[b] and near(a, b) for a, b in edges) and len(edges) > 20
+    want = [(i, j) for i in range(400) for j in range(i) if key[i] == key[j] and near(i, j)]
+    got = classes(400, edges)
+    assert {i for e in want for i in e} >= {i for e in edges for i in e}
+    assert len({(got[i], got[j]) for i, j in want if got[i] != got[j]}) == 0
+    # rows have no company in their own crowd, in short runs and in long ones
+    for size, many in ((100, 256), (100, 8)):
+        words = np.repeat(marks[:1, :2], size, axis=0) ^ (np.arange(size, dtype=np.uint64)[:, None] % np.uint64(2))
+        run, old = np.zeros(size, dtype=np.int64), simhash.MANY
+        simhash.MANY = many
+        try:
+            company = lambda crowd: simhash._company(run, words, 35, np.array(crowd, dtype=np.int64)).tolist()
+            assert company([0] * size) == [True] * size and company([-5] * size) == [False] * size
+            assert company([-5] * (size - 1) + [0]) == [True] * size and company([-5] * (size - 1) + [-7]) == [True] * size
+        finally:
+            simhash.MANY = old
+
+
 def test_candidates_of_the_stage_are_near_fingerprints():
     rng = np.random.default_rng(12)
     draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)

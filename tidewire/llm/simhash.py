@@ -179,6 +179,9 @@ def shingles(text: str, width: int = 5, seed: int = 42) -> np.ndarray:
 WORDS, PARTS, PART = 2, 8, 16
 #: Runs of equal keys up to this size are compared pair by pair, longer ones from rows that have met no other yet.
 MANY = 256
+#: Nodes that whole segments connect are a crowd, if so many (at least, at most), and are compared by blocks of the crowd; all
+#: other candidates are compared where they meet by keys.
+CROWD = (16, 1 << 16)
 
 
 def set_simhashes(sets: list[np.ndarray], words: int, seed: int = 42) -> np.ndarray:
@@ -237,9 +240,45 @@ def _deletions(words: np.ndarray, k: int) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
-def _company(key: np.ndarray, words: np.ndarray, reach: int) -> np.ndarray:
-    """Which rows have another of their key within ``reach``; rows come sorted by key. Pairs of short runs count where they meet
-    first, those of long runs wherever the deleted bit tells them apart (or is a segment's first)."""
+def _whole_keys(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.Table]:
+    """Rows sorted by their column ``key``, as tables of whole keys."""
+    held, fresh = [], 0
+    for batch in batches:
+        held.append(batch)
+        fresh += len(batch)
+        if fresh < rows:
+            continue
+        now, fresh = pa.Table.from_batches(held), 0
+        key = now.column("key").to_numpy()
+        if cut := int(np.searchsorted(key, key[-1], "left")):  # the last key may go on in the next batch
+            yield now.slice(0, cut)
+            held = now.slice(cut).combine_chunks().to_batches()
+    if held and len(now := pa.Table.from_batches(held)):
+        yield now
+
+
+def _crowded(key: np.ndarray, marks: np.ndarray, far: int) -> list[tuple[int, int]]:
+    """Edges that connect rows of one key within ``far``: each row to the first of those left that it is near; rows come sorted by key."""
+    edge, out = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))), []
+    sizes = np.diff(edge)
+    ends, first, some = np.repeat(edge[1:], sizes), np.repeat(np.arange(len(sizes)), sizes), sizes > SMALL_RUN
+    at, step = np.flatnonzero(np.repeat(~some, sizes)), 1
+    while len(at := at[at + step < ends[at]]):  # most short runs have no such rows
+        some[first[at[np.bitwise_count(marks[at] ^ marks[at + step]).sum(axis=1, dtype=np.int64) <= far]]] = True
+        step += 1
+    for r in np.flatnonzero(some).tolist():
+        left = np.arange(edge[r], edge[r + 1])
+        while len(left) > 1:
+            near = np.bitwise_count(marks[left] ^ marks[left[0]]).sum(axis=1, dtype=np.int64) <= far
+            out += [(int(left[0]), j) for j in left[near][1:].tolist()]
+            left = left[~near]
+    return out
+
+
+def _company(key: np.ndarray, words: np.ndarray, reach: int, crowd: np.ndarray | None = None) -> np.ndarray:
+    """Which rows have another of their key within ``reach``, not of their own crowd (0: of none); rows come sorted by key. Pairs of
+    short runs count where they meet first, those of long runs wherever the deleted bit tells them apart (or is a segment's first)."""
+    crowd = np.zeros(len(key), dtype=np.int64) if crowd is None else crowd
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     sizes, met = np.diff(edge), np.zeros(len(key), dtype=bool)
     ends, at, step = np.repeat(edge[1:], sizes), np.flatnonzero(np.repeat((sizes > 1) & (sizes <= MANY), sizes)), 1
@@ -249,14 +288,15 @@ def _company(key: np.ndarray, words: np.ndarray, reach: int) -> np.ndarray:
         near = np.flatnonzero((np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= reach) & ~(met[at] & met[at + step]))
         bit = own[at[near]]
         told = (differ[near, bit // 64] >> (bit % 64).astype(np.uint64)) & np.uint64(1)
-        near = near[(told > 0) | (bit % PART == 0)]
+        apart = (crowd[at[near]] == 0) | (crowd[at[near]] != crowd[at[near] + step])
+        near = near[apart & ((told > 0) | (bit % PART == 0))]
         first = at[near][_place(differ[near], reach) == own[at[near]]]
         met[first] = met[first + step] = True
         step += 1
     for r in np.flatnonzero(sizes > MANY):
-        run, bit = words[edge[r] : edge[r + 1]], int(own[edge[r]])
+        run, of, bit = words[edge[r] : edge[r + 1]], crowd[edge[r] : edge[r + 1]], int(own[edge[r]])
         tell = (run[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)
-        if bit % PART and (tell == tell[0]).all():
+        if bit % PART and (tell == tell[0]).all() or of[0] and (of == of[0]).all():
             continue
         found = np.zeros(len(run), dtype=bool)
         for i in np.argsort(tell != (2 * tell.sum() < len(tell))).tolist():  # the rarer bit's rows find the others at once
@@ -264,6 +304,7 @@ def _company(key: np.ndarray, words: np.ndarray, reach: int) -> np.ndarray:
                 continue
             near = np.bitwise_count(run ^ run[i]).sum(axis=1, dtype=np.int64) <= reach
             near = near & (tell != tell[i]) if bit % PART else near
+            near = near & (of != of[i]) if of[i] else near
             near[i] = False
             found |= near
             found[i] = near.any()
@@ -272,8 +313,8 @@ def _company(key: np.ndarray, words: np.ndarray, reach: int) -> np.ndarray:
 
 
 def _joined(grams: list[np.ndarray], marks: np.ndarray, key: int, label: np.ndarray, side: np.ndarray | None, similarity: float, reach: int, far: int) -> list[tuple[int, int]]:
-    """Edges that connect, across the classes of ``label``, the similar ones among the nodes of one key, or of two
-    blocks of one (``side`` tells which). A pair is compared where its fingerprints (``marks``) meet first;
+    """Edges that connect, across the classes of ``label``, the similar ones among the nodes of one key or crowd (below zero), or of
+    two blocks of one (``side`` tells which). A pair of a key is compared where its fingerprints (``marks``) meet first;
     a node's shingles are marked once and counted in all others."""
     n, edges = len(grams), []
     sizes = np.array([len(g) for g in grams])
@@ -287,7 +328,8 @@ def _joined(grams: list[np.ndarray], marks: np.ndarray, key: int, label: np.ndar
         may &= np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i])
         others = np.flatnonzero(may) + i + 1
         differ = marks[others] ^ marks[i]
-        others = others[(np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= far) & (_place(differ, reach) == key >> 40)]
+        near = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= far
+        others = others[near & (_place(differ, reach) == key >> 40) if key >= 0 else near]
         if not len(others):
             continue
         mark[ids[starts[i] : starts[i] + sizes[i]]] = True
@@ -312,7 +354,10 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pair at 0.8 is none in four rounds with a chance of 0.00003, one of four and five shingles of
     0.003). Every candidate pair between classes is compared by all its shingles, unless its
     fingerprints of all rounds put it far below ``similarity``.
-    A key's nodes are first compared with two drawn from them, so that a large group of near copies is
+    In a crowd of texts that are alike, but less than ``similarity``, a node would meet others at most of
+    its keys. So crowds are sought first, as what equal whole segments connect: all pairs of a crowd are
+    candidates, and its nodes have one row each for it; keys are left to pairs that no crowd holds.
+    A key's (or crowd's) nodes are first compared with two drawn from them, so that a large group of near copies is
     one class, then across the classes that are left: in one task for each key, and for each pair of
     blocks of a key of more than ``block`` nodes. Only edges between classes come out of a task, never
     pairs; no group is capped.
@@ -345,47 +390,56 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out.append(both / (len(x) + len(y) - both))
         return pd.Series(out, dtype=float)
 
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u8").reshape(len(batch), -1)
+            for j in range(PARTS * rounds):
+                part = (words[:, j * PART // 64] >> np.uint64(j * PART % 64)) & np.uint64((1 << PART) - 1)
+                key = pa.array((part | np.uint64(j << PART)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([key, batch.column("node"), batch.column("sketch")], ["key", "node", "sketch"])
+
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now in _whole_keys(batches):
+            marks = np.frombuffer(b"".join(now.column("sketch").to_pylist()), "<u8").reshape(len(now), -1)
+            if edges := _crowded(now.column("key").to_numpy(), marks, far):
+                names = now.column("node").combine_chunks()
+                yield pa.RecordBatch.from_arrays([names.take(pa.array([e[k] for e in edges])) for k in (0, 1)], ["a", "b"])
+
     def indexed(k: int):
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                words = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8").reshape(-1, WORDS)
+                words = np.frombuffer(b"".join(batch.column("mark").to_pylist()), "<u8").reshape(-1, WORDS)
+                crowd = batch.column("crowd").to_numpy()
                 for at in range(0, len(words), 2048):
                     keys = _deletions(own := words[at : at + 2048], k)
-                    columns = [keys.ravel(), *(np.repeat(own[:, w].view(np.int64), keys.shape[1]) for w in range(WORDS))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "w0", "w1"])
+                    columns = [keys.ravel(), *(np.repeat(c, keys.shape[1]) for c in (*own.view(np.int64).T, crowd[at : at + 2048]))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "w0", "w1", "crowd"])
 
         return index
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
-            met = _company(key, words, reach)
-            return pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array([w.tobytes() for w in words[met]], pa.binary())], ["key", "mark"])
-
-        held, fresh = [], 0
-        for batch in batches:
-            held.append(batch)
-            fresh += len(batch)
-            if fresh < 200_000:
-                continue
-            now, fresh = pa.Table.from_batches(held), 0
-            key = now.column("key").to_numpy()
-            if cut := int(np.searchsorted(key, key[-1], "left")):  # the last key may go on in the next batch
-                yield out(key[:cut], np.stack([now.column(c).to_numpy()[:cut].view(np.uint64) for c in ("w0", "w1")], axis=1))
-                held = now.slice(cut).combine_chunks().to_batches()
-        if held and len(now := pa.Table.from_batches(held)):
-            yield out(now.column("key").to_numpy(), np.stack([now.column(c).to_numpy().view(np.uint64) for c in ("w0", "w1")], axis=1))
+        for now in _whole_keys(batches):
+            key, crowd = (now.column(c).to_numpy() for c in ("key", "crowd"))
+            words = np.stack([now.column(c).to_numpy().view(np.uint64) for c in ("w0", "w1")], axis=1)
+            met = _company(key, words, reach, crowd)
+            yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array([w.tobytes() for w in words[met]], pa.binary()), pa.array(crowd[met])], ["key", "mark", "crowd"])
 
     text = F.col(text_col)
     made = docs.select(F.col(id_col).alias("id"), text_key(text).alias("text_key"), sketched(text).alias("s"))
     marked = scratch.keep(made.select("id", "text_key", "s.node", "s.sketch"), "marked")
-    nodes = scratch.keep(marked.where("sketch is not null").groupBy("node").agg(F.min("text_key").alias("text_key"), F.any_value("sketch").alias("sketch")), "nodes")
-    shared = None
+    distinct = scratch.keep(marked.where("sketch is not null").groupBy("node").agg(F.min("text_key").alias("text_key"), F.any_value("sketch").alias("sketch")), "distinct")
+    spread = distinct.select("node", "sketch").mapInArrow(segments, "key long, node binary, sketch binary").repartition("key").sortWithinPartitions("key", "node")
+    crowds = connected_components(scratch, spread.mapInArrow(crowded, "a binary, b binary"), "cc-crowd")
+    sizes = crowds.groupBy("component").count().where(F.col("count").between(*CROWD))
+    # below zero, as no key is
+    crowds = crowds.join(sizes, "component").select("node", F.xxhash64("component").bitwiseOR(F.lit(-(1 << 63))).alias("crowd"))
+    nodes = scratch.keep(distinct.join(crowds, "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(0).cast("long"))), "nodes")
+    shared = nodes.where("crowd < 0").select(F.col("crowd").alias("key"), "node")
     for k in range(rounds):
-        of_round = nodes.select("node", F.substring("sketch", 8 * WORDS * k + 1, 8 * WORDS).alias("mark"))
-        spread = of_round.select("mark").mapInArrow(indexed(k), "key long, w0 long, w1 long").repartition("key").sortWithinPartitions("key")
-        met = scratch.keep(spread.mapInArrow(meet, "key long, mark binary").distinct(), f"met-{k}")
-        now = met.join(of_round, "mark").select("key", "node")
-        shared = now if shared is None else shared.union(now)
+        of_round = nodes.select("node", F.substring("sketch", 8 * WORDS * k + 1, 8 * WORDS).alias("mark"), "crowd")
+        spread = of_round.select("mark", "crowd").mapInArrow(indexed(k), "key long, w0 long, w1 long, crowd long").repartition("key").sortWithinPartitions("key")
+        met = scratch.keep(spread.mapInArrow(meet, "key long, mark binary, crowd long").distinct(), f"met-{k}")
+        shared = shared.union(met.join(of_round, ["mark", "crowd"]).select("key", "node"))
     shared = scratch.keep(shared, "shared")
     need = nodes.join(shared.select("node").distinct(), "node")
     said = docs.select(text_key(text).alias("text_key"), text.alias("said")).join(need, "text_key").dropDuplicates(["text_key"])
@@ -435,9 +489,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield from out(waiting)
 
     def linked_across(members: DataFrame) -> DataFrame:
-        """Edges between the classes of a key's nodes; block k meets every block l in (least, greatest) of the two."""
-        sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        dealt = members.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        """Edges between the classes of a key's nodes, dealt to ``blocks``; block k meets every block l in (least, greatest) of the two."""
+        dealt = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("key", "node", "root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"))
         dealt = dealt.join(held.select("node", "sketch", "grams"), "node").repartition(*place).sortWithinPartitions(*place)
@@ -455,7 +508,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         classes = connected_components(scratch, links, f"cc-{step}")
         if step != "rest":
             named = shared.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
-            open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+            seen = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+            open_ = seen.where("low != high").select("key", "blocks")
             members = scratch.keep(named.join(open_, "key"), f"members-{step}")
     return marked.join(classes, "node", "left").select("id", "text_key", F.coalesce("component", "node").alias("root"))
 
