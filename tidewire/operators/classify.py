@@ -61,6 +61,23 @@ def rounded(value: Column, places: int) -> Column:
     return F.round(value * shift) / shift
 
 
+def rounded_means(rows: DataFrame, key: str, value: str, places: int, at: list[str]) -> DataFrame:
+    """(key, mean): the mean of each key's doubles, rounded, as if they were added one by one in the order of ``at``; null keys are left out.
+
+    The last bit of a sum of doubles depends on the order of addition, and so does what a mean near a half is rounded to. Partial
+    sums in any order decide all other means: two orders differ by less than 2^-50 of the sum of absolute values. Only the rows of
+    keys nearer to a half are sorted, and added by a window, row by row.
+    """
+    rows, scale = rows.where(F.col(key).isNotNull()), F.lit(10.0**places)
+    summed = saved(rows.groupBy(key).agg(F.avg(value).alias("_mean"), F.sum(F.abs(value)).alias("_size")))
+    apart = F.abs(F.abs(F.col("_mean") * scale) % 1 - 0.5)
+    unsure = summed.where((apart <= F.col("_size") * scale * 2.0**-50) | (F.col("_size") == float("inf"))).select(key)
+    window = Window.partitionBy(key).orderBy(*at)
+    added = rows.join(unsure, key, "left_semi").withColumn("_sum", F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    exact = added.groupBy(key).agg((F.max_by("_sum", F.struct(*at)) / F.count(value)).alias("_exact"))
+    return summed.join(exact, key, "left").select(key, rounded(F.coalesce("_exact", "_mean"), places).alias("mean"))
+
+
 def top_terms(df: DataFrame, key: str, text: str, n: int, least: int = 4, common: int = 50_000) -> DataFrame:
     """(key, term, weight, rank): the ``n`` terms of greatest TF-IDF weight of each row, terms of ``least`` letters or more.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import urls
 from tidewire.functions.text import fold, tokens
 from tidewire.operators import gates
-from tidewire.operators.classify import clamp, rounded
+from tidewire.operators.classify import clamp, rounded_means
 from tidewire.operators.ranking import global_rank
 from tidewire.plans.registry import query
 from tidewire.plans.stories import FOLD, LINK_KEY, NOW, SQL, TOKENS, stories
@@ -174,8 +174,9 @@ def source_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, n, CASE WHEN bad * 5 > n THEN 'weak' ELSE 'good' END AS health, row_number() OVER (ORDER BY priority DESC, user_id) AS place FROM s WHERE n > 1 AND user_id % 9 <> 0""")
 def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active sources that are not in quarantine, with their health, by priority."""
-    own = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("bad"), rounded(F.avg("value"), 2).alias("priority"))
-    kept = own.where("n > 1 and user_id % 9 <> 0")
+    rows = read_table(spark, sf_dir, "events").select("user_id", "event_type", "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("line")).where("user_id % 9 <> 0")
+    own = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("bad")).where("n > 1")
+    kept = own.join(rounded_means(rows, "user_id", "value", 2, ["file", "line"]).withColumnRenamed("mean", "priority"), "user_id")
     placed = global_rank(kept, [F.desc("priority"), F.asc("user_id")], "place")
     return placed.select("user_id", "n", F.when(F.col("bad") * 5 > F.col("n"), "weak").otherwise("good").alias("health"), "place")
 
